@@ -25,6 +25,7 @@ import datetime as dt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,12 +112,10 @@ def _running_sums_fn(value_cols: list[str]):
                 if cont:
                     run_v = run_v + np.where(seg == 0, carry[c], 0.0)
                 cols[f"_cum_{c}"] = run_v
-            last_seg_mask = seg == seg[-1]
             carry_day = day[-1]
             carry_n = int(cnt[-1])
             for c in value_cols:
                 carry[c] = float(cols[f"_cum_{c}"][-1])
-            del last_seg_mask
             out = batch
             for name, arr in cols.items():
                 out = out.append_column(name, pa.array(arr))
@@ -126,7 +125,8 @@ def _running_sums_fn(value_cols: list[str]):
 
 
 def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = None,
-                  partitions: int | None = None, n_days_bound: int | None = None) -> DataFrame:
+                  partitions: int | None = None, n_days_bound: int | None = None,
+                  keep: list | None = None) -> DataFrame:
     """W1-W3 for a table whose ``publish_date`` is a DATE and ``video_id`` is unique.
 
     ``windows`` maps output column -> (source column, N days).
@@ -151,22 +151,31 @@ def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = No
     if n_days_bound is not None and n_days_bound <= MAX_BROADCAST_ROWS:
         prev = F.broadcast(prev)
 
-    # 2. same-day running sums, skew-safe via range partitioning
+    # 2. same-day running sums, skew-safe via range partitioning. The scan runs
+    # once and is persisted: the offsets must come from the very partitioning
+    # that produced the running sums (a second evaluation of the range
+    # exchange could sample different boundaries). Lost cached blocks are
+    # recomputed from lineage with the same partitioner.
     ranged = (base.repartitionByRange(parts, "_day", "video_id")
                   .withColumn("_pid", F.spark_partition_id()))
-    piece_totals = ranged.groupBy("_pid", "_day").agg(
-        F.count(F.lit(1)).alias("_t_n"), *[F.sum(c).cast("double").alias(f"_t_{c}") for c in value_cols])
-    earlier = Window.partitionBy("_day").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (piece_totals.select(
-        "_pid", "_day", F.coalesce(F.sum("_t_n").over(earlier), F.lit(0)).alias("_o_n"),
-        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0.0)).alias(f"_o_{c}") for c in value_cols])
-        .where(F.col("_o_n") > 0))
-
     schema = T.StructType(ranged.schema.fields
                           + [T.StructField("_cum_n", T.LongType())]
                           + [T.StructField(f"_cum_{c}", T.DoubleType()) for c in value_cols])
     scanned = (ranged.sortWithinPartitions("_day", "video_id")
-               .mapInArrow(_running_sums_fn(value_cols), schema))
+               .mapInArrow(_running_sums_fn(value_cols), schema)
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    if keep is not None:
+        keep.append(scanned)
+    # last row of each (partition, day) piece holds the piece totals
+    pieces = scanned.groupBy("_pid", "_day").agg(
+        F.max("_cum_n").alias("_t_n"),
+        *[F.max_by(f"_cum_{c}", "_cum_n").alias(f"_t_{c}") for c in value_cols])
+    earlier = Window.partitionBy("_day").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # only days cut by a partition boundary get a row: at most parts - 1 rows
+    offsets = (pieces.select(
+        "_pid", "_day", F.coalesce(F.sum("_t_n").over(earlier), F.lit(0)).alias("_o_n"),
+        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0.0)).alias(f"_o_{c}") for c in value_cols])
+        .where(F.col("_o_n") > 0))
     joined = (scanned.join(F.broadcast(offsets), ["_pid", "_day"], "left")
               .join(prev, ["_day"], "left"))
 
@@ -178,7 +187,8 @@ def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = No
     return out.select(*df.columns, *windows.keys())
 
 
-def enrich(df: DataFrame, latest, n_days_bound: int | None = None, partitions: int | None = None) -> DataFrame:
+def enrich(df: DataFrame, latest, n_days_bound: int | None = None, partitions: int | None = None,
+           keep: list | None = None) -> DataFrame:
     """P1-P10 and W1-W3 over the whole validated table."""
     out = add_recency(add_calendar(add_rates(df)), latest)
-    return rolling_means(out, partitions=partitions, n_days_bound=n_days_bound)
+    return rolling_means(out, partitions=partitions, n_days_bound=n_days_bound, keep=keep)

@@ -47,8 +47,11 @@ def load_content(raw: DataFrame, source_name: str, out_path: str, mode: str = "f
         raise NotImplementedError("rolling means over timestamps with a time of day are not supported yet")
     typed = Q.finalize_types(good.select(*Q.RAW_COLUMNS), v.date_only)
     latest = v.report["date_max"]
-    enriched = E.enrich(typed, latest, n_days_bound=_n_days(v.report), partitions=partitions)
+    keep: list = []
+    enriched = E.enrich(typed, latest, n_days_bound=_n_days(v.report), partitions=partitions, keep=keep)
     enriched.write.mode("overwrite").parquet(out_path)
+    for frame in keep:
+        frame.unpersist()
     v.rows.unpersist()
     spark = raw.sparkSession
     table = ContentTable(frame=spark.read.parquet(out_path), report=v.report, report_df=v.report_df, path=out_path)
