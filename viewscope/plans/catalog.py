@@ -375,3 +375,174 @@ SELECT count(*) AS videos, min(publish_date) AS date_min, max(publish_date) AS d
 def q_report_overview(spark, d):
     return content(spark, d).agg(F.count(F.lit(1)).alias("videos"), F.min("publish_date").alias("date_min"),
                                  F.max("publish_date").alias("date_max"))
+
+
+# ---------------------------------------------------------------- text
+
+from viewscope.functions.textfn import english_stop_words  # noqa: E402
+from viewscope.operators import text as X  # noqa: E402
+from viewscope.operators import abtest as AB  # noqa: E402
+from viewscope.sources.tables import documents_as_content  # noqa: E402
+
+ANCHOR_ID = 1
+TOP_N = 5
+
+
+def _terms_sql_cte(src: str = "enriched") -> str:
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
+    return f"""
+tok AS (SELECT video_id, list_filter(regexp_extract_all(lower(title), '\\b[a-zA-Z][a-zA-Z]+\\b'),
+                                     lambda w: NOT list_contains([{stops}], w)) AS u
+        FROM {src}),
+trm AS (SELECT video_id, list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) AS t
+        FROM tok),
+tf AS (SELECT video_id, term, count(*) AS tf FROM (SELECT video_id, unnest(t) AS term FROM trm) GROUP BY 1, 2),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM {src})) / (1 + df)) + 1 AS idf FROM dfq),
+raw AS (SELECT video_id, term, tf, idf, tf * idf AS w FROM tf JOIN idf USING (term)),
+nrm AS (SELECT video_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY 1),
+post AS (SELECT video_id, term, tf, idf, w / norm AS weight FROM raw JOIN nrm USING (video_id))"""
+
+
+@register("title_tokens", with_content("""
+SELECT video_id, unnest(generate_series(0, len(t) - 1)) AS position, unnest(t) AS term FROM trm""",
+                                        _terms_sql_cte()))
+def q_title_tokens(spark, d):
+    return X.title_terms(content(spark, d))
+
+
+@register("title_tfidf", with_content(f"""
+SELECT video_id, term, tf, {R('idf', 8)} AS idf, {R('weight', 8)} AS weight FROM post""", _terms_sql_cte()))
+def q_title_tfidf(spark, d):
+    return X.tfidf(content(spark, d)).select(
+        "video_id", "term", "tf", fixed("idf", 8).alias("idf"), fixed("weight", 8).alias("weight"))
+
+
+@register("similar_titles", with_content(f"""
+SELECT video_id, title, category, thumbnail_style, views,
+       {R('engagement_rate_pct', 4)} AS engagement_rate_pct, {R('sim', 4)} AS similarity
+FROM (SELECT e.video_id, e.title, e.category, e.thumbnail_style, e.views, e.engagement_rate_pct,
+             coalesce(s.sim, 0.0) AS sim
+      FROM enriched e LEFT JOIN (
+          SELECT p.video_id, sum(p.weight * a.weight) AS sim
+          FROM post p JOIN (SELECT term, weight FROM post WHERE video_id = {ANCHOR_ID}) a USING (term)
+          GROUP BY 1) s USING (video_id)
+      WHERE e.video_id <> {ANCHOR_ID})
+ORDER BY {R('sim', 10)} DESC, video_id LIMIT {TOP_N}""", _terms_sql_cte()))
+def q_similar_titles(spark, d):
+    return X.similar_titles(content(spark, d), ANCHOR_ID, TOP_N)
+
+
+@register("title_token_lift", with_content(f"""
+SELECT term, {R('lift', 4)} AS lift FROM (
+  SELECT term, sum(CASE WHEN high THEN weight ELSE 0 END) / any_value(sz.nh)
+             - sum(CASE WHEN NOT high THEN weight ELSE 0 END) / any_value(sz.nr) AS lift
+  FROM post JOIN fl USING (video_id) CROSS JOIN sz GROUP BY term
+  ORDER BY {R('lift', 10)} DESC, term LIMIT 12)
+WHERE lift > 0""", _terms_sql_cte() + """,
+fl AS (SELECT video_id, views >= (SELECT quantile_cont(views, 0.75) FROM enriched) AS high FROM enriched),
+sz AS (SELECT count(*) FILTER (WHERE high) AS nh, count(*) FILTER (WHERE NOT high) AS nr FROM fl)"""))
+def q_title_token_lift(spark, d):
+    return X.token_lift(content(spark, d), "views", 12)
+
+
+@register("document_token_lift")
+def q_document_token_lift(spark, d):
+    """X4 over whole documents (length as the target); rows-only: Unicode word boundaries differ in DuckDB."""
+    return X.token_lift(documents_as_content(spark, d), "views", 12)
+
+
+# ---------------------------------------------------------------- A/B tests
+
+AB_ATTR = ("thumbnail_style", "AUTOMOBILE", "BUILDING", "views")
+AB_CAT = ("category", "1-URGENT", "5-LOW", "engagement_rate_pct")
+AB_TITLE = ("gear", "widget", "views")
+
+
+def _ab_sql(variant_rows: str, label_a: str, label_b: str, metric: str, cols: str) -> str:
+    return with_content(f"""
+SELECT {cols} FROM (
+  SELECT '{metric}' AS metric, '{label_a}' AS label_a, a.n AS n_a, a.mean AS mean_a, a.std AS std_a,
+         a.median AS median_a, '{label_b}' AS label_b, b.n AS n_b, b.mean AS mean_b, b.std AS std_b,
+         b.median AS median_b, a.std * a.std / a.n AS va, b.std * b.std / b.n AS vb,
+         sqrt(((a.n - 1) * a.std * a.std + (b.n - 1) * b.std * b.std) / (a.n + b.n - 2)) AS pooled
+  FROM (SELECT * FROM st WHERE variant = 'A') a, (SELECT * FROM st WHERE variant = 'B') b) w""", f"""
+vr AS ({variant_rows}),
+st AS (SELECT variant, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, quantile_cont(x, 0.5) AS median
+       FROM vr GROUP BY 1)""")
+
+
+_AB_ALL_COLS = f"""metric, label_a, n_a, {R('mean_a', 4)} AS mean_a, {R('std_a', 4)} AS std_a,
+  {R('median_a', 4)} AS median_a, label_b, n_b, {R('mean_b', 4)} AS mean_b, {R('std_b', 4)} AS std_b,
+  {R('median_b', 4)} AS median_b, {R('(mean_a - mean_b) / sqrt(va + vb)', 4)} AS t_statistic,
+  {R('(va + vb) * (va + vb) / (va * va / (n_a - 1) + vb * vb / (n_b - 1))', 2)} AS degrees_of_freedom,
+  {R('CASE WHEN pooled > 0 THEN (mean_a - mean_b) / pooled ELSE 0 END', 4)} AS cohens_d,
+  CASE WHEN abs(CASE WHEN pooled > 0 THEN (mean_a - mean_b) / pooled ELSE 0 END) >= 0.8 THEN 'large'
+       WHEN abs(CASE WHEN pooled > 0 THEN (mean_a - mean_b) / pooled ELSE 0 END) >= 0.5 THEN 'medium'
+       WHEN abs(CASE WHEN pooled > 0 THEN (mean_a - mean_b) / pooled ELSE 0 END) >= 0.2 THEN 'small'
+       ELSE 'negligible' END AS effect_size,
+  {R('abs(mean_a - mean_b) / greatest(least(abs(mean_a), abs(mean_b)), 1e-9) * 100', 2)} AS difference_pct,
+  CASE WHEN mean_a > mean_b THEN label_a ELSE label_b END AS winner, CAST(NULL AS VARCHAR) AS error"""
+
+
+def _attr_rows(dim, a, b, metric):
+    return (f"SELECT CASE WHEN {dim} = '{a}' THEN 'A' ELSE 'B' END AS variant, CAST({metric} AS DOUBLE) AS x "
+            f"FROM enriched WHERE {dim} IN ('{a}', '{b}')")
+
+
+def _title_rows(ka, kb, metric):
+    return (f"SELECT 'A' AS variant, CAST({metric} AS DOUBLE) AS x FROM enriched "
+            f"WHERE contains(lower(title), '{ka.lower()}') UNION ALL "
+            f"SELECT 'B', CAST({metric} AS DOUBLE) FROM enriched WHERE contains(lower(title), '{kb.lower()}')")
+
+
+@register("ab_group_stats", with_content(f"""
+SELECT variant, count(*) AS n, {R('avg(x)', 4)} AS mean, {R('stddev_samp(x)', 4)} AS std,
+       {R('quantile_cont(x, 0.5)', 4)} AS median FROM vr GROUP BY 1""", f"vr AS ({_attr_rows(*AB_ATTR)})"))
+def q_ab_group_stats(spark, d):
+    v = AB.attribute_variants(content(spark, d), *AB_ATTR)
+    return AB.group_stats(v).select("variant", "n", fixed("mean", 4).alias("mean"), fixed("std", 4).alias("std"),
+                                    fixed("median", 4).alias("median"))
+
+
+@register("ab_test_attribute", _ab_sql(_attr_rows(*AB_ATTR), AB_ATTR[1], AB_ATTR[2], AB_ATTR[3], _AB_ALL_COLS))
+def q_ab_test_attribute(spark, d):
+    return AB.ab_test_attribute(content(spark, d), *AB_ATTR, with_p=False)
+
+
+@register("ab_test_title", _ab_sql(_title_rows(*AB_TITLE), f'"{AB_TITLE[0]}"', f'"{AB_TITLE[1]}"', AB_TITLE[2],
+                                   _AB_ALL_COLS))
+def q_ab_test_title(spark, d):
+    return AB.ab_test_title(content(spark, d), *AB_TITLE, with_p=False)
+
+
+@register("ab_welch", _ab_sql(_attr_rows(*AB_CAT), AB_CAT[1], AB_CAT[2], AB_CAT[3], f"""metric,
+  {R('(mean_a - mean_b) / sqrt(va + vb)', 4)} AS t_statistic,
+  {R('(va + vb) * (va + vb) / (va * va / (n_a - 1) + vb * vb / (n_b - 1))', 2)} AS degrees_of_freedom"""))
+def q_ab_welch(spark, d):
+    return AB.ab_test_attribute(content(spark, d), *AB_CAT, with_p=False).select(
+        "metric", "t_statistic", "degrees_of_freedom")
+
+
+@register("ab_effect", _ab_sql(_attr_rows(*AB_CAT), AB_CAT[1], AB_CAT[2], AB_CAT[3], f"""
+  {R('CASE WHEN pooled > 0 THEN (mean_a - mean_b) / pooled ELSE 0 END', 4)} AS cohens_d,
+  CASE WHEN abs(CASE WHEN pooled > 0 THEN (mean_a - mean_b) / pooled ELSE 0 END) >= 0.8 THEN 'large'
+       WHEN abs(CASE WHEN pooled > 0 THEN (mean_a - mean_b) / pooled ELSE 0 END) >= 0.5 THEN 'medium'
+       WHEN abs(CASE WHEN pooled > 0 THEN (mean_a - mean_b) / pooled ELSE 0 END) >= 0.2 THEN 'small'
+       ELSE 'negligible' END AS effect_size,
+  {R('abs(mean_a - mean_b) / greatest(least(abs(mean_a), abs(mean_b)), 1e-9) * 100', 2)} AS difference_pct,
+  CASE WHEN mean_a > mean_b THEN label_a ELSE label_b END AS winner"""))
+def q_ab_effect(spark, d):
+    return AB.ab_test_attribute(content(spark, d), *AB_CAT, with_p=False).select(
+        "cohens_d", "effect_size", "difference_pct", "winner")
+
+
+@register("ab_test_full")
+def q_ab_test_full(spark, d):
+    """P-value, confidence interval, tier and verdict (Student t has no SQL oracle)."""
+    return AB.ab_test_attribute(content(spark, d), *AB_ATTR, with_p=True)
+
+
+@register("ab_test_title_full")
+def q_ab_test_title_full(spark, d):
+    return AB.ab_test_title(content(spark, d), *AB_TITLE, with_p=True)
