@@ -546,3 +546,127 @@ def q_ab_test_full(spark, d):
 @register("ab_test_title_full")
 def q_ab_test_title_full(spark, d):
     return AB.ab_test_title(content(spark, d), *AB_TITLE, with_p=True)
+
+
+# ---------------------------------------------------------------- models
+
+from viewscope.operators import models as M  # noqa: E402
+from viewscope.schema import FEATURE_COLUMNS  # noqa: E402
+
+_Z = [f"z_{c}" for c in FEATURE_COLUMNS]
+_Z_SQL = ",\n".join(
+    f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS z_{c}" for c in FEATURE_COLUMNS)
+_ZCTE = f"""zf AS (SELECT video_id, category, {_Z_SQL} FROM enriched),
+cs AS (SELECT category AS c, count(*) AS n, {', '.join(f'sum(z_{c}) AS s_{c}' for c in FEATURE_COLUMNS)},
+              sum({' + '.join(f'z_{c} * z_{c}' for c in FEATURE_COLUMNS)}) AS q
+       FROM zf GROUP BY 1)"""
+
+
+@register("standardized_features", with_content(
+    f"SELECT video_id, {', '.join(R(f'z_{c}', 6) + f' AS z_{c}' for c in FEATURE_COLUMNS)} FROM zf", _ZCTE))
+def q_standardized_features(spark, d):
+    z = M.standardize(content(spark, d))
+    return z.select("video_id", *[fixed(c, 6).alias(c) for c in _Z])
+
+
+_SQ = " + ".join(f"z_{c} * z_{c}" for c in FEATURE_COLUMNS)
+_DOT = " + ".join(f"z_{c} * s_{c}" for c in FEATURE_COLUMNS)
+
+
+@register("silhouette_by_group", with_content(f"""
+SELECT {R('avg(CASE WHEN own_n <= 1 OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)', 6)} AS silhouette
+FROM (SELECT video_id,
+             max(CASE WHEN own THEN n END) AS own_n,
+             max(CASE WHEN own THEN tot / (n - 1) END) AS a,
+             min(CASE WHEN NOT own THEN tot / n END) AS b
+      FROM (SELECT video_id, zf.category = cs.c AS own, cs.n,
+                   ({_SQ}) * cs.n - 2 * ({_DOT}) + cs.q AS tot
+            FROM zf JOIN cs ON TRUE) GROUP BY video_id)""", _ZCTE))
+def q_silhouette_by_group(spark, d):
+    z = M.standardize(content(spark, d), keep=["video_id", "category"])
+    return M.silhouette(z, "category", _Z).select(fixed("silhouette", 6).alias("silhouette"))
+
+
+@register("inertia_by_group", with_content(f"""
+SELECT {R('sum(q - (' + ' + '.join(f's_{c} * s_{c}' for c in FEATURE_COLUMNS) + ') / n)', 4)} AS inertia
+FROM cs""", _ZCTE))
+def q_inertia_by_group(spark, d):
+    z = M.standardize(content(spark, d), keep=["video_id", "category"])
+    return M.inertia(z, "category", _Z).select(fixed("inertia", 4).alias("inertia"))
+
+
+@register("segment_labels", with_content(f"""
+SELECT category, videos, {R('avg_views', 4)} AS avg_views, {R('avg_engagement_rate_pct', 4)} AS avg_engagement_rate_pct,
+       {R('avg_watch_time_seconds', 4)} AS avg_watch_time_seconds, {R('avg_share_rate', 6)} AS avg_share_rate,
+       CASE WHEN hv AND he THEN 'High reach, high engagement' WHEN NOT hv AND he THEN 'Niche but sticky'
+            WHEN hv AND NOT he THEN 'Broad reach, lighter interaction' WHEN hs THEN 'Share friendly'
+            ELSE 'Balanced performers' END AS label
+FROM (SELECT *, avg_views >= median(avg_views) OVER () AS hv,
+                avg_engagement_rate_pct >= median(avg_engagement_rate_pct) OVER () AS he,
+                avg_share_rate >= median(avg_share_rate) OVER () AS hs
+      FROM (SELECT category, count(*) AS videos, avg(views) AS avg_views,
+                   avg(engagement_rate_pct) AS avg_engagement_rate_pct,
+                   avg(avg_watch_time_seconds) AS avg_watch_time_seconds, avg(share_rate) AS avg_share_rate
+            FROM enriched GROUP BY 1))"""))
+def q_segment_labels(spark, d):
+    s = M.segment_labels(M.segment_summary(content(spark, d), "category"))
+    return s.select("category", "videos", fixed("avg_views", 4).alias("avg_views"),
+                    fixed("avg_engagement_rate_pct", 4).alias("avg_engagement_rate_pct"),
+                    fixed("avg_watch_time_seconds", 4).alias("avg_watch_time_seconds"),
+                    fixed("avg_share_rate", 6).alias("avg_share_rate"), "label")
+
+
+@register("percentile_flag", with_content(f"""
+SELECT count(*) FILTER (WHERE views > (SELECT quantile_cont(views, 0.96) FROM enriched)) AS flagged,
+       count(*) AS rows, {R('(SELECT quantile_cont(views, 0.96) FROM enriched)', 4)} AS threshold
+FROM enriched"""))
+def q_percentile_flag(spark, d):
+    return M.percentile_flag(content(spark, d), "views", 0.04)
+
+
+@register("r2_group_mean", with_content(f"""
+SELECT {R('1 - sum((y - gm) * (y - gm)) / sum((y - mu) * (y - mu))', 6)} AS r2
+FROM (SELECT ln(1 + views) AS y, avg(ln(1 + views)) OVER (PARTITION BY category) AS gm,
+             avg(ln(1 + views)) OVER () AS mu FROM enriched)"""))
+def q_r2_group_mean(spark, d):
+    return M.r2_group_mean(content(spark, d), "category")
+
+
+@register("clusters")
+def q_clusters(spark, d):
+    return M.clusters(content(spark, d))
+
+
+@register("cluster_points")
+def q_cluster_points(spark, d):
+    return M.cluster_points(content(spark, d))
+
+
+@register("cluster_sweep")
+def q_cluster_sweep(spark, d):
+    return M.cluster_sweep(content(spark, d))
+
+
+@register("anomaly_scores")
+def q_anomaly_scores(spark, d):
+    return M.anomaly_scores(content(spark, d)).select("video_id", fixed("anomaly_score", 6).alias("anomaly_score"))
+
+
+@register("anomalies")
+def q_anomalies(spark, d):
+    return M.anomalies(content(spark, d), 0.04)
+
+
+@register("anomaly_sweep")
+def q_anomaly_sweep(spark, d):
+    return M.anomaly_sweep(content(spark, d))
+
+
+@register("metadata_signal")
+def q_metadata_signal(spark, d):
+    return M.metadata_signal(content(spark, d))[0]
+
+
+@register("metadata_top_features")
+def q_metadata_top_features(spark, d):
+    return M.metadata_signal(content(spark, d))[1]
