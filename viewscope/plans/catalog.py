@@ -670,3 +670,29 @@ def q_metadata_signal(spark, d):
 @register("metadata_top_features")
 def q_metadata_top_features(spark, d):
     return M.metadata_signal(content(spark, d))[1]
+
+
+# ---------------------------------------------------------------- streaming refresh
+
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from viewscope.session import checkpoint_dir  # noqa: E402
+from viewscope.sources.tables import content_from_tables  # noqa: E402
+from viewscope.streaming import refresh as RF  # noqa: E402
+
+
+@register("upload_refresh")
+def q_upload_refresh(spark, d):
+    """ST1: land valid uploads and uploads with an extra column; return the refresh log."""
+    root = _os.path.join(checkpoint_dir(spark), f"refresh-{_uuid.uuid4().hex[:12]}")
+    landing = _os.path.join(root, "landing")
+    raw = content_from_tables(spark, d).withColumn("publish_date", F.date_format("publish_date", "yyyy-MM-dd"))
+    raw.repartition(2).write.option("header", True).csv(_os.path.join(landing, "a_valid"))
+    raw.withColumn("extra", F.lit("x")).repartition(2).write.option("header", True).csv(
+        _os.path.join(landing, "b_extra_column"))
+    q = RF.run_refresh(spark, _os.path.join(landing, "*"), _os.path.join(root, "snapshots"),
+                       _os.path.join(root, "log"), _os.path.join(root, "stream-checkpoint"))
+    q.awaitTermination()
+    return RF.refresh_log(spark, _os.path.join(root, "log")).select(
+        "batch_id", "status", "rows_loaded", "error").orderBy("batch_id")
