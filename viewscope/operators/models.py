@@ -351,18 +351,22 @@ def percentile_flag(df: DataFrame, col: str = "views", contamination: float = 0.
 META_COLUMNS = ["category", "thumbnail_style", "publish_month"]
 
 
-def _design(train: DataFrame, *frames: DataFrame):
+def _design(frame: DataFrame):
+    """One-hot design over the whole table's vocabulary, fitted once.
+
+    A value absent from a training fold has an all-zero column there, so the
+    ridge weight for it is 0 and held-out rows with that value get no
+    contribution from it: the same as ignoring unknown values.
+    """
     idx = [StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc")
-           .fit(train) for c in META_COLUMNS]
-    out = []
-    for f in (train, *frames):
-        for m in idx:
-            f = m.transform(f)
-        out.append(f)
+           .fit(frame) for c in META_COLUMNS]
+    out = frame
+    for m in idx:
+        out = m.transform(out)
     enc = OneHotEncoder(inputCols=[f"_i_{c}" for c in META_COLUMNS], outputCols=[f"_o_{c}" for c in META_COLUMNS],
-                        dropLast=False, handleInvalid="keep").fit(out[0])
+                        dropLast=False, handleInvalid="keep").fit(out)
     asm = VectorAssembler(inputCols=[f"_o_{c}" for c in META_COLUMNS], outputCol="features")
-    return [asm.transform(enc.transform(f)) for f in out], idx
+    return asm.transform(enc.transform(out)), idx
 
 
 def _ridge(train: DataFrame, alpha: float):
@@ -380,15 +384,15 @@ def metadata_signal(df: DataFrame, alpha: float = 1.0, folds: int = 5) -> tuple[
     row count.
     """
     base = df.select("video_id", *META_COLUMNS, F.log1p("views").alias("y")) \
-             .withColumn("_fold", F.pmod(F.xxhash64("video_id", F.lit(SEED)), F.lit(folds)).cast("int")) \
-             .persist(StorageLevel.MEMORY_AND_DISK)
+             .withColumn("_fold", F.pmod(F.xxhash64("video_id", F.lit(SEED)), F.lit(folds)).cast("int"))
+    design, idx = _design(base)
+    design = design.select("_fold", "y", "features").persist(StorageLevel.MEMORY_AND_DISK)
     preds = None
     for k in range(folds):
-        tr, te = base.where(F.col("_fold") != k), base.where(F.col("_fold") == k)
+        tr, te = design.where(F.col("_fold") != k), design.where(F.col("_fold") == k)
         if te.limit(1).count() == 0 or tr.limit(1).count() == 0:
             continue
-        (tr_x, te_x), _ = _design(tr, te)
-        p = _ridge(tr_x, alpha).transform(te_x).select("y", "prediction")
+        p = _ridge(tr, alpha).transform(te).select("y", "prediction")
         preds = p if preds is None else preds.unionByName(p)
     r2 = None
     if preds is not None:
@@ -396,8 +400,7 @@ def metadata_signal(df: DataFrame, alpha: float = 1.0, folds: int = 5) -> tuple[
         agg = preds.agg(F.sum((F.col("y") - F.col("prediction")) ** 2).alias("sse"),
                         F.sum((F.col("y") - F.lit(m)) ** 2).alias("sst")).first()
         r2 = None if not agg["sst"] else 1.0 - agg["sse"] / agg["sst"]
-    (full_x,), idx = _design(base)
-    model = _ridge(full_x, alpha)
+    model = _ridge(design, alpha)
     names = []
     for c, m in zip(META_COLUMNS, idx):
         names += [f"{c}_{v}" for v in m.labels] + [f"{c}___unseen"]
@@ -405,7 +408,7 @@ def metadata_signal(df: DataFrame, alpha: float = 1.0, folds: int = 5) -> tuple[
     spark = df.sparkSession
     top = sorted([(n, float(v)) for n, v in zip(names, coefs) if not n.endswith("___unseen")],
                  key=lambda t: abs(t[1]), reverse=True)[:10]
-    base.unpersist()
+    design.unpersist()
     score = spark.createDataFrame([(None if r2 is None else round(r2, 4),)], "cross_validated_r2 double")
     feats = spark.createDataFrame([(n, round(v, 4)) for n, v in top], "feature string, coefficient double")
     return score, feats
