@@ -13,7 +13,7 @@ splitting on the postings side of the join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewscope.functions.numeric import fixed
@@ -39,9 +39,9 @@ def tfidf(df: DataFrame, id_col: str = "video_id", text_col: str = "title",
     idf = (doc_freq.join(F.broadcast(n_docs), "_k")   # one-row side
            .select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")))
     raw = tf.join(idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return (raw.join(norms, id_col)
-            .select(id_col, "term", "tf", "idf", (F.col("_w") / F.col("_norm")).alias("weight")))
+    # one document's terms per window group: bounded by that document's length
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", "tf", "idf", (F.col("_w") / norm).alias("weight"))
 
 
 def similar_titles(df: DataFrame, video_id: int, top_n: int = 5, postings: DataFrame | None = None) -> DataFrame:

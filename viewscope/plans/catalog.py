@@ -430,7 +430,8 @@ FROM (SELECT e.video_id, e.title, e.category, e.thumbnail_style, e.views, e.enga
       WHERE e.video_id <> {ANCHOR_ID})
 ORDER BY {R('sim', 10)} DESC, video_id LIMIT {TOP_N}""", _terms_sql_cte()))
 def q_similar_titles(spark, d):
-    return X.similar_titles(content(spark, d), ANCHOR_ID, TOP_N)
+    from viewscope.plans.content import title_index
+    return X.similar_titles(content(spark, d), ANCHOR_ID, TOP_N, postings=title_index(spark, d))
 
 
 @register("title_token_lift", with_content(f"""

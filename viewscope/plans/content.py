@@ -74,3 +74,23 @@ def content_table(spark: SparkSession, sf_dir: str) -> ContentTable:
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_table(spark, sf_dir).frame
+
+
+_INDEX: dict[str, DataFrame] = {}
+
+
+def title_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF postings of the content titles, written once next to the content table.
+
+    Similarity lookups then read only the anchor's postings (filter pushed
+    into the scan) and join them against the stored postings.
+    """
+    from viewscope.operators.text import tfidf
+
+    table = content_table(spark, sf_dir)
+    hit = _INDEX.get(table.path)
+    if hit is None:
+        path = table.path + "-title-postings"
+        tfidf(table.frame).write.mode("overwrite").parquet(path)
+        hit = _INDEX[table.path] = spark.read.parquet(path)
+    return hit
