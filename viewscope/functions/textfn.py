@@ -43,8 +43,8 @@ def tokens(col: str | Column, stop_words: tuple[str, ...] | None = None) -> Colu
 def uni_bigrams(unigrams: Column) -> Column:
     """Unigrams followed by bigrams of adjacent unigrams.
 
-    ``unigrams`` should be a column reference (see ``with_terms``): a lambda
-    that re-evaluated the tokenizer per element would be quadratic per text.
+    ``unigrams`` is referenced several times, so it must be a bound value (see
+    ``terms``); an inlined tokenizer would run once per reference.
     """
     n = F.size(unigrams)
     pairs = F.arrays_zip(F.slice(unigrams, 1, F.greatest(n - 1, F.lit(0))),
@@ -53,8 +53,13 @@ def uni_bigrams(unigrams: Column) -> Column:
     return F.concat(unigrams, F.coalesce(bigrams, F.array().cast("array<string>")))
 
 
+def terms(col: str | Column, stop_words: tuple[str, ...] | None = None) -> Column:
+    """Unigrams then bigrams. The unigram array is bound once through a one-element
+    ``transform`` so the tokenizer is not re-evaluated for every reference."""
+    bound = F.transform(F.array(tokens(col, stop_words)), lambda u: uni_bigrams(u))
+    return F.element_at(bound, 1)
+
+
 def with_terms(df, text_col: str, out_col: str = "_terms", stop_words: tuple[str, ...] | None = None):
     """Add the unigram+bigram array of ``text_col``; the tokenizer runs once per row."""
-    return (df.withColumn("_unigrams", tokens(text_col, stop_words))
-              .withColumn(out_col, uni_bigrams(F.col("_unigrams")))
-              .drop("_unigrams"))
+    return df.withColumn(out_col, terms(text_col, stop_words))
