@@ -124,12 +124,19 @@ def _features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return vec.persist(StorageLevel.MEMORY_AND_DISK), zcols
 
 
+_SWEEPS: dict[tuple, tuple] = {}
+
+
 def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None) -> tuple[list[dict], dict, DataFrame]:
     """Fit k-means for every k (rows > k), measure silhouette and inertia.
 
     Returns (runs, assignments by k, features). Only the per-k scalars and
-    the k centroids reach the driver.
+    the k centroids reach the driver. The fits of one input plan are shared
+    by the selection, the sweep and the scatter sample within a session.
     """
+    key = (df.semanticHash(), tuple(k_range or CLUSTER_K_RANGE))
+    if key in _SWEEPS:
+        return _SWEEPS[key]
     feats, zcols = _features(df)
     n = feats.count()
     runs, assignments = [], {}
@@ -139,18 +146,17 @@ def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None) -> tuple
         model = KMeans(k=k, seed=SEED, maxIter=100, featuresCol="features", predictionCol="cluster_id").fit(feats)
         pred = model.transform(feats).select("video_id", *zcols, F.col("cluster_id").cast("int"))
         sil = silhouette(pred, "cluster_id", zcols).first()["silhouette"]
-        sizes = [r["c"] for r in pred.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("c"))
-                 .orderBy("cluster_id").collect()]
+        sizes = list(model.summary.clusterSizes)
         runs.append({"k": k, "silhouette_score": float(sil) if sil is not None else None,
                      "inertia": float(model.summary.trainingCost), "cluster_sizes": sizes})
         assignments[k] = pred.select("video_id", "cluster_id")
+    _SWEEPS[key] = (runs, assignments, feats)
     return runs, assignments, feats
 
 
 def cluster_sweep(df: DataFrame) -> DataFrame:
     """M7: one row per k with silhouette, inertia and cluster sizes."""
-    runs, _, feats = cluster_sweep_runs(df)
-    feats.unpersist()
+    runs, _, _ = cluster_sweep_runs(df)
     spark = df.sparkSession
     rows = [(r["k"], None if r["silhouette_score"] is None else round(r["silhouette_score"], 4),
              round(r["inertia"], 2), ",".join(str(s) for s in r["cluster_sizes"])) for r in runs]
