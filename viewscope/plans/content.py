@@ -22,6 +22,7 @@ from viewscope.session import checkpoint_dir
 from viewscope.sources.tables import content_from_tables
 
 _CACHE: dict[tuple[str, str], "ContentTable"] = {}
+ROWS_PER_RANGE_PARTITION = 1_000_000
 
 
 @dataclass
@@ -48,6 +49,11 @@ def load_content(raw: DataFrame, source_name: str, out_path: str, mode: str = "f
     typed = Q.finalize_types(good.select(*Q.RAW_COLUMNS), v.date_only)
     latest = v.report["date_max"]
     keep: list = []
+    if partitions is None:
+        # range partitions sized from the audited row count: ~1M rows each,
+        # never fewer than the cluster's default parallelism
+        sc = raw.sparkSession.sparkContext
+        partitions = max(sc.defaultParallelism, -(-int(v.report["rows_loaded"] or 0) // ROWS_PER_RANGE_PARTITION))
     enriched = E.enrich(typed, latest, n_days_bound=_n_days(v.report), partitions=partitions, keep=keep)
     enriched.write.mode("overwrite").parquet(out_path)
     for frame in keep:
