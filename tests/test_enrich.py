@@ -57,3 +57,33 @@ def test_calendar(spark):
     df = frame(spark, ["2024-01-01"], [1])
     r = E.add_calendar(df.withColumn("title", F.lit("x"))).first()
     assert (r.publish_month, r.publish_weekday) == ("2024-01", "Monday")
+
+
+def test_rolling_with_time_of_day_matches_pandas(spark):
+    rng = np.random.default_rng(7)
+    n = 400
+    base = np.datetime64("2024-01-01T00:00:00")
+    secs = rng.integers(0, 40 * 86400, n)
+    secs[:60] = secs[0]                     # a block of identical timestamps
+    ts = base + secs.astype("timedelta64[s]")
+    ids = rng.permutation(n) + 1
+    views = rng.integers(1, 100, n)
+    pdf = pd.DataFrame({"video_id": ids, "publish_date": ts, "views": views,
+                        "engagement_rate_pct": views * 0.5})
+    df = spark.createDataFrame(pdf).withColumn("publish_date", F.col("publish_date").cast("timestamp_ntz"))
+    out = E.rolling_means(df, {"r7": ("views", 7), "r30": ("engagement_rate_pct", 30)}, partitions=6)
+    got = out.toPandas().set_index("video_id")
+    ref = pdf.sort_values(["publish_date", "video_id"]).set_index("publish_date")
+    r7 = ref["views"].rolling("7D", min_periods=1).mean().to_numpy()
+    r30 = ref["engagement_rate_pct"].rolling("30D", min_periods=1).mean().to_numpy()
+    order = ref["video_id"].to_numpy()
+    assert np.allclose(got.loc[order, "r7"].to_numpy(), r7, rtol=0, atol=1e-9)
+    assert np.allclose(got.loc[order, "r30"].to_numpy(), r30, rtol=0, atol=1e-9)
+
+
+def test_days_since_publish_with_times(spark):
+    pdf = pd.DataFrame({"video_id": [1, 2], "views": [5, 5],
+                        "publish_date": pd.to_datetime(["2024-01-01 23:00", "2024-01-03 01:00"])})
+    df = spark.createDataFrame(pdf).withColumn("publish_date", F.col("publish_date").cast("timestamp_ntz"))
+    out = E.add_recency(df, dt.datetime(2024, 1, 3, 1, 0)).orderBy("video_id").collect()
+    assert [r.days_since_publish for r in out] == [1, 0]

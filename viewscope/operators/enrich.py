@@ -70,9 +70,9 @@ def add_recency(df: DataFrame, latest) -> DataFrame:
     audit report, so no extra pass or join is needed.
     """
     if isinstance(latest, dt.datetime):
-        lit_latest = F.lit(latest).cast("timestamp_ntz")
-        seconds = (F.unix_timestamp(lit_latest) - F.unix_timestamp(F.col("publish_date").cast("timestamp_ntz")))
-        days = F.floor(seconds / 86400).cast("int")
+        lit_latest = F.lit(latest.isoformat(sep=" ")).cast("timestamp_ntz")
+        micros = F.timestamp_diff("MICROSECOND", F.col("publish_date").cast("timestamp_ntz"), lit_latest)
+        days = F.floor(micros / 86_400_000_000).cast("int")
     else:
         days = F.datediff(F.lit(latest), F.col("publish_date"))
     return (df.withColumn("days_since_publish", days)
@@ -124,44 +124,27 @@ def _running_sums_fn(value_cols: list[str]):
     return run
 
 
-def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = None,
-                  partitions: int | None = None, n_days_bound: int | None = None,
-                  keep: list | None = None) -> DataFrame:
-    """W1-W3 for a table whose ``publish_date`` is a DATE and ``video_id`` is unique.
+def segmented_running_sums(frame: DataFrame, order_cols: list[str], value_cols: list[str], parts: int,
+                           keep: list | None = None) -> DataFrame:
+    """Running sums of ``value_cols`` within each ``_day`` segment, ordered by ``order_cols`` (inclusive).
 
-    ``windows`` maps output column -> (source column, N days).
-    ``n_days_bound`` is an upper bound on distinct days (from the audit
-    report); the per-day table is broadcast only when it is under the limit.
-    """
-    windows = windows or ROLLING_WINDOWS
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    value_cols = sorted({src for src, _ in windows.values()})
-    base = df.withColumn("_day", F.unix_date(F.col("publish_date")))
+    Adds ``_run_n`` (rows so far) and ``_run_<c>``. Skew-safe: rows are
+    range-partitioned on (_day, *order_cols), so one segment may span many
+    tasks; each task scans its sorted rows with Arrow/NumPy and a segment cut
+    by partition boundaries gets its earlier pieces' totals from an offsets
+    table of at most ``parts - 1`` rows (safe to broadcast).
 
-    # 1. per-day totals and the previous-days windows on the small table
-    daily = base.groupBy("_day").agg(
-        F.count(F.lit(1)).alias("_d_n"), *[F.sum(c).cast("double").alias(f"_d_{c}") for c in value_cols])
-    prev_exprs = []
-    for out_col, (src, n) in windows.items():
-        w = Window.orderBy("_day").rangeBetween(-(n - 1), -1)
-        prev_exprs.append(F.coalesce(F.sum(f"_d_{src}").over(w), F.lit(0.0)).alias(f"_p_{out_col}"))
-        prev_exprs.append(F.coalesce(F.sum("_d_n").over(w), F.lit(0)).alias(f"_pn_{out_col}"))
-    prev = daily.select("_day", *prev_exprs)
-    if n_days_bound is not None and n_days_bound <= MAX_BROADCAST_ROWS:
-        prev = F.broadcast(prev)
-
-    # 2. same-day running sums, skew-safe via range partitioning. The scan runs
-    # once and is persisted: the offsets must come from the very partitioning
-    # that produced the running sums (a second evaluation of the range
-    # exchange could sample different boundaries). Lost cached blocks are
-    # recomputed from lineage with the same partitioner.
-    ranged = (base.repartitionByRange(parts, "_day", "video_id")
-                  .withColumn("_pid", F.spark_partition_id()))
+    The scan runs once and is persisted: the offsets must come from the very
+    partitioning that produced the running sums (a second evaluation of the
+    range exchange could sample different boundaries). Lost cached blocks are
+    recomputed from lineage with the same partitioner.
+    """
+    ranged = (frame.repartitionByRange(parts, "_day", *order_cols)
+                   .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields
                           + [T.StructField("_cum_n", T.LongType())]
                           + [T.StructField(f"_cum_{c}", T.DoubleType()) for c in value_cols])
-    scanned = (ranged.sortWithinPartitions("_day", "video_id")
+    scanned = (ranged.sortWithinPartitions("_day", *order_cols)
                .mapInArrow(_running_sums_fn(value_cols), schema)
                .persist(StorageLevel.MEMORY_AND_DISK))
     if keep is not None:
@@ -176,14 +159,86 @@ def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = No
         "_pid", "_day", F.coalesce(F.sum("_t_n").over(earlier), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0.0)).alias(f"_o_{c}") for c in value_cols])
         .where(F.col("_o_n") > 0))
-    joined = (scanned.join(F.broadcast(offsets), ["_pid", "_day"], "left")
-              .join(prev, ["_day"], "left"))
+    out = scanned.join(F.broadcast(offsets), ["_pid", "_day"], "left")
+    out = out.withColumn("_run_n", F.col("_cum_n") + F.coalesce(F.col("_o_n"), F.lit(0)))
+    for c in value_cols:
+        out = out.withColumn(f"_run_{c}", F.col(f"_cum_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0.0)))
+    return out.drop("_pid", "_cum_n", "_o_n", *[f"_cum_{c}" for c in value_cols], *[f"_o_{c}" for c in value_cols])
+
+
+def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = None,
+                  partitions: int | None = None, n_days_bound: int | None = None,
+                  keep: list | None = None) -> DataFrame:
+    """W1-W3 for a table whose ``video_id`` is unique; ``publish_date`` a DATE or a TIMESTAMP.
+
+    ``windows`` maps output column -> (source column, N days). The frame of a
+    row at time t is (t - N days, t]: every row of the N-1 previous calendar
+    days, the rows of its own day up to itself in (time, id) order and, when
+    times of day exist, the rows of day d-N later in the day than t.
+    ``n_days_bound`` is an upper bound on distinct days (from the audit
+    report); the per-day table is broadcast only when it is under the limit.
+    Persisted intermediates are appended to ``keep`` for the caller to release.
+    """
+    windows = windows or ROLLING_WINDOWS
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    value_cols = sorted({src for src, _ in windows.values()})
+    timed = dict(df.dtypes)["publish_date"] != "date"
+    base = df.withColumn("_day", F.unix_date(F.to_date(F.col("publish_date"))))
+    order = ["video_id"]
+    if timed:
+        base = base.withColumn("_tod", F.expr(
+            "timestampdiff(MICROSECOND, CAST(to_date(publish_date) AS TIMESTAMP_NTZ), "
+            "CAST(publish_date AS TIMESTAMP_NTZ))"))
+        order = ["_tod", "video_id"]
+
+    # 1. per-day totals and the previous-days windows on the small table (one
+    #    row per calendar day; the window runs over that table only)
+    daily = base.groupBy("_day").agg(
+        F.count(F.lit(1)).alias("_d_n"), *[F.sum(c).cast("double").alias(f"_d_{c}") for c in value_cols])
+    small = n_days_bound is not None and n_days_bound <= MAX_BROADCAST_ROWS
+    prev_exprs = []
+    for out_col, (src, n) in windows.items():
+        w = Window.orderBy("_day").rangeBetween(-(n - 1), -1)
+        prev_exprs.append(F.coalesce(F.sum(f"_d_{src}").over(w), F.lit(0.0)).alias(f"_p_{out_col}"))
+        prev_exprs.append(F.coalesce(F.sum("_d_n").over(w), F.lit(0)).alias(f"_pn_{out_col}"))
+    prev = daily.select("_day", *prev_exprs)
+    prev = F.broadcast(prev) if small else prev
 
-    out = joined
+    # 2. own-day running sums
+    out = segmented_running_sums(base, order, value_cols, parts, keep).join(prev, ["_day"], "left")
     for out_col, (src, _) in windows.items():
-        num = F.col(f"_p_{out_col}") + F.col(f"_cum_{src}") + F.coalesce(F.col(f"_o_{src}"), F.lit(0.0))
-        den = F.col(f"_pn_{out_col}") + F.col("_cum_n") + F.coalesce(F.col("_o_n"), F.lit(0))
-        out = out.withColumn(out_col, num / den)
+        out = (out.withColumn(f"_num_{out_col}", F.col(f"_p_{out_col}") + F.col(f"_run_{src}"))
+                  .withColumn(f"_den_{out_col}", F.col(f"_pn_{out_col}") + F.col("_run_n")))
+
+    # 3. partial edge day d-N (only with times of day): rows of day d-N later
+    #    than the row's own time = day total - rows up to that time, the latter
+    #    from one more segmented scan over edge rows merged with query rows
+    if timed:
+        for n in sorted({n for _, n in windows.values()}):
+            edge = base.select((F.col("_day") + n).alias("_day"), "_tod", F.lit(0).alias("_kind"), "video_id",
+                               F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in value_cols])
+            query = base.select("_day", "_tod", F.lit(1).alias("_kind"), "video_id", F.lit(0.0).alias("_one"),
+                                *[F.lit(0.0).alias(c) for c in value_cols])
+            scan = segmented_running_sums(edge.unionByName(query), ["_tod", "_kind", "video_id"],
+                                          ["_one", *value_cols], parts, keep)
+            upto = scan.where(F.col("_kind") == 1).select(
+                "video_id", F.col("_run__one").alias(f"_L{n}_n"),
+                *[F.col(f"_run_{c}").alias(f"_L{n}_{c}") for c in value_cols])
+            day_tot = daily.select((F.col("_day") + n).alias("_day"), F.col("_d_n").alias(f"_T{n}_n"),
+                                   *[F.col(f"_d_{c}").alias(f"_T{n}_{c}") for c in value_cols])
+            out = (out.join(upto, ["video_id"], "left")
+                   .join(F.broadcast(day_tot) if small else day_tot, ["_day"], "left"))
+            for out_col, (src, wn) in windows.items():
+                if wn != n:
+                    continue
+                e_v = F.coalesce(F.col(f"_T{n}_{src}"), F.lit(0.0)) - F.coalesce(F.col(f"_L{n}_{src}"), F.lit(0.0))
+                e_n = F.coalesce(F.col(f"_T{n}_n"), F.lit(0)) - F.coalesce(F.col(f"_L{n}_n"), F.lit(0.0))
+                out = (out.withColumn(f"_num_{out_col}", F.col(f"_num_{out_col}") + e_v)
+                          .withColumn(f"_den_{out_col}", F.col(f"_den_{out_col}") + e_n))
+
+    for out_col in windows:
+        out = out.withColumn(out_col, F.col(f"_num_{out_col}") / F.col(f"_den_{out_col}"))
     return out.select(*df.columns, *windows.keys())
 
 
