@@ -405,7 +405,7 @@ post AS (SELECT video_id, term, tf, idf, w / norm AS weight FROM raw JOIN nrm US
 
 
 @register("title_tokens", with_content("""
-SELECT video_id, unnest(generate_series(0, len(t) - 1)) AS position, unnest(t) AS term FROM trm""",
+SELECT video_id, CAST(unnest(generate_series(0, len(t) - 1)) AS INTEGER) AS position, unnest(t) AS term FROM trm""",
                                         _terms_sql_cte()))
 def q_title_tokens(spark, d):
     return X.title_terms(content(spark, d))
