@@ -51,32 +51,33 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], keys: list[str] |
     # one row per group: broadcasting is bounded by the number of groups, which
     # callers keep small (global, or a handful of variants)
     tagged = base.join(F.broadcast(brackets), keys, "inner")
-    per_q = tagged.select(*keys, "_n", "_x", F.explode(F.col("_br")).alias("_b"))
-    below = per_q.groupBy(*keys, F.col("_b.qi").alias("qi")).agg(
-        F.first("_n").alias("_n"), F.count_if(F.col("_x") < F.col("_b.lo")).alias("_below"))
-    inside = (per_q.where((F.col("_x") >= F.col("_b.lo")) & (F.col("_x") <= F.col("_b.hi")))
-              .groupBy(*keys, F.col("_b.qi").alias("qi"), "_x").agg(F.count(F.lit(1)).alias("_c")))
-
-    w = Window.partitionBy(*keys, "qi").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (inside.join(below, [*keys, "qi"])
-              .withColumn("_start", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0))))
+    per_q = (tagged.select(*keys, "_n", "_x", F.explode(F.col("_br")).alias("_b"))
+             .where(F.col("_x") <= F.col("_b.hi"))
+             # rows below the bracket collapse into one NULL-valued group
+             .select(*keys, "_n", F.col("_b.qi").alias("qi"),
+                     F.when(F.col("_x") >= F.col("_b.lo"), F.col("_x")).alias("_v")))
+    hist = per_q.groupBy(*keys, "qi", "_v").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    w = (Window.partitionBy(*keys, "qi").orderBy(F.col("_v").asc_nulls_first())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    ranked = (hist.withColumn("_start", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+              .where(F.col("_v").isNotNull()))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
-    h = qarr[F.col("qi")] * (F.col("_n") - 1)
-    k = F.floor(h)
-    ranked = ranked.withColumn("_h", h).withColumn("_k", k)
-    covers = lambda r: (F.col("_start") <= r) & (r < F.col("_start") + F.col("_c"))
-    resolved = ranked.groupBy(*keys, "qi").agg(
-        F.first("_h").alias("_h"), F.first("_k").alias("_k"), F.first("_n").alias("_n"),
-        F.max(F.when(covers(F.col("_k")), F.col("_x"))).alias("_v0"),
-        F.max(F.when(covers(F.col("_k") + 1), F.col("_x"))).alias("_v1"))
-    frac = F.col("_h") - F.col("_k")
-    value = F.when(F.col("_v1").isNull() | (frac == 0), F.col("_v0")).otherwise(
-        F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac)
-    pivot = resolved.select(*keys, "qi", value.alias("_q"))
-    out = pivot.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("qi") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(qs))])
-    if global_group:
-        # an empty input still yields one row of NULLs, like a global aggregate
-        empty = df.sparkSession.range(1).select(F.lit(0).alias("_g"))
-        out = empty.join(out, ["_g"], "left").drop("_g")
-    return out
+    k = F.floor(qarr[F.col("qi")] * (F.col("_n") - 1))
+
+    def covers(r):
+        return (F.col("_start") <= r) & (r < F.col("_start") + F.col("_c"))
+
+    aggs = [F.max("_n").alias("_n")]
+    for i in range(len(qs)):
+        mine = F.col("qi") == i
+        aggs.append(F.max(F.when(mine & covers(k), F.col("_v"))).alias(f"_v0_{i}"))
+        aggs.append(F.max(F.when(mine & covers(k + 1), F.col("_v"))).alias(f"_v1_{i}"))
+    grouped = ranked.agg(*aggs) if global_group else ranked.groupBy(*keys).agg(*aggs)
+    cols = []
+    for i, q in enumerate(qs):
+        h = F.lit(float(q)) * (F.col("_n") - 1)
+        frac = h - F.floor(h)
+        v0, v1 = F.col(f"_v0_{i}"), F.col(f"_v1_{i}")
+        cols.append(F.when(v1.isNull() | (frac == 0), v0).otherwise(v0 + (v1 - v0) * frac).alias(f"{prefix}{i}"))
+    # a global aggregate yields one row (NULLs) even for an empty input
+    return grouped.select(*([] if global_group else keys), *cols)
