@@ -82,3 +82,15 @@ def test_csv_source_round_trip(spark, tmp_path):
     table, _ = load_content(read_raw_csv(spark, str(p)), "in.csv", str(tmp_path / "out"))
     assert table.report["rows_loaded"] == 3
     assert table.frame.count() == 3
+
+
+def test_dedup_hot_key_third_of_rows(spark):
+    # one id holds a third of all rows; the aggregate keeps the first by ingest order
+    rows = [(("7" if i % 3 == 0 else str(1000 + i)), f"t{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "video_id string, title string").withColumn(
+        "ingest_seq", F.monotonically_increasing_id()).repartition(8)
+    out = Q.dedup_keep_first(df, ["video_id"], ["ingest_seq"], count_col="_copies")
+    hot = out.where("video_id = '7'").first()
+    assert out.count() == 2001 and hot._copies == 1000
+    first_seq = df.where("video_id = '7'").agg(F.min("ingest_seq")).first()[0]
+    assert hot.title == df.where(F.col("ingest_seq") == first_seq).first().title
