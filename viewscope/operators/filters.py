@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewscope.schema import Filters
@@ -28,27 +28,25 @@ def filter_content(df: DataFrame, filters: Filters | None = None) -> DataFrame:
 
 
 def filter_options(df: DataFrame) -> DataFrame:
-    """one row per option: kind ('category' | 'thumbnail_style' | 'date_min' | 'date_max'), value, position.
+    """option rows (kind, value): ``all`` then the sorted categories, the sorted
+    thumbnail styles, then the first and last publish dates.
 
-    Computed from small aggregates (distinct values are few); ``all`` comes
-    first among categories.
+    Distinct values come from partial aggregates; the order is a global sort
+    (range-partitioned), so no task has to number all values.
     """
-    cats = df.select(F.col("category").alias("value")).distinct()
-    thumbs = df.select(F.col("thumbnail_style").alias("value")).distinct()
-    # row_number over the handful of distinct values (already reduced by distinct())
-    w_c = F.row_number().over(Window.orderBy("value"))
-    cat_rows = cats.select(F.lit("category").alias("kind"), "value", w_c.alias("position"))
-    all_row = df.sparkSession.createDataFrame([("category", "all", 0)], "kind string, value string, position int")
-    thumb_rows = thumbs.select(F.lit("thumbnail_style").alias("kind"), "value", (w_c - 1).alias("position"))
+    cats = df.select(F.lit("category").alias("kind"), F.col("category").alias("value")).distinct()
+    thumbs = df.select(F.lit("thumbnail_style").alias("kind"), F.col("thumbnail_style").alias("value")).distinct()
+    all_row = df.limit(1).select(F.lit("category").alias("kind"), F.lit("all").alias("value"))
     dates = df.agg(F.min("publish_date").alias("mn"), F.max("publish_date").alias("mx"))
     date_rows = dates.select(F.explode(F.array(
-        F.struct(F.lit("date_min").alias("kind"), F.date_format("mn", "yyyy-MM-dd").alias("value"),
-                 F.lit(0).alias("position")),
-        F.struct(F.lit("date_max").alias("kind"), F.date_format("mx", "yyyy-MM-dd").alias("value"),
-                 F.lit(0).alias("position")))).alias("r")).select("r.*")
-    return (all_row.unionByName(cat_rows.withColumn("position", F.col("position").cast("int")))
-            .unionByName(thumb_rows.withColumn("position", F.col("position").cast("int")))
-            .unionByName(date_rows))
+        F.struct(F.lit("date_min").alias("kind"), F.date_format("mn", "yyyy-MM-dd").alias("value")),
+        F.struct(F.lit("date_max").alias("kind"), F.date_format("mx", "yyyy-MM-dd").alias("value")))).alias("r")
+    ).select("r.*")
+    rows = all_row.unionByName(cats).unionByName(thumbs).unionByName(date_rows)
+    kind_rank = (F.when(F.col("kind") == "category", 0).when(F.col("kind") == "thumbnail_style", 1)
+                 .when(F.col("kind") == "date_min", 2).otherwise(3))
+    is_all = F.when((F.col("kind") == "category") & (F.col("value") == "all"), 0).otherwise(1)
+    return rows.orderBy(kind_rank, is_all, "value")
 
 
 def keyword_mask(keyword: str) -> F.Column:

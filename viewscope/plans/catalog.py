@@ -168,14 +168,11 @@ def q_filter_content(spark, d):
 
 
 @register("filter_options", with_content("""
-SELECT 'category' AS kind, 'all' AS value, 0 AS position
-UNION ALL SELECT 'category', category, CAST(row_number() OVER (ORDER BY category) AS INTEGER)
-  FROM (SELECT DISTINCT category FROM enriched)
-UNION ALL SELECT 'thumbnail_style', thumbnail_style,
-  CAST(row_number() OVER (ORDER BY thumbnail_style) - 1 AS INTEGER)
-  FROM (SELECT DISTINCT thumbnail_style FROM enriched)
-UNION ALL SELECT 'date_min', strftime(min(publish_date), '%Y-%m-%d'), 0 FROM enriched
-UNION ALL SELECT 'date_max', strftime(max(publish_date), '%Y-%m-%d'), 0 FROM enriched"""))
+SELECT 'category' AS kind, 'all' AS value FROM (SELECT 1 FROM enriched LIMIT 1)
+UNION ALL SELECT DISTINCT 'category', category FROM enriched
+UNION ALL SELECT DISTINCT 'thumbnail_style', thumbnail_style FROM enriched
+UNION ALL SELECT 'date_min', strftime(min(publish_date), '%Y-%m-%d') FROM enriched
+UNION ALL SELECT 'date_max', strftime(max(publish_date), '%Y-%m-%d') FROM enriched"""))
 def q_filter_options(spark, d):
     return FL.filter_options(content(spark, d))
 
