@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
-from viewscope.schema import CLUSTER_K_RANGE, CONTAMINATION_SWEEP, FEATURE_COLUMNS, SEED
+from viewscope.schema import CLUSTER_K_RANGE, CONTAMINATION_SWEEP, DEFAULT_CONTAMINATION, FEATURE_COLUMNS, SEED
 
 # ---------------------------------------------------------------- M1
 
@@ -308,7 +308,7 @@ def anomaly_scores(df: DataFrame, cols: list[str] | None = None, seed: int = SEE
     return df.withColumn("anomaly_score", score(*[F.col(c).cast("double") for c in cols]))
 
 
-def anomalies(df: DataFrame, contamination: float = 0.04, top: int = 30) -> DataFrame:
+def anomalies(df: DataFrame, contamination: float = DEFAULT_CONTAMINATION, top: int = 30) -> DataFrame:
     """M9/T4: rows whose score is above the (1 - contamination) percentile, highest first."""
     if not 0.0 < contamination < 0.5:
         raise ValueError("contamination must be in (0, 0.5)")

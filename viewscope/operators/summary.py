@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
-from viewscope.schema import CARD_COLUMNS
 
 
 def kpi_totals(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from viewscope.functions.numeric import fixed, pearson
 from viewscope.functions.quantile import exact_quantiles
-from viewscope.schema import CORRELATION_COLUMNS, WEEKDAY_ORDER
+from viewscope.schema import CORRELATION_COLUMNS
 
 LIFT_METRICS = ["views", "engagement_rate_pct", "avg_watch_time_seconds"]
 
@@ -73,5 +73,3 @@ def rolling_tail(df: DataFrame, n: int = 60) -> DataFrame:
         fixed("rolling_engagement_30d", 4).alias("rolling_engagement_30d"),
     ).orderBy("publish_date", "video_id")
 
-
-WEEKDAYS = WEEKDAY_ORDER

@@ -54,11 +54,6 @@ EXPORT_COLUMNS = [
     "comment_rate", "share_rate", "title_word_count", "days_since_publish",
     "views_per_day", "publish_weekday",
 ]
-CARD_COLUMNS = [
-    "video_id", "title", "category", "publish_date", "thumbnail_style",
-    "views", "engagement_rate_pct", "avg_watch_time_seconds",
-]
-WEEKDAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 DEFAULT_CONTAMINATION = 0.04
 CLUSTER_K_RANGE = [2, 3, 4, 5, 6]
