@@ -281,10 +281,11 @@ def anomaly_scores(df: DataFrame, cols: list[str] | None = None, seed: int = SEE
     # bounded: <= 100 trees x 511 nodes, independent of the data size
     trees = []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append(t[["feature", "split", "left", "right", "size"]].to_numpy())
+        arr = t[["feature", "split", "left", "right", "size"]].to_numpy(dtype=np.float64)
+        # column 5: expected remaining path length at each node, c(size), precomputed once
+        trees.append(np.column_stack([arr, [_c(v) for v in arr[:, 4]]]))
     bc = df.sparkSession.sparkContext.broadcast(trees)
     c_psi = _c(psi)
-    leaf_c = np.vectorize(_c)
 
     @F.pandas_udf(T.DoubleType())
     def score(*series: pd.Series) -> pd.Series:
@@ -301,7 +302,7 @@ def anomaly_scores(df: DataFrame, cols: list[str] | None = None, seed: int = SEE
                 node = np.where(active, nxt, node)
                 depth = depth + active
                 active = arr[node, 0] >= 0
-            total += depth + leaf_c(arr[node, 4])
+            total += depth + arr[node, 5]
         mean_h = total / len(bc.value)
         return pd.Series(np.power(2.0, -mean_h / c_psi) if c_psi > 0 else np.full(len(x), 0.5))
 
