@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewscope.llm import langid, packing, quality, sentencepiece_bpe, tokenfiles, url_rules
+from viewscope.llm import langid, packing, quality, sentencepiece_bpe, suffix_dedup, tokenfiles, url_rules
 from viewscope.llm.common import table
 
 QUERIES = {}
@@ -29,6 +29,11 @@ def op4_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+@register
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_token_files(spark, sf_dir):
     return tokenfiles.token_files(table(spark, sf_dir, "documents"))

@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -26,9 +28,10 @@ from viewscope.llm.common import null_ids, with_id
 from viewscope.session import ship_package
 
 MARK = "▁"
-_CACHE_CHUNKS = 400_000
-_CACHE_CHUNK_CHARS = 64
-_PAIRS = 2_000_000
+_CACHE_CHUNKS = 1_000_000
+_CACHE_CHUNK_CHARS = 32
+_PAIRS = 500_000
+_TEXTS = 500   # texts whose new chunks are encoded together
 
 
 def default_path() -> str:
@@ -67,17 +70,26 @@ class PieceCodec:
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
                 if piece[0] == MARK:
                     self.marked.add(i)
+        # a piece that merging its own characters doesn't give is never a token
+        self.usable = {p for p in self.ids if self.merge(p) == [p]}
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
+        for piece in self.usable:
             self.automaton.add_word(piece[::-1], len(piece))
         self.automaton.make_automaton()
-        chars = set("".join(self.ids))
-        inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        free = "" if "\n" in chars else "\n"
-        self.chunk = None if inner else re.compile(
-            f"{MARK}+[^{MARK}{free}]*|[^{MARK}{free}]+" + ("|\n+" if free else ""))
+        self.chunk = self._chunk_pattern()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}   # ids of a chunk, joined by commas
+        self.shown = {str(i).encode(): b for i, b in self.bytes_of.items()}
+
+    def _chunk_pattern(self) -> re.Pattern | None:
+        """Cuts a text where two neighbouring characters stand together in no piece, so no merge crosses."""
+        inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        if any(pair[1] == MARK != pair[0] for pair in inside) or "\n" in set("".join(self.ids)):
+            return None
+        before_stop = "".join(c for c in "abcdefghijklmnopqrstuvwxyzäöüßéèêçñíó"
+                              if c + "." not in inside and c + "," not in inside)
+        word = f"{MARK}*[{before_stop}]+(?=[.,])|" if before_stop else ""
+        return re.compile(f"{word}{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 
     # -- merging, the definition that pairs are checked against
 
@@ -108,50 +120,65 @@ class PieceCodec:
         return [p for p in part if p is not None]
 
     def fits(self, left: str, right: str) -> bool:
-        """Whether merging the two tokens' characters gives these two tokens; left may be ''."""
+        """Whether merging the characters of two tokens gives these two tokens again."""
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > _PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == ([left, right] if left else [right])
+            known = self.pairs[key] = self.merge(left + right) == [left, right]
         return known
 
     # -- backtracking
 
-    def tokens(self, text: str) -> list[str]:
+    def longest(self, text: str) -> list[int]:
+        """Length of the longest piece at each position; 1 where a character is no piece."""
         n = len(text)
-        longest = [1] * n   # a character that is no piece stands for itself
-        for end, length in self.automaton.iter(text[::-1]):
-            start = n - 1 - end
-            if length > longest[start]:
-                longest[start] = length
+        met = np.fromiter(chain.from_iterable(self.automaton.iter(text[::-1])), np.int64).reshape(-1, 2)
+        out = np.ones(n, np.int64)
+        np.maximum.at(out, n - 1 - met[:, 0], met[:, 1])
+        return out.tolist()
+
+    def walk(self, text: str, longest: list[int]) -> list[str]:
+        n, at, pieces, fits = len(text), 0, self.usable, self.fits
+        take = longest[0]
         out: list[str] = []
-        fits, ids = self.fits, self.ids
-        usable = (1 << (n + 1)) - 1
-        at, take = 0, longest[0] if n else 0
+        failed = 0
         while at < n:
             token = text[at:at + take]
-            if usable >> (at + take) & 1 and fits("", token) and (not out or fits(out[-1], token)):
+            if not failed >> (at + take) & 1 and (not out or fits(out[-1], token)):
                 out.append(token)
                 at += take
                 take = longest[at] if at < n else 0
                 continue
             take -= 1
-            while take > 1 and text[at:at + take] not in ids:
+            while take > 1 and text[at:at + take] not in pieces:
                 take -= 1
-            while take == 0:   # no match fits here: drop the token before and shorten it
-                usable &= ~(1 << at)
+            while take == 0:   # no match fits here: note it, drop the token before and shorten that
+                failed |= 1 << at
                 take = len(out.pop())
                 at -= take
                 take -= 1
-                while take > 1 and text[at:at + take] not in ids:
+                while take > 1 and text[at:at + take] not in pieces:
                     take -= 1
         return out
 
-    def chunk_ids(self, chunk: str) -> list[int]:
+    def tokens(self, text: str) -> list[str]:
+        return self.walk(text, self.longest(text)) if text else []
+
+    def many_tokens(self, chunks: list[str]) -> list[list[str]]:
+        """Tokens of chunks, with one Aho-Corasick pass over all of them."""
+        if not self.chunk:
+            return [self.tokens(c) for c in chunks]
+        longest, at, out = self.longest("\n".join(chunks)), 0, []   # no piece holds a line end
+        for c in chunks:
+            out.append(self.walk(c, longest[at:at + len(c)]) if c else [])
+            at += len(c) + 1
+        return out
+
+    def token_ids(self, tokens: list[str]) -> list[int]:
         out = []
-        for token in self.tokens(chunk):
+        for token in tokens:
             i = self.ids.get(token)
             if i is not None:
                 out.append(i)
@@ -168,13 +195,10 @@ class PieceCodec:
         return self.chunk.findall(s) if self.chunk else [s]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self._chunks(text or "") for i in self.chunk_ids(c)]
+        return [i for t in self.many_tokens(self._chunks(text or "")) for i in self.token_ids(t)]
 
     # -- decoding
 
-    def _raw(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids if i not in self.silent])
-
     @staticmethod
     def _text(raw: bytes) -> str:
         try:
@@ -183,26 +207,37 @@ class PieceCodec:
             return re.sub("[\udc80-\udcff]", "�", raw.decode(errors="surrogateescape"))
 
     def decode(self, ids: list[int]) -> str:
-        raw = self._raw(ids)
-        first = next((i for i in ids if i not in self.silent), self.unk)
-        marked = first in self.marked   # the blank that encoding put before the text goes
-        return self._text(raw[1:] if marked else raw)
-
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Token count, SHA-256 of the joined ids, SHA-256 of the decoded text."""
-        chunks = self._chunks(text or "")
-        if len(self.known) > _CACHE_CHUNKS:
-            self.known.clear()
-        known, extra = self.known, {}
-        for c in set(chunks).difference(known):
-            ids = self.chunk_ids(c)
-            (known if len(c) <= _CACHE_CHUNK_CHARS else extra)[c] = (",".join(map(str, ids)).encode(), self._raw(ids))
-        got = [known[c] if c in known else extra[c] for c in chunks] if extra else list(map(known.__getitem__, chunks))
-        joined = b",".join([g[0] for g in got])
-        raw = b"".join([g[1] for g in got])
-        decoded = self._text(raw[1:] if chunks and self.chunk_ids(chunks[0])[0] in self.marked else raw)
-        return (joined.count(b",") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(),
-                hashlib.sha256(decoded.encode()).hexdigest())
+        """Text of ids; a control id shows nothing but ends a run of byte pieces."""
+        runs: list[list[int]] = [[]]
+        for i in ids:
+            if i in self.silent:
+                runs.append([])
+            else:
+                runs[-1].append(i)
+        runs = [r for r in runs if r]
+        raw = [b"".join([self.bytes_of[i] for i in r]) for r in runs]
+        if runs and runs[0][0] in self.marked:   # the blank that encoding put before the text
+            raw[0] = raw[0][1:]
+        return "".join(map(self._text, raw))
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text: token count, SHA-256 of the joined ids, SHA-256 of the text decoded from them."""
+        known, shown, out = self.known, self.shown, []
+        if len(known) > _CACHE_CHUNKS:
+            known.clear()
+        split = [self._chunks(t or "") for t in texts]
+        missing = sorted(set().union(*split).difference(known))
+        learned = {c: ",".join(map(str, self.token_ids(t))).encode() for c, t in zip(missing, self.many_tokens(missing))}
+        known.update((c, v) for c, v in learned.items() if len(c) <= _CACHE_CHUNK_CHARS)
+        longer = {c: v for c, v in learned.items() if len(c) > _CACHE_CHUNK_CHARS}
+        for chunks in split:
+            joined = b",".join([longer[c] if c in longer else known[c] for c in chunks] if longer
+                               else map(known.__getitem__, chunks))
+            ids = joined.split(b",") if joined else []
+            raw = b"".join([shown[i] for i in ids])
+            decoded = self._text(raw[1:] if ids and int(ids[0]) in self.marked else raw)
+            out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        return out
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -239,7 +274,8 @@ def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            rows = [c.digest(t) for t in batch["text"]]
+            texts = batch["text"].tolist()
+            rows = [r for i in range(0, len(texts), _TEXTS) for r in c.digests(texts[i:i + _TEXTS])]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out

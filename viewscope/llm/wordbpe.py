@@ -10,12 +10,16 @@ encodes every other chunk.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 END_ID = 1
-_CACHE_CHUNKS = 400_000   # chunks remembered by one worker
-_CACHE_CHUNK_BYTES = 64   # longer chunks are encoded each time
+_CACHE_CHUNKS = 1_000_000   # chunks remembered by one worker
+_CACHE_CHUNK_BYTES = 32     # longer chunks are encoded each time
+_JOINED = 4_000             # plain words sent to the library in one text
+# a run of ASCII letters before a full stop or comma is a pre-token of its own; else all up to a blank
+_CHUNK = re.compile(rb"[a-z]+(?=[.,])|[^ \n]+")
 
 
 def default_path() -> str:
@@ -32,35 +36,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {b"": b""}
+        self._known: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        found = self._model.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found)}
+        out = {}
+        # words of ASCII letters are one pre-token each, so many share a call and are told apart by word number
+        plain = [c for c in chunks if c.isalpha()]
+        for i in range(0, len(plain), _JOINED):
+            words = plain[i:i + _JOINED]
+            e = self._model.encode(b" ".join(words).decode(), add_special_tokens=False)
+            ids, edges = np.array(e.ids, "<u4").tobytes(), np.searchsorted(e.word_ids, np.arange(len(words) + 1)) * 4
+            out.update((c, ids[x:y]) for c, x, y in zip(words, edges.tolist(), edges[1:].tolist()))
+        other = [c for c in chunks if not c.isalpha()]
+        found = self._model.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)
+        out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(other, found))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without an end id; a null text has none."""
-        split = []
+        known = self._known
+        if len(known) > _CACHE_CHUNKS:
+            known.clear()
+        split, missing = [], set()
         for text in texts:
             raw = (text or "").encode()
             # ASCII letters may be lower-cased early unless the text could spell a special token
-            raw = raw if b"<|" in raw else raw.lower()
-            split.append(raw.replace(b"\n", b" ").split(b" "))
-        if len(self._known) > _CACHE_CHUNKS:
-            self._known = {b"": b""}
-        out = []
-        for chunks in split:
-            missing = list(set(chunks).difference(self._known))
-            extra = {}
-            if missing:
-                learned = self._learn(missing)
-                self._known.update((c, v) for c, v in learned.items() if len(c) <= _CACHE_CHUNK_BYTES)
-                extra = {c: v for c, v in learned.items() if len(c) > _CACHE_CHUNK_BYTES}
-            if extra:
-                out.append(b"".join([extra[c] if c in extra else self._known[c] for c in chunks]))
-            else:
-                out.append(b"".join(map(self._known.__getitem__, chunks)))
-        return out
+            chunks = _CHUNK.findall(raw.lower()) if b"<|" not in raw else raw.replace(b"\n", b" ").split()
+            split.append(chunks)
+            missing.update(chunks)
+        missing.difference_update(known)
+        learned = self._learn(sorted(missing))
+        known.update((c, v) for c, v in learned.items() if len(c) <= _CACHE_CHUNK_BYTES)
+        longer = {c: v for c, v in learned.items() if len(c) > _CACHE_CHUNK_BYTES}
+        if longer:
+            return [b"".join([longer[c] if c in longer else known[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
