@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewscope.llm import langid, packing, quality, sentencepiece_bpe, suffix_dedup, tokenfiles, url_rules
+from viewscope.llm import jaccard_join, langid, packing, quality, sentencepiece_bpe, suffix_dedup, tokenfiles, url_rules
 from viewscope.llm.common import table
 
 QUERIES = {}
@@ -44,6 +44,11 @@ def op7_language(spark, sf_dir):
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+@register
+def op9_ngram_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register
 def op10_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
