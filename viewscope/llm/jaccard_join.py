@@ -346,7 +346,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     classes = text_classes(docs)
     one = classes.where(F.col("doc_id") == F.col("rep")).select("rep", "copies").dropDuplicates(["rep"])
-    texts = with_id(docs, "doc_id", "text").withColumnRenamed("doc_id", "rep").join(one, "rep")
+    # rows that share a doc_id are judged by their least text; the rows of a rep already lie together here
+    texts = with_id(docs, "doc_id", "text").withColumnRenamed("doc_id", "rep").join(one, "rep").groupBy(
+        "rep", "copies").agg(F.min("text").alias("text"))
     sigs = materialize(signatures(texts), "signatures")
     groups = materialize(components(candidate_edges(sigs)).select(F.col("node").alias("rep"), "root"), "candidates")
     links = materialize(verified(texts, groups), "links")

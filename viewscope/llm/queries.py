@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from viewscope.llm import jaccard_join, langid, packing, quality, sentencepiece_bpe, suffix_dedup, tokenfiles, url_rules
+from viewscope.llm import (
+    collision_hash, jaccard_join, langid, mtree, packing, quality, sentencepiece_bpe, suffix_dedup, tokenfiles, url_rules,
+)
 from viewscope.llm.common import table
 
 QUERIES = {}
@@ -19,6 +21,22 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@register
+def op2_mtree(spark, sf_dir):
+    return mtree.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_mtree"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 20"""
+
+
 @register
 def op3_quality(spark, sf_dir):
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -44,6 +62,11 @@ def op7_language(spark, sf_dir):
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_collision_hash(spark, sf_dir):
+    return collision_hash.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op9_ngram_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
