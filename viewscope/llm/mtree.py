@@ -3,23 +3,22 @@
 A vector x gets one more coordinate sqrt(M^2 - |x|^2), a query a zero; the
 nearest vectors in this metric space are those of largest inner product. Each
 block of vectors is an M-tree: pages whose entries keep a covering radius and
-the distance to their parent. The search takes the page of best bound first;
+the distance to their parent. Each query takes the page of best bound first;
 the stored parent distance and the triangle inequality rule out entries and
-vectors before their distance or product is computed, and it ends when no page
-can hold a better score than the k found.
+vectors before their distance or product is computed, and a query ends when no
+page can hold a better score than its k found. The queries of a chunk take
+their pages in step, so those on the same page share one matrix product.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewscope.llm.vector_blocks import Best, search, usable
 
-PAGE = 48        # entries of a page
+PAGE = 256       # vectors of a leaf page, and entries of a page above it, at most
 SCALE = 64.0
 _SLACK = 1e-9    # relative rounding allowance of bounds; scores themselves are exact
 
@@ -67,44 +66,63 @@ class InnerProductTree:
         self.exact = self.top < 2.0 ** 52
         self.root = build(self.points, np.arange(len(ids)), self.points.mean(axis=0))
 
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Integer inner products; beyond 2**52, where doubles may round, in Python's integers."""
-        if self.exact and float(query @ query) < 2.0 ** 52:
-            return self.vectors[rows] @ query
-        q = [int(x) for x in query]
-        return np.array([float(sum(int(a) * b for a, b in zip(self.vectors[r], q))) for r in rows])
-
-    def nearest(self, query: np.ndarray, q: int, best: Best) -> None:
-        """Add to ``best`` (keys are negated scores) every vector that can be among the query's k."""
-        point = np.append(query, 0.0)
-        base = float(query @ query) + self.top
+    def scores(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Integer inner products, a row for each query; beyond 2**52, where doubles may round, in Python's integers."""
+        if self.exact and float((queries ** 2).sum(axis=1).max()) < 2.0 ** 52:
+            return queries @ self.vectors[rows].T
+        whole = [[int(x) for x in v] for v in self.vectors[rows]]
+        return np.array([[float(sum(int(a) * b for a, b in zip(q, v))) for v in whole] for q in queries])
+
+    def search(self, queries: np.ndarray, best: Best) -> None:
+        """Add to ``best`` (keys are negated scores) every vector that can be among a query's k."""
+        points = np.column_stack([queries, np.zeros(len(queries))])
+        base = (queries ** 2).sum(axis=1) + self.top
         slack = _SLACK * (base + 1.0)
 
-        def bound(distance):   # largest inner product at that distance or beyond
+        def key(q, distance):   # least key (negated product) at that distance or beyond
             low = np.maximum(distance, 0.0)
-            return (base - low * low) / 2 + slack
-
-        d = float(np.sqrt(((self.root.center - point) ** 2).sum()))
-        queue, n = [(-float(bound(d - self.root.radius)), 0, self.root, d)], 0
-        while queue:
-            least, _, node, d = heapq.heappop(queue)
-            if least > best.worst(q):
-                return
-            gap = np.abs(d - node.parent_distance)   # |d(q, parent) - d(entry, parent)| bounds d(q, entry)
+            extra = (slice(None),) + (None,) * (low.ndim - 1)
+            return low * low / 2 - (base[q] / 2 + slack[q])[extra]
+
+        # down to the leaf pages: least key of each query in each page, infinite where an entry above rules it out
+        pages, limits, distances = [], [], []
+        every = np.arange(len(queries))
+        stack = [(self.root, every, np.sqrt(((points - self.root.center) ** 2).sum(axis=1)))]
+        while stack:
+            node, q, d = stack.pop()
             if node.children is None:
-                rows = node.rows[-bound(gap) <= best.worst(q)]
-                if len(rows):
-                    best.add(q, -self.scores(rows, query), self.ids[rows])
+                least, away = np.full(len(queries), np.inf), np.zeros(len(queries))
+                least[q], away[q] = key(q, d - node.radius), d
+                pages.append(node)
+                limits.append(least)
+                distances.append(away)
                 continue
-            open_ = np.flatnonzero(-bound(gap - node.child_radius) <= best.worst(q))
-            if not len(open_):
-                continue
-            real = np.sqrt(((node.child_centers[open_] - point) ** 2).sum(axis=1))
-            limit = -bound(real - node.child_radius[open_])
-            for i, distance, key in zip(open_.tolist(), real.tolist(), limit.tolist()):
-                if key <= best.worst(q):
-                    n += 1
-                    heapq.heappush(queue, (key, n, node.children[i], distance))
+            # |d(query, parent) - d(entry, parent)| bounds d(query, entry) before that is computed
+            gap = np.abs(d[:, None] - node.parent_distance[None, :]) - node.child_radius[None, :]
+            may = key(q, gap) <= best.worst[q][:, None]
+            for i, child in enumerate(node.children):
+                to = q[may[:, i]]
+                if len(to):
+                    real = np.sqrt(((points[to] - child.center) ** 2).sum(axis=1))
+                    near = key(to, real - child.radius) <= best.worst[to]
+                    if near.any():
+                        stack.append((child, to[near], real[near]))
+        if not pages:
+            return
+        limits, distances = np.column_stack(limits), np.column_stack(distances)
+        order = np.argsort(limits, axis=1, kind="stable")
+        for step in range(len(pages)):
+            page = order[:, step]
+            limit = limits[every, page]
+            active = np.flatnonzero(np.isfinite(limit) & (limit <= best.worst))
+            if not len(active):
+                return   # bounds only get worse along the order
+            for p in np.unique(page[active]):
+                q = active[page[active] == p]
+                gap = np.abs(distances[q, p][:, None] - pages[p].parent_distance[None, :])
+                rows = pages[p].rows[(key(q, gap) <= best.worst[q][:, None]).any(axis=0)]
+                if len(rows):
+                    best.add(q, -self.scores(rows, queries[q]), self.ids[rows])
 
 
 def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -115,9 +133,7 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
     are returned; an empty table gives none. What takes no part: see ``vector_blocks.usable``.
     """
     def visit(ids, block, queries, best):
-        tree = InnerProductTree(ids, np.floor(SCALE * block))
-        for q, query in enumerate(np.floor(SCALE * queries)):
-            tree.nearest(query, q, best)
+        InnerProductTree(ids, np.floor(SCALE * block)).search(np.floor(SCALE * queries), best)
 
     found = search(usable(vectors), F.col("id") % every == 0, k, visit)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from viewscope.session import materialize, ship_package
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 CHUNK_ROWS = 1024
 
 RESULT = "query_id long, rank int, vec_id long, score {score}"
@@ -45,28 +45,30 @@ class Best:
     """The k best (key, id) pairs of each query of a chunk; smaller keys and ids are better."""
 
     def __init__(self, query_ids: np.ndarray, k: int):
-        self.k, self.query_ids = k, query_ids
-        self.keys = [np.zeros(0) for _ in query_ids]
-        self.ids = [np.zeros(0, np.int64) for _ in query_ids]
-
-    def worst(self, q: int) -> float:
-        return self.keys[q][-1] if len(self.keys[q]) == self.k else np.inf
-
-    def add(self, q: int, keys: np.ndarray, ids: np.ndarray) -> None:
-        other = ids != self.query_ids[q]
-        keys, ids = keys[other], ids[other]
-        if len(self.keys[q]) == self.k:
-            near = keys <= self.keys[q][-1]
-            keys, ids = keys[near], ids[near]
-        if len(keys):
-            keys, ids = np.concatenate([self.keys[q], keys]), np.concatenate([self.ids[q], ids])
-            order = np.lexsort((ids, keys))[:self.k]
-            self.keys[q], self.ids[q] = keys[order], ids[order]
+        self.query_ids = query_ids
+        self.keys = np.full((len(query_ids), k), np.inf)
+        self.ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+
+    @property
+    def worst(self) -> np.ndarray:
+        """The k-th best key of each query so far; infinite while there are fewer."""
+        return self.keys[:, -1]
+
+    def add(self, q: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> None:
+        """Offer the vectors ``ids`` to the queries ``q``; ``keys`` has a row for each query."""
+        keys = np.where(ids[None, :] == self.query_ids[q][:, None], np.inf, keys)
+        useful = (np.isfinite(keys) & (keys <= self.worst[q][:, None])).any(axis=1)
+        if useful.any():
+            q, keys = q[useful], keys[useful]
+            k = np.concatenate([self.keys[q], keys], axis=1)
+            i = np.concatenate([self.ids[q], np.broadcast_to(ids, keys.shape)], axis=1)
+            i[~np.isfinite(k)] = np.iinfo(np.int64).max
+            order = np.lexsort((i, k), axis=1)[:, :self.keys.shape[1]]
+            self.keys[q], self.ids[q] = np.take_along_axis(k, order, 1), np.take_along_axis(i, order, 1)
 
     def frame(self) -> pd.DataFrame:
-        n = [len(x) for x in self.keys]
-        return pd.DataFrame({"query_id": np.repeat(self.query_ids, n), "key": np.concatenate([np.zeros(0), *self.keys]),
-                             "vec_id": np.concatenate([np.zeros(0, np.int64), *self.ids])})
+        q, j = np.nonzero(np.isfinite(self.keys))
+        return pd.DataFrame({"query_id": self.query_ids[q], "key": self.keys[q, j], "vec_id": self.ids[q, j]})
 
 
 def search(vectors: DataFrame, is_query: Column, k: int,
