@@ -25,7 +25,10 @@ from viewscope.llm.vector_blocks import Best, search, usable
 RATIO = 2.0          # between the radii that p1 and p2 belong to
 MISS = 0.03          # chance that a vector within the radius stays under the threshold
 FALSE = 0.1          # share of far vectors that may be verified
-GROWTH = 1.15        # of the radius from round to round
+GROWTH = 1.3         # of the radius from round to round
+START = 0.5          # first radius, as a share of the least distance among the probes
+PROBES = 64          # vectors of a block that are verified first
+STEP = 128           # queries searched together
 SEED = 7
 
 
@@ -52,37 +55,45 @@ class CollisionIndex:
         self.order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
 
-    def nearest(self, query: np.ndarray, q: int, best: Best) -> None:
+    def search(self, queries: np.ndarray, best: Best) -> None:
+        """Add to ``best`` the vectors that collide often enough with each query."""
         n = len(self.ids)
-        at = query @ self.directions
-        lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
+        at = queries @ self.directions
+        # a few verified vectors tell the scale that the windows start from
+        probe = np.arange(0, n, max(1, n // PROBES))
+        away = np.sqrt(np.maximum(((queries[:, None, :] - self.vectors[probe][None, :, :]) ** 2).sum(axis=2), 0.0))
+        best.add(np.arange(len(queries)), away, self.ids[probe])
+        positive = np.where(away > 0, away, np.inf).min(axis=1)
+        radius = np.minimum(START * np.where(np.isfinite(positive), positive, 1.0), best.worst)
+        radius = np.maximum(radius, 1e-300)
+        hits = np.zeros((len(queries), n), np.int16)
+        seen = np.zeros((len(queries), n), bool)
+        seen[:, probe] = True
+        lo = np.array([np.searchsorted(s, at[:, i]) for i, s in enumerate(self.sorted)]).T
         hi = lo.copy()
-        hits = np.zeros(n, np.int32)
-        verified = np.zeros(n, bool)
-        # the first radius opens windows on about one vector each
-        gaps = np.abs(self.sorted[np.arange(self.m), np.minimum(lo, n - 1)] - at)
-        radius = max(float(np.median(gaps)) * 2 / self.width, 1e-12)
-        while True:
-            half = self.width * radius / 2
-            new = []
-            for i in range(self.m):
-                s, x = self.sorted[i], at[i]
-                low, high = np.searchsorted(s, x - half), np.searchsorted(s, x + half, side="right")
-                if low < lo[i]:
-                    new.append(self.order[i, low:lo[i]])
-                    lo[i] = low
-                if high > hi[i]:
-                    new.append(self.order[i, hi[i]:high])
-                    hi[i] = high
-            if new:
-                hits += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-                rows = np.flatnonzero((hits >= self.threshold) & ~verified)
-                if len(rows):
-                    verified[rows] = True
-                    best.add(q, np.sqrt(((self.vectors[rows] - query) ** 2).sum(axis=1)), self.ids[rows])
-            if best.worst(q) <= radius or (lo == 0).all() and (hi == n).all():
-                return
-            radius *= GROWTH
+        active = np.arange(len(queries))
+        while len(active):
+            half = self.width * radius[active] / 2
+            low = np.array([np.searchsorted(s, at[active, i] - half) for i, s in enumerate(self.sorted)]).T
+            high = np.array([np.searchsorted(s, at[active, i] + half, side="right")
+                             for i, s in enumerate(self.sorted)]).T
+            low, high = np.minimum(low, lo[active]), np.maximum(high, hi[active])
+            for row, q in enumerate(active.tolist()):
+                new = [self.order[i, a:b] for i, (a, b) in enumerate(zip(low[row].tolist(), lo[q].tolist())) if a < b]
+                new += [self.order[i, a:b] for i, (a, b) in enumerate(zip(hi[q].tolist(), high[row].tolist())) if a < b]
+                if new:
+                    hits[q] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+                    rows = np.flatnonzero((hits[q] >= self.threshold) & ~seen[q])
+                    if len(rows):
+                        seen[q, rows] = True
+                        d = np.sqrt(((self.vectors[rows] - queries[q]) ** 2).sum(axis=1))
+                        best.add(np.array([q]), d[None, :], self.ids[rows])
+            lo[active], hi[active] = low, high
+            whole = ((low == 0) & (high == n)).all(axis=1)
+            going = (best.worst[active] > radius[active]) & ~whole
+            active = active[going]
+            # no further than to the k-th distance found: windows of that radius end the search
+            radius[active] = np.minimum(radius[active] * GROWTH, best.worst[active])
 
 
 def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -94,8 +105,10 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFr
     """
     def visit(ids, block, queries, best):
         index = CollisionIndex(ids, block)
-        for q, query in enumerate(queries):
-            index.nearest(query, q, best)
+        for i in range(0, len(queries), STEP):
+            part = Best(best.query_ids[i:i + STEP], k)
+            part.keys, part.ids = best.keys[i:i + STEP], best.ids[i:i + STEP]   # views: results go to best
+            index.search(queries[i:i + STEP], part)
 
     found = search(usable(vectors, zero=False), F.col("id") % every == 0, k, visit)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("key").alias("score"))
