@@ -7,37 +7,26 @@ adjacent kept tokens (a bigram may bridge a removed stop word).
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from viewscope.functions.stopwords import ENGLISH
+
 TOKEN_PATTERN = r"(?U)\b[a-zA-Z][a-zA-Z]+\b"
 
 
-@functools.lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the installed Spark jar."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                return tuple(z.read(name).decode("utf-8").split())
-    raise FileNotFoundError("Spark ML English stop-word list not found")
+    """Spark ML's default English stop-word list."""
+    return ENGLISH
 
 
 def tokens(col: str | Column, stop_words: tuple[str, ...] | None = None) -> Column:
     """Array of kept unigram tokens, in text order."""
     c = F.col(col) if isinstance(col, str) else col
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
-    stops = F.array(*[F.lit(w) for w in (stop_words if stop_words is not None else english_stop_words())])
-    return F.filter(words, lambda w: ~F.array_contains(stops, w))
+    stops = tuple(stop_words if stop_words is not None else english_stop_words())
+    # a literal list of this size becomes a hashed set, not a scan per token
+    return F.filter(words, lambda w: ~w.isin(*stops)) if stops else words
 
 
 def uni_bigrams(unigrams: Column) -> Column:
