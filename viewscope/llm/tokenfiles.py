@@ -124,9 +124,21 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.frombuffer(data, "<u8", n_blocks, tail)
     doc_ids = np.frombuffer(data, "<i8", n_docs, tail + 8 * n_blocks)
     counts = np.frombuffer(data, "<u4", n_docs, tail + 8 * n_blocks + 8 * n_docs)
-    ids = np.empty(n_ids, "<u4")
-    for k, at in enumerate(starts):
-        ids[k * BLOCK:(k + 1) * BLOCK] = decode_block(data, int(at))
+    raw = np.frombuffer(data, np.uint8)
+    head = raw[starts.astype(np.int64)[:, None] + np.arange(_BLOCK.size)]
+    low = head[:, :4].copy().view("<u4").ravel()
+    exceptions, widths = head[:, 6:8].copy().view("<u2").ravel().astype(np.int64), head[:, 8].astype(np.int64)
+    body = starts.astype(np.int64) + _BLOCK.size
+    grid = np.zeros((n_blocks, BLOCK), np.uint64)
+    for width in np.unique(widths):   # blocks of one width are unpacked together
+        rows = np.flatnonzero(widths == width)
+        if width:
+            words = raw[body[rows][:, None] + np.arange(BLOCK // 8 * width)].view("<u8").reshape(-1, int(width))
+            grid[rows] = _unpack(words, int(width)).reshape(len(rows), BLOCK)
+    for b in np.flatnonzero(exceptions):
+        at, n = int(body[b] + BLOCK // 8 * widths[b]), int(exceptions[b])
+        grid[b, np.frombuffer(data, "<u2", n, at)] = np.frombuffer(data, "<u4", n, at + 2 * n)
+    ids = (grid + low[:, None].astype(np.uint64)).astype("<u4").ravel()[:n_ids]   # only the last block is part-filled
     return doc_ids, counts, ids
 
 
