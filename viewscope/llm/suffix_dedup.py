@@ -35,7 +35,7 @@ Q = 25
 MAX_HOT = 1_000_000       # rows of the list of hot minimizers at most
 HOT_SPANS = 5_000         # different contents of a minimizer, about, beyond which it counts as hot
 _SAMPLE = 100             # one of so many spans is looked at to find hot minimizers
-_BATCH_BYTES = 8 << 20    # text handled by one numpy pass
+_BATCH_BYTES = 3 << 20    # text handled by one numpy pass
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
