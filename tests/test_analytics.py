@@ -61,7 +61,7 @@ def test_tfidf_unit_norm_and_similar_titles(spark):
 def test_ab_small_group_error_and_bad_params(content_small):
     one = content_small.limit(3)
     r = AB.ab_test_title(one, "zzzz-none", "qqqq-none", "views", with_p=False).first()
-    assert r.error.startswith("Each variant needs at least 2")
+    assert r.error == "Each keyword group needs at least 2 matching videos."
     with pytest.raises(ValueError):
         AB.ab_test_attribute(content_small, "bogus", "a", "b", "views")
     with pytest.raises(ValueError):

@@ -36,10 +36,11 @@ def attribute_variants(df: DataFrame, dimension: str, variant_a: str, variant_b:
     if dimension not in AB_DIMENSIONS:
         raise ValueError("dimension must be thumbnail_style or category")
     _check_metric(metric)
-    tag = (F.when(F.col(dimension) == F.lit(variant_a), F.lit("A"))
-           .when(F.col(dimension) == F.lit(variant_b), F.lit("B")))
+    tags = F.array(F.when(F.col(dimension) == F.lit(variant_a), F.lit("A")),
+                   F.when(F.col(dimension) == F.lit(variant_b), F.lit("B")))   # equal variants: a row is in both
     return (df.where(F.col(dimension).isin(variant_a, variant_b) & F.col(metric).isNotNull())
-            .select(tag.alias("variant"), F.col(metric).cast("double").alias("x")))
+            .select(F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("variant"),
+                    F.col(metric).cast("double").alias("x")))
 
 
 def keyword_variants(df: DataFrame, keyword_a: str, keyword_b: str, metric: str) -> DataFrame:
@@ -59,17 +60,23 @@ def group_stats(variants: DataFrame) -> DataFrame:
     return moments.join(medians.withColumnRenamed("median0", "median"), "variant")
 
 
-def _side(stats: DataFrame, v: str) -> DataFrame:
-    return stats.where(F.col("variant") == v).select(
-        F.lit(0).alias("_k"), *[F.col(c).alias(f"{c}_{v.lower()}") for c in ("n", "mean", "std", "median")])
+NO_ROWS = "No videos match the selected filters."
+FEW_OBSERVATIONS = "Each variant needs at least 2 observations for a test."
+FEW_VIDEOS = "Each keyword group needs at least 2 matching videos."
 
 
-def compare(variants: DataFrame, label_a: str, label_b: str, metric: str, with_p: bool = True) -> DataFrame:
-    """B4-B10 on the two summarised groups: one row."""
+def compare(variants: DataFrame, label_a: str, label_b: str, metric: str, with_p: bool = True,
+            too_few: str = FEW_OBSERVATIONS, rows: DataFrame | None = None) -> DataFrame:
+    """B4-B10 on the two summarised groups: one row. ``rows`` is the slice, whose emptiness is reported first."""
     stats = group_stats(variants)
-    # a one-row frame guarantees a row even when a group is empty
-    anchor = variants.sparkSession.range(1).select(F.lit(0).alias("_k"))
-    row = anchor.join(_side(stats, "A"), "_k", "left").join(_side(stats, "B"), "_k", "left")
+    # a global aggregate turns both groups into one row, also when a group is empty
+    row = stats.agg(*[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{c}_{v.lower()}")
+                      for v in ("A", "B") for c in ("n", "mean", "std", "median")])
+    empty = F.lit(False)
+    if rows is not None:
+        total = rows.agg(F.count(F.lit(1)).alias("_rows")).withColumn("_k", F.lit(0))   # one row
+        row = row.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k")
+        empty = F.col("_rows") == 0
     na, nb = F.coalesce(F.col("n_a"), F.lit(0)), F.coalesce(F.col("n_b"), F.lit(0))
     ma, mb, sa, sb = F.col("mean_a"), F.col("mean_b"), F.col("std_a"), F.col("std_b")
     va, vb = sa * sa / na, sb * sb / nb
@@ -83,7 +90,7 @@ def compare(variants: DataFrame, label_a: str, label_b: str, metric: str, with_p
     effect = (F.when(abs_d >= 0.8, "large").when(abs_d >= 0.5, "medium").when(abs_d >= 0.2, "small")
               .otherwise("negligible"))
     diff_pct = F.abs(diff) / F.greatest(F.least(F.abs(ma), F.abs(mb)), F.lit(1e-9)) * 100
-    error = F.when((na < 2) | (nb < 2), F.lit("Each variant needs at least 2 observations for a test."))
+    error = F.when(empty, F.lit(NO_ROWS)).when((na < 2) | (nb < 2), F.lit(too_few))
     out = row.select(
         F.lit(metric).alias("metric"),
         F.lit(label_a).alias("label_a"), na.alias("n_a"), ma.alias("mean_a"), sa.alias("std_a"),
@@ -138,10 +145,10 @@ def ab_test_attribute(df: DataFrame, dimension: str, variant_a: str, variant_b:
                       with_p: bool = True) -> DataFrame:
     """B2: compare two values of ``dimension`` on ``metric``."""
     v = attribute_variants(df, dimension, variant_a, variant_b, metric)
-    return _rounded(compare(v, variant_a, variant_b, metric, with_p), with_p)
+    return _rounded(compare(v, variant_a, variant_b, metric, with_p, rows=df), with_p)
 
 
 def ab_test_title(df: DataFrame, keyword_a: str, keyword_b: str, metric: str, with_p: bool = True) -> DataFrame:
     """Compare titles containing ``keyword_a`` with titles containing ``keyword_b``."""
     v = keyword_variants(df, keyword_a, keyword_b, metric)
-    return _rounded(compare(v, f'"{keyword_a}"', f'"{keyword_b}"', metric, with_p), with_p)
+    return _rounded(compare(v, f'"{keyword_a}"', f'"{keyword_b}"', metric, with_p, FEW_VIDEOS, df), with_p)

@@ -169,7 +169,7 @@ def segmented_running_sums(frame: DataFrame, order_cols: list[str], value_cols:
 def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = None,
                   partitions: int | None = None, n_days_bound: int | None = None,
                   keep: list | None = None) -> DataFrame:
-    """W1-W3 for a table whose ``video_id`` is unique; ``publish_date`` a DATE or a TIMESTAMP.
+    """W1-W3; ``publish_date`` a DATE or a TIMESTAMP. Rows that share a ``video_id`` stay separate rows.
 
     ``windows`` maps output column -> (source column, N days). The frame of a
     row at time t is (t - N days, t]: every row of the N-1 previous calendar
@@ -218,16 +218,18 @@ def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = No
         for n in sorted({n for _, n in windows.values()}):
             edge = base.select((F.col("_day") + n).alias("_day"), "_tod", F.lit(0).alias("_kind"), "video_id",
                                F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in value_cols])
-            query = base.select("_day", "_tod", F.lit(1).alias("_kind"), "video_id", F.lit(0.0).alias("_one"),
-                                *[F.lit(0.0).alias(c) for c in value_cols])
+            # rows of one instant share their edge, so one query row each; ids needn't be unique
+            query = base.select("_day", "_tod").distinct().select(
+                "_day", "_tod", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("video_id"),
+                F.lit(0.0).alias("_one"), *[F.lit(0.0).alias(c) for c in value_cols])
             scan = segmented_running_sums(edge.unionByName(query), ["_tod", "_kind", "video_id"],
                                           ["_one", *value_cols], parts, keep)
             upto = scan.where(F.col("_kind") == 1).select(
-                "video_id", F.col("_run__one").alias(f"_L{n}_n"),
+                "_day", "_tod", F.col("_run__one").alias(f"_L{n}_n"),
                 *[F.col(f"_run_{c}").alias(f"_L{n}_{c}") for c in value_cols])
             day_tot = daily.select((F.col("_day") + n).alias("_day"), F.col("_d_n").alias(f"_T{n}_n"),
                                    *[F.col(f"_d_{c}").alias(f"_T{n}_{c}") for c in value_cols])
-            out = (out.join(upto, ["video_id"], "left")
+            out = (out.join(upto, ["_day", "_tod"], "left")
                    .join(F.broadcast(day_tot) if small else day_tot, ["_day"], "left"))
             for out_col, (src, wn) in windows.items():
                 if wn != n:

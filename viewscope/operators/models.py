@@ -2,8 +2,8 @@
 
 * M1 standardisation: one aggregate pass (mean, population sd), then column
   arithmetic; a constant column becomes 0.
-* M2/M5/M7 k-means: ``pyspark.ml.clustering.KMeans`` on the cached feature
-  vectors, one fit per k shared by the selection and the sweep.
+* M2/M5/M7 k-means: ``pyspark.ml.clustering.KMeans`` on the written feature
+  vectors, one fit per k; the summary columns stay beside the features.
 * M3 silhouette: the all-pairs Euclidean silhouette needs every pair of rows,
   which does not scale; we use the squared-Euclidean silhouette whose mean
   distances have a closed form from per-cluster sums (the definition Spark's
@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
+from viewscope.session import materialize
 from viewscope.schema import CLUSTER_K_RANGE, CONTAMINATION_SWEEP, DEFAULT_CONTAMINATION, FEATURE_COLUMNS, SEED
 
 # ---------------------------------------------------------------- M1
@@ -81,7 +82,8 @@ def silhouette(zdf: DataFrame, label: str, zcols: list[str]) -> DataFrame:
     others = F.filter(F.col("_d"), lambda s: ~s["own"])
     a = F.try_divide(own["tot"], own["n"] - 1)
     b = F.array_min(F.transform(others, lambda s: s["tot"] / s["n"]))
-    s_i = F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    s_i = F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))   # coinciding points score 0
     return per_row.agg(F.avg(s_i).alias("silhouette"))
 
 
@@ -117,26 +119,26 @@ def segment_labels(summary: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- M2, M5, M7
 
 
+_SEGMENT_COLUMNS = ["video_id", "title", "category", "views", "engagement_rate_pct", "avg_watch_time_seconds",
+                    "share_rate"]
+
+
 def _features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    z = standardize(df, FEATURE_COLUMNS, keep=["video_id"])
+    """Standardised features beside the columns that summaries show, written once for all fits."""
+    keep = [c for c in _SEGMENT_COLUMNS if c in df.columns]
+    z = standardize(df, FEATURE_COLUMNS, keep=keep)
     zcols = [f"z_{c}" for c in FEATURE_COLUMNS]
     vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(z)
-    return vec.persist(StorageLevel.MEMORY_AND_DISK), zcols
-
-
-_SWEEPS: dict[tuple, tuple] = {}
+    return materialize(vec, "features"), zcols
 
 
 def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None) -> tuple[list[dict], dict, DataFrame]:
     """Fit k-means for every k (rows > k), measure silhouette and inertia.
 
     Returns (runs, assignments by k, features). Only the per-k scalars and
-    the k centroids reach the driver. The fits of one input plan are shared
-    by the selection, the sweep and the scatter sample within a session.
+    the k centroids reach the driver. Callers that need several results of
+    one sweep pass the returned value on; nothing is kept between calls.
     """
-    key = (df.semanticHash(), tuple(k_range or CLUSTER_K_RANGE))
-    if key in _SWEEPS:
-        return _SWEEPS[key]
     feats, zcols = _features(df)
     n = feats.count()
     runs, assignments = [], {}
@@ -144,13 +146,12 @@ def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None) -> tuple
         if n <= k:
             continue
         model = KMeans(k=k, seed=SEED, maxIter=100, featuresCol="features", predictionCol="cluster_id").fit(feats)
-        pred = model.transform(feats).select("video_id", *zcols, F.col("cluster_id").cast("int"))
+        pred = model.transform(feats).withColumn("cluster_id", F.col("cluster_id").cast("int"))
         sil = silhouette(pred, "cluster_id", zcols).first()["silhouette"]
         sizes = list(model.summary.clusterSizes)
         runs.append({"k": k, "silhouette_score": float(sil) if sil is not None else None,
                      "inertia": float(model.summary.trainingCost), "cluster_sizes": sizes})
-        assignments[k] = pred.select("video_id", "cluster_id")
-    _SWEEPS[key] = (runs, assignments, feats)
+        assignments[k] = pred.drop("features", *zcols)
     return runs, assignments, feats
 
 
@@ -163,16 +164,20 @@ def cluster_sweep(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "k int, silhouette_score double, inertia double, cluster_sizes string")
 
 
-def best_clustering(df: DataFrame) -> tuple[int, float, DataFrame]:
-    """M5: k with the strictly best silhouette (first wins); too few rows -> one cluster 0."""
-    runs, assignments, feats = cluster_sweep_runs(df)
+def best_clustering(df: DataFrame, sweep: tuple | None = None) -> tuple[int, float, DataFrame]:
+    """M5: k with the strictly best silhouette (first wins); too few rows -> one cluster 0.
+
+    The frame has the summary columns beside cluster_id. ``sweep`` is a result
+    of ``cluster_sweep_runs`` to share.
+    """
+    runs, assignments, feats = sweep or cluster_sweep_runs(df)
     best_k, best_score, best = 2, -1.0, None
     for r in runs:
         if r["silhouette_score"] is not None and r["silhouette_score"] > best_score:
             best_k, best_score, best = r["k"], r["silhouette_score"], assignments[r["k"]]
-    if best is None:
-        best = df.select("video_id", F.lit(0).alias("cluster_id"))
-    labelled = df.join(best, "video_id")
+    labelled = best
+    if labelled is None:
+        labelled = feats.select(*[c for c in _SEGMENT_COLUMNS if c in feats.columns], F.lit(0).alias("cluster_id"))
     # canonical ids: cluster 0 has the highest mean views
     order = (labelled.groupBy("cluster_id").agg(F.avg("views").alias("_mv"))
              .withColumn("_new", (F.row_number().over(Window.orderBy(F.col("_mv").desc(), "cluster_id")) - 1)
@@ -205,6 +210,7 @@ def cluster_points(df: DataFrame, n: int = 250) -> DataFrame:
 
 N_TREES = 100
 MAX_SAMPLES = 256
+_DRAWN = 400   # rows drawn for a tree, about, of which MAX_SAMPLES are kept
 
 
 def _c(n: float) -> float:
@@ -219,15 +225,15 @@ def _c(n: float) -> float:
 def _tree_sample(df: DataFrame, cols: list[str], seed: int) -> DataFrame:
     """Up to 256 rows per tree, chosen by hash so the sample does not depend on partitioning."""
     n = df.count()
-    base = df.select("video_id", *cols)
-    if n >= N_TREES * MAX_SAMPLES:
-        picked = base.orderBy(F.xxhash64("video_id", F.lit(seed)), "video_id").limit(N_TREES * MAX_SAMPLES)
-        ranked = picked.withColumn("_r", F.row_number().over(
-            Window.orderBy(F.xxhash64("video_id", F.lit(seed)), "video_id")) - 1)   # 25,600 rows
-        return ranked.withColumn("tree", (F.col("_r") % N_TREES).cast("int")).drop("_r")
-    per_tree = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(N_TREES - 1))))
+    # independent draws per tree: a row survives a tree with a chance that leaves about 400 rows for it
+    rate = min(1.0, _DRAWN / max(n, 1))
+    unit = lambda t: F.pmod(F.xxhash64("video_id", t, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    trees = F.filter(F.sequence(F.lit(0), F.lit(N_TREES - 1)), lambda t: unit(t) < rate)
+    drawn = df.select("video_id", *cols, trees.alias("_trees")).select(
+        "video_id", *cols, F.explode("_trees").alias("tree"))
     w = Window.partitionBy("tree").orderBy(F.xxhash64("video_id", F.col("tree"), F.lit(seed)), "video_id")
-    return per_tree.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_SAMPLES).drop("_r")
+    return materialize(drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_SAMPLES).drop("_r"),
+                       "forest-sample")
 
 
 NODE_SCHEMA = T.StructType([
@@ -313,21 +319,25 @@ def anomalies(df: DataFrame, contamination: float = DEFAULT_CONTAMINATION, top:
     """M9/T4: rows whose score is above the (1 - contamination) percentile, highest first."""
     if not 0.0 < contamination < 0.5:
         raise ValueError("contamination must be in (0, 0.5)")
-    scored = anomaly_scores(df).persist(StorageLevel.MEMORY_AND_DISK)
+    shown = ["video_id", "title", "category", "thumbnail_style", "publish_date", "views", "engagement_rate_pct",
+             "avg_watch_time_seconds", "anomaly_score"]
+    scored = materialize(anomaly_scores(df).select(*shown), "anomaly-scores")
     thr = exact_quantiles(scored, "anomaly_score", [1.0 - contamination], prefix="thr").withColumn("_k", F.lit(0))
     flagged = (scored.withColumn("_k", F.lit(0)).join(F.broadcast(thr), "_k")
                .where(F.col("anomaly_score") > F.col("thr0")))
-    return (flagged.orderBy(F.col("anomaly_score").desc(), "video_id").limit(top)
+    found = flagged.agg(F.count(F.lit(1)).alias("anomalies_found")).withColumn("_k", F.lit(0))   # one row
+    best = flagged.orderBy(F.col("anomaly_score").desc(), "video_id").limit(top)
+    return (best.join(F.broadcast(found), "_k").orderBy(F.col("anomaly_score").desc(), "video_id")
             .select("video_id", "title", "category", "thumbnail_style", "publish_date", "views",
                     fixed("engagement_rate_pct", 4).alias("engagement_rate_pct"),
                     fixed("avg_watch_time_seconds", 4).alias("avg_watch_time_seconds"),
-                    fixed("anomaly_score", 4).alias("anomaly_score")))
+                    fixed("anomaly_score", 4).alias("anomaly_score"), "anomalies_found"))
 
 
 def anomaly_sweep(df: DataFrame, rates: list[float] | None = None) -> DataFrame:
     """One forest, every contamination rate's threshold, counts and mean scores in one pass."""
     rates = rates or CONTAMINATION_SWEEP
-    scored = anomaly_scores(df).select("anomaly_score").persist(StorageLevel.MEMORY_AND_DISK)
+    scored = materialize(anomaly_scores(df).select("anomaly_score"), "anomaly-scores")
     thr = exact_quantiles(scored, "anomaly_score", [1.0 - r for r in rates], prefix="t").withColumn("_k", F.lit(0))
     j = scored.withColumn("_k", F.lit(0)).join(F.broadcast(thr), "_k")
     aggs = [F.count(F.lit(1)).alias("_n")]

@@ -59,7 +59,9 @@ def strip_text(col: str, null_text: str | None = None) -> Column:
 
 
 def _to_number(col: str) -> Column:
-    return F.expr(f"try_cast(trim(cast(`{col}` AS string)) AS double)")
+    """Number of a text; NaN and infinities count as invalid."""
+    x = F.expr(f"try_cast(trim(cast(`{col}` AS string)) AS double)")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
 def _to_id(col: str) -> Column:
@@ -98,11 +100,15 @@ def coerce(df: DataFrame, null_text: str | None = None) -> DataFrame:
     return typed.withColumn("reject_reason", reason)
 
 
-def finalize_types(df: DataFrame, date_only: bool) -> DataFrame:
-    """Integral metrics become bigint; publish_date becomes a date when no row has a time of day."""
+COUNT_COLUMNS = ("views", "likes", "comments", "shares")
+
+
+def finalize_types(df: DataFrame, date_only: bool, fractional: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Count columns become bigint unless listed as ``fractional``; publish_date a date without times of day."""
     out = df
-    for c in ("views", "likes", "comments", "shares"):
-        out = out.withColumn(c, F.col(c).cast("bigint"))
+    for c in COUNT_COLUMNS:
+        if c not in fractional:
+            out = out.withColumn(c, F.col(c).cast("bigint"))
     out = out.withColumn("publish_date", F.to_date("publish_date") if date_only else F.col("publish_date"))
     return out
 
@@ -129,6 +135,8 @@ def report_aggregate(typed: DataFrame, source_name: str) -> DataFrame:
         F.to_date(F.max("publish_date")).alias("date_max"),
         F.max("publish_date").alias("_latest"),
         F.count_if(F.col("publish_date") != F.date_trunc("day", F.col("publish_date"))).alias("_timed_rows"),
+        *[F.count_if(F.col("reject_reason").isNull() & (F.col(c) != F.floor(c))).alias(f"_fractional_{c}")
+          for c in COUNT_COLUMNS],
     ).fillna(0, subset=["rows_read", "duplicate_video_ids_removed"])
 
 
@@ -154,6 +162,7 @@ class Validated:
     report: dict             # collected one-row report
     report_df: DataFrame     # same report as a DataFrame (public columns only)
     date_only: bool
+    fractional: list[str]    # count columns that hold fractions
 
 
 def validate(raw: DataFrame, source_name: str, mode: str = "fail", null_text: str | None = None) -> Validated:
@@ -176,7 +185,8 @@ def validate(raw: DataFrame, source_name: str, mode: str = "fail", null_text: st
         "invalid_video_ids long, invalid_dates long, invalid_numeric_rows long, negative_metric_rows long, "
         "zero_view_rows long, date_min date, date_max date")
     return Validated(rows=typed, report=report_row, report_df=report_df,
-                     date_only=(report_row["_timed_rows"] or 0) == 0)
+                     date_only=(report_row["_timed_rows"] or 0) == 0,
+                     fractional=[c for c in COUNT_COLUMNS if report_row[f"_fractional_{c}"]])
 
 
 def split_quarantine(typed: DataFrame) -> tuple[DataFrame, DataFrame]:

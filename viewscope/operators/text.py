@@ -60,12 +60,17 @@ def similar_titles(df: DataFrame, video_id: int, top_n: int = 5, postings: DataF
               .select("term", F.col("weight").alias("_aw")))
     dots = (post.join(F.broadcast(anchor), "term")      # bounded by the anchor's own length
             .groupBy("video_id").agg(F.sum(F.col("weight") * F.col("_aw")).alias("_sim")))
-    cands = (df.where(F.col("video_id") != video_id)
-             .select("video_id", "title", "category", "thumbnail_style", "views", "engagement_rate_pct")
-             .join(dots, "video_id", "left")
-             .withColumn("similarity", F.coalesce(F.col("_sim"), F.lit(0.0))))
+    rest = df.where(F.col("video_id") != video_id).select(
+        "video_id", "title", "category", "thumbnail_style", "views", "engagement_rate_pct")
     # order on a 10-decimal snap so summation-order noise cannot reorder exact ties
-    top = cands.orderBy(fixed("similarity", 10).desc(), F.col("video_id").asc()).limit(top_n)
+    near = dots.where((F.col("video_id") != video_id) & (fixed("_sim", 10) > 0)).orderBy(
+        fixed("_sim", 10).desc(), F.col("video_id").asc()).limit(top_n)
+    # the least ids fill up with similarity 0 when fewer than top_n titles share a term
+    fill = rest.select("video_id").orderBy("video_id").limit(2 * top_n).select("video_id", F.lit(0.0).alias("_sim"))
+    best = near.unionByName(fill).groupBy("video_id").agg(F.max("_sim").alias("similarity")).orderBy(
+        fixed("similarity", 10).desc(), F.col("video_id").asc()).limit(top_n)
+    top = rest.join(F.broadcast(best), "video_id").orderBy(   # top_n rows
+        fixed("similarity", 10).desc(), F.col("video_id").asc())
     return top.select("video_id", "title", "category", "thumbnail_style", "views",
                       fixed("engagement_rate_pct", 4).alias("engagement_rate_pct"),
                       fixed("similarity", 4).alias("similarity"))

@@ -44,7 +44,7 @@ def load_content(raw: DataFrame, source_name: str, out_path: str, mode: str = "f
     """Validate, enrich and write one raw table; returns the table and rejected rows (quarantine mode)."""
     v = Q.validate(raw, source_name, mode=mode, null_text=null_text)
     good, bad = Q.split_quarantine(v.rows)
-    typed = Q.finalize_types(good.select(*Q.RAW_COLUMNS), v.date_only)
+    typed = Q.finalize_types(good.select(*Q.RAW_COLUMNS), v.date_only, v.fractional)
     latest = v.report["date_max"] if v.date_only else v.report["_latest"]
     keep: list = []
     if partitions is None:

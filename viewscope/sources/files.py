@@ -14,9 +14,11 @@ from viewscope.schema import RAW_COLUMNS
 
 
 def _with_ingest_order(df: DataFrame) -> DataFrame:
-    # File path + position inside the file give a total, recomputable order.
-    return (df.withColumn("_source_file", F.col("_metadata.file_path"))
-              .withColumn("ingest_seq", F.monotonically_increasing_id()))
+    # File path, start of the block and row number within it order rows as the files do; row numbers alone follow
+    # the order of partitions, which Spark packs by size.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return df.withColumn("_source_file", F.col("_metadata.file_path")).withColumn("ingest_seq", place)
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -25,11 +27,11 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     The header decides the column set; a file with missing or extra columns
     is still read so that the schema check can name the differences.
     """
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    header = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
     cols = header.columns
     string_schema = ", ".join(f"`{c}` string" for c in cols)
     df = (spark.read.schema(string_schema).option("header", True).option("enforceSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("mode", "PERMISSIVE").option("escape", '"').csv(path))
     return _with_ingest_order(df)
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +36,14 @@ def _handle_batch(spark: SparkSession, snapshots_dir: str, log_dir: str):
                 raw = read_raw_csv(spark, path)
                 table, _ = load_content(raw, os.path.basename(path), snap)
                 rows.append((batch_id, path, "ok", int(table.report["rows_loaded"]), None, snap))
-            except DataValidationError as exc:
-                rows.append((batch_id, path, "rejected", 0, str(exc), None))
+            except (DataValidationError, PySparkException) as exc:   # a bad or unreadable file must not stop the stream
+                rows.append((batch_id, path, "rejected", 0, str(exc)[:2000], None))
         if rows:
             log = spark.createDataFrame(rows, "batch_id long, file string, status string, rows_loaded long, "
                                               "error string, snapshot string")
-            log.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(log_dir)
+            # one folder a batch: a replayed batch replaces its own rows
+            log.withColumn("logged_at", F.current_timestamp()).write.mode("overwrite").parquet(
+                os.path.join(log_dir, f"batch={batch_id}"))
 
     return handle
 
@@ -48,9 +51,11 @@ def _handle_batch(spark: SparkSession, snapshots_dir: str, log_dir: str):
 def run_refresh(spark: SparkSession, landing_dir: str, snapshots_dir: str, log_dir: str,
                 checkpoint_location: str, available_now: bool = True, processing_time: str | None = None):
     """Start the refresh stream; with ``available_now`` it processes what has landed and stops."""
-    files = (spark.readStream.schema("_c0 string").option("header", True)
-             .option("maxFilesPerTrigger", 1).csv(landing_dir)
-             .select(F.col("_metadata.file_path").alias("file_path")))
+    # one row a file, whatever it holds; its content is not read here
+    files = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary")
+             .option("maxFilesPerTrigger", 1)
+             .option("pathGlobFilter", "*.csv").load(landing_dir).select(F.col("path").alias("file_path")))
     writer = (files.writeStream.foreachBatch(_handle_batch(spark, snapshots_dir, log_dir))
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
@@ -59,7 +64,7 @@ def run_refresh(spark: SparkSession, landing_dir: str, snapshots_dir: str, log_d
 
 
 def refresh_log(spark: SparkSession, log_dir: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(log_dir)
+    return spark.read.schema(LOG_SCHEMA).parquet(log_dir).drop("batch")
 
 
 def latest_snapshot(spark: SparkSession, log_dir: str) -> DataFrame | None:
