@@ -15,11 +15,15 @@ import re
 import numpy as np
 
 END_ID = 1
-_CACHE_CHUNKS = 1_000_000   # chunks remembered by one worker
+_CACHE_CHUNKS = 300_000     # chunks remembered by one worker, about 200 bytes each
 _CACHE_CHUNK_BYTES = 32     # longer chunks are encoded each time
 _JOINED = 4_000             # plain words sent to the library in one text
-# a run of ASCII letters before a full stop or comma is a pre-token of its own; else all up to a blank
-_CHUNK = re.compile(rb"[a-z]+(?=[.,])|[^ \n]+")
+_TEXTS = 1_000              # texts split at a time
+# plain letters: ASCII and the composed letters U+00C0..U+00FF, which the normalizer only lower-cases
+_LETTERS = rb"(?:[a-zA-Z]++|(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)++"
+# plain letters before ASCII punctuation but the apostrophe are a pre-token of their own; else all up to a blank
+_CHUNK = re.compile(_LETTERS + rb"(?=[!-&(-/:-@\[-`{-~])|[^ \n]++")
+_PLAIN = re.compile(_LETTERS)
 
 
 def default_path() -> str:
@@ -40,23 +44,27 @@ class WordEncoder:
 
     def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         out = {}
-        # words of ASCII letters are one pre-token each, so many share a call and are told apart by word number
-        plain = [c for c in chunks if c.isalpha()]
+        # words of plain letters are one pre-token each, so many share a call and are told apart by word number
+        plain, other = [], []
+        for c in chunks:
+            (plain if _PLAIN.fullmatch(c) else other).append(c)
         for i in range(0, len(plain), _JOINED):
             words = plain[i:i + _JOINED]
             e = self._model.encode(b" ".join(words).decode(), add_special_tokens=False)
             ids, edges = np.array(e.ids, "<u4").tobytes(), np.searchsorted(e.word_ids, np.arange(len(words) + 1)) * 4
             out.update((c, ids[x:y]) for c, x, y in zip(words, edges.tolist(), edges[1:].tolist()))
-        other = [c for c in chunks if not c.isalpha()]
         found = self._model.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)
         out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(other, found))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without an end id; a null text has none."""
-        known = self._known
-        if len(known) > _CACHE_CHUNKS:
-            known.clear()
+        out = []
+        for i in range(0, len(texts), _TEXTS):
+            out += self._encode(texts[i:i + _TEXTS])
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split, missing = [], set()
         for text in texts:
             raw = (text or "").encode()
@@ -64,6 +72,9 @@ class WordEncoder:
             chunks = _CHUNK.findall(raw.lower()) if b"<|" not in raw else raw.replace(b"\n", b" ").split()
             split.append(chunks)
             missing.update(chunks)
+        if len(self._known) > _CACHE_CHUNKS:   # the chunks in use now stay
+            self._known = {c: self._known[c] for c in missing & self._known.keys()}
+        known = self._known
         missing.difference_update(known)
         learned = self._learn(sorted(missing))
         known.update((c, v) for c, v in learned.items() if len(c) <= _CACHE_CHUNK_BYTES)
