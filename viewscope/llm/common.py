@@ -21,3 +21,27 @@ def null_ids(df: DataFrame, *id_cols: str) -> DataFrame:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release_memory() -> None:
+    """Return freed memory of this Python worker to the system.
+
+    Spark reuses workers, and their allocators keep the peak of every task they have run.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):   # another C library has no such call
+        pass
+
+
+def trimmed(run):
+    """A map over batches that releases memory once its last batch is done."""
+    def wrapped(batches):
+        yield from run(batches)
+        release_memory()
+    return wrapped

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import null_ids, with_id
+from viewscope.llm.common import null_ids, trimmed, with_id
 from viewscope.session import materialize, ship_package
 
 WORDS = 5
@@ -179,7 +179,7 @@ def signatures(texts: DataFrame) -> DataFrame:
             got = [(r, g) for r, g in ((r, shingles(t)) for r, t in zip(batch["rep"], batch["text"])) if len(g)]
             yield pd.DataFrame({"rep": [r for r, _ in got], "sig": [minhash(g).astype("<u4").tobytes() for _, g in got]})
 
-    return texts.mapInPandas(run, "rep long, sig binary")
+    return texts.mapInPandas(trimmed(run), "rep long, sig binary")
 
 
 def bucket_members(sigs: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def bucket_members(sigs: DataFrame) -> DataFrame:
                 h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             yield pd.DataFrame({"rep": np.repeat(batch["rep"].to_numpy(), BANDS), "bucket": h.ravel().view(np.int64)})
 
-    return sigs.mapInPandas(run, "rep long, bucket long")
+    return sigs.mapInPandas(trimmed(run), "rep long, bucket long")
 
 
 def candidate_edges(sigs: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
             yield pd.DataFrame(forest(a, c), columns=["a", "b"], dtype="int64")
 
     return (units.repartition("bucket", "_hi", "_lo").sortWithinPartitions("bucket", "_hi", "_lo")
-            .mapInPandas(run, "a long, b long").distinct())
+            .mapInPandas(trimmed(run), "a long, b long").distinct())
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -317,7 +317,7 @@ def verified(texts: DataFrame, groups: DataFrame) -> DataFrame:
 
     units = _block_pairs(inside, "root", "size", BLOCK)
     return (units.repartition("root", "_hi", "_lo").sortWithinPartitions("root", "_hi", "_lo")
-            .mapInPandas(run, "rep long, n long, docs long, other long"))
+            .mapInPandas(trimmed(run), "rep long, n long, docs long, other long"))
 
 
 def text_classes(docs: DataFrame) -> DataFrame:

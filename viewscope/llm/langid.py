@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import null_ids, with_id
+from viewscope.llm.common import null_ids, trimmed, with_id
 from viewscope.session import ship_package
 
 BUCKETS = 1 << 13
@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROID
                                 "n": [g[1][g[1] > 0].astype("int32") for g in got]})
 
     # the sample is bounded by the parameter, so the vectors may be gathered
-    sample = rows.where(unit < share).mapInPandas(vectors, "lang string, at array<int>, n array<int>").toPandas()
+    sample = rows.where(unit < share).mapInPandas(trimmed(vectors), "lang string, at array<int>, n array<int>").toPandas()
     df = np.zeros(BUCKETS)
     for at in sample["at"]:
         df[np.asarray(at, int)] += 1
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield out
 
     return null_ids(with_id(docs, "doc_id", "text").mapInPandas(
-        run, "doc_id long, lang_pred string, score double, rejected boolean"))
+        trimmed(run), "doc_id long, lang_pred string, score double, rejected boolean"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,7 +192,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch[[not shared.value.predict(t)[2] for t in batch["text"]]]
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(trimmed(run), docs.schema)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

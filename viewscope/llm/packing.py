@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import null_ids, with_id
+from viewscope.llm.common import null_ids, trimmed, with_id
 from viewscope.llm.wordbpe import END_ID, default_path, encoder
 from viewscope.session import materialize, ship_package
 
@@ -101,7 +101,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int =
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     ship_package(docs.sparkSession)
-    return with_id(docs, "doc_id", "text").mapInPandas(cut, PIECES)
+    return with_id(docs, "doc_id", "text").mapInPandas(trimmed(cut), PIECES)
 
 
 def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard_items: int = SHARD_ITEMS) -> DataFrame:

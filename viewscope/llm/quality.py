@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import null_ids, with_id
+from viewscope.llm.common import null_ids, trimmed, with_id
 from viewscope.session import materialize, ship_package
 
 SAMPLE = 6_000          # labelled documents used to fit, about
@@ -130,7 +130,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         for batch in batches:
             yield pd.DataFrame({"x": [text_features(t) for t in batch["text"]], "y": batch["quality"].astype(float)})
 
-    got = texts.mapInPandas(run, "x array<double>, y double").toPandas()
+    got = texts.mapInPandas(trimmed(run), "x array<double>, y double").toPandas()
     if got.empty or got["y"].nunique() < 2:
         return None
     # rows arrive in any order; a fixed order makes the fit repeatable
@@ -153,7 +153,7 @@ def document_probability(docs: DataFrame, model: DocumentModel | None, host: str
 
     part = with_id(docs, "doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
                    F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
-    return part.mapInPandas(run, "doc_id long, host string, path string, p double")
+    return part.mapInPandas(trimmed(run), "doc_id long, host string, path string, p double")
 
 
 def _strength(groups: DataFrame, prior: Column) -> float:

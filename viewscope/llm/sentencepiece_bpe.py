@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from viewscope.llm.common import null_ids, with_id
+from viewscope.llm.common import null_ids, trimmed, with_id
 from viewscope.session import ship_package
 
 MARK = "▁"
@@ -261,7 +261,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [c.decode(i) for i in ids]})
 
     ship_package(docs.sparkSession)
-    return null_ids(with_id(docs, "doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string"))
+    return null_ids(with_id(docs, "doc_id", "text").mapInPandas(trimmed(run), "doc_id long, ids array<int>, decoded string"))
 
 
 def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -282,4 +282,4 @@ def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     ship_package(docs.sparkSession)
     return null_ids(with_id(docs, "doc_id", "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+        trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewscope.llm.common import trimmed
 from viewscope.session import materialize, ship_package
 
 LENGTH = 100
@@ -199,7 +200,7 @@ def find_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
                     "content": np.concatenate([content[one].view(np.int64), spread]),
                     "repeated": np.arange(len(d) + int(one.sum())) >= int(one.sum())})
 
-    return docs.mapInPandas(run, _SPANS)
+    return docs.mapInPandas(trimmed(run), _SPANS)
 
 
 def hot_minimizers(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
@@ -265,7 +266,7 @@ def resolve(spans: DataFrame, hot: DataFrame, partitions: int) -> DataFrame:
     key = F.when(F.col("hot"), F.col("content")).otherwise(F.col("mini"))
     return (marked.withColumn("_key", key).repartition(partitions, "_key")
             .sortWithinPartitions("mini", "content", "doc_id", "start")
-            .select("doc_id", "start", "n", "mini", "content", "hot", "repeated").mapInPandas(run, out))
+            .select("doc_id", "start", "n", "mini", "content", "hot", "repeated").mapInPandas(trimmed(run), out))
 
 
 _BYTES = "key long, doc_id long, start int, n int, bytes binary, repeated boolean"
@@ -304,7 +305,7 @@ def cut_spans(docs: DataFrame, wanted: DataFrame, length: int = LENGTH, q: int =
                 out += zip(spread.tolist(), rd.tolist(), rs.tolist(), rn.tolist(), [None] * len(rd), [True] * len(rd))
             yield pd.DataFrame(out, columns=["key", "doc_id", "start", "n", "bytes", "repeated"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInPandas(run, _BYTES)
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInPandas(trimmed(run), _BYTES)
 
 
 def repeated_windows(cut: DataFrame, partitions: int, length: int = LENGTH, q: int = Q) -> DataFrame:
@@ -355,7 +356,7 @@ def repeated_windows(cut: DataFrame, partitions: int, length: int = LENGTH, q: i
             yield refine(pd.concat(held, ignore_index=True))
 
     return (cut.repartition(partitions, "key").sortWithinPartitions("key", "doc_id", "start")
-            .mapInPandas(run, "doc_id long, start int, n int"))
+            .mapInPandas(trimmed(run), "doc_id long, start int, n int"))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, int, int]:
@@ -428,7 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = one.join(repeated_ranges(one, length), "doc_id", "left").select("doc_id", "text", "ranges").mapInPandas(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     own = F.floor(F.col("doc_id") / copies) if copies > 1 else F.col("doc_id")
     return out.withColumn("doc_id", F.nullif(own.cast("long"), F.lit(none)))
 
@@ -458,4 +459,4 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield batch[columns]
 
     return docs.join(ranges.withColumnRenamed("ranges", "_ranges"), "doc_id", "left").select(
-        *columns, "_ranges").mapInPandas(run, schema)
+        *columns, "_ranges").mapInPandas(trimmed(run), schema)

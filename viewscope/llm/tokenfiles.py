@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import null_ids, with_id
+from viewscope.llm.common import null_ids, trimmed, with_id
 from viewscope.llm.wordbpe import END_ID, default_path, encoder
 from viewscope.session import materialize, scratch_path, ship_package
 
@@ -191,7 +191,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
 
     ordered = (with_id(docs, "doc_id", "text").repartitionByRange(files, "doc_id")
                .sortWithinPartitions("doc_id", F.xxhash64("text")))
-    return materialize(ordered.mapInPandas(write, "file_no long, file string, n_docs long, n_ids long"),
+    return materialize(ordered.mapInPandas(trimmed(write), "file_no long, file string, n_docs long, n_ids long"),
                        "token-files")
 
 
@@ -214,7 +214,7 @@ def read_token_files(listing: DataFrame) -> DataFrame:
     firsts = listing.select("file_no", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_first"))
     files = max(1, listing.count())
     rows = (listing.select("file_no", "file").repartition(files, "file_no")
-            .mapInPandas(read, "file_no long, doc_id long, _at long, n_tokens long, ids_crc32 long"))
+            .mapInPandas(trimmed(read), "file_no long, doc_id long, _at long, n_tokens long, ids_crc32 long"))
     return null_ids(rows.join(firsts, "file_no").select(
         "doc_id", (F.col("_first") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32"))
 
