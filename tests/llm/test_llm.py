@@ -266,6 +266,32 @@ def test_links_against_brute_force(spark, monkeypatch):
     assert jaccard_join.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_connected_equals_components_of_all_surviving_pairs():
+    rng = np.random.default_rng(3)
+    least = jaccard_join.least_matches()
+    base = rng.integers(0, 1 << 32, (6, jaccard_join.HASHES), dtype=np.uint32)
+    sig = base[rng.integers(0, 6, 90)].copy()
+    for row in sig:   # copies differ in up to half of their values, so links are not transitive
+        at = rng.choice(len(row), rng.integers(0, len(row) // 2), replace=False)
+        row[at] = rng.integers(0, 1 << 32, len(at), dtype=np.uint32)
+    hi, lo = np.arange(40), np.arange(40, 90)
+    for left, right in ((np.arange(90), None), (hi, lo)):
+        label = jaccard_join.connected(sig, left, right, least)
+        i, j = jaccard_join.surviving_pairs(sig[left], None if right is None else sig[right], least)
+        want = np.arange(90)
+        for x, y in zip(left[i], (left if right is None else right)[j]):
+            want[np.isin(want, [want[x], want[y]])] = min(want[x], want[y])
+        assert label.tolist() == want.tolist()
+        assert len(set(want.tolist())) > 1
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (31, 30), (200, 201)]
+    got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(32)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = jaccard_join.least_matches()
     n = np.arange(jaccard_join.STEP, jaccard_join.HASHES + 1, jaccard_join.STEP)

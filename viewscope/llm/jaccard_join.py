@@ -8,9 +8,10 @@ similarity of at least 0.8.
    the threshold misses all 40 bands with probability 7e-10, a closer one less.
 3. Inside a bucket, texts are compared block by block. MinHash values are
    compared a few at a time, and a pair is dropped once the posterior
-   probability of reaching the threshold falls below the tolerance. A bucket
-   only sends on a forest that connects its surviving pairs, never the pairs;
-   connected components of these edges hold every pair that is left.
+   probability of reaching the threshold falls below the tolerance. A large
+   bucket only sends on a forest that connects its surviving pairs, never the
+   pairs, and doesn't compare texts that are connected already; connected
+   components of these edges hold every pair that is left.
 4. Inside a component all pairs are pruned the same way once, and the
    survivors are verified exactly by counting shared 5-grams. A component
    larger than a block is dealt out as pairs of blocks, so no task holds it.
@@ -36,6 +37,7 @@ HASHES = BANDS * ROWS
 STEP = 16               # MinHash values compared at a time
 TOLERANCE = 1e-9        # posterior probability below which a pair is dropped
 BLOCK = 512             # texts of a block
+SMALL = 8               # texts of a bucket up to which all its pairs are compared in one go with other buckets
 _CHUNK = 2_000_000      # cells of a shingle matrix held at once
 
 _HASHING: list[tuple[np.ndarray, np.ndarray]] = []
@@ -123,6 +125,33 @@ def surviving_pairs(left: np.ndarray, right: np.ndarray | None, least: list[int]
     return (np.concatenate(found_i) if found_i else none), (np.concatenate(found_j) if found_j else none)
 
 
+def pruned_pairs(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) of signatures that incremental comparison doesn't drop."""
+    match = np.zeros(len(i), np.int64)
+    for k, m in enumerate(least):
+        part = slice(k * STEP, (k + 1) * STEP)
+        match += (sig[i, part] == sig[j, part]).sum(axis=1)
+        keep = match >= m
+        i, j, match = i[keep], j[keep], match[keep]
+    return i, j
+
+
+def connected(sig: np.ndarray, hi: np.ndarray, lo: np.ndarray | None, least: list[int]) -> np.ndarray:
+    """Label of each signature: equal for those that surviving pairs of ``hi`` x ``lo`` (or inside ``hi``) connect.
+
+    A pair that is connected by earlier pairs isn't compared, as it can't change a label.
+    """
+    label = np.arange(len(sig))
+    for n, i in enumerate(hi):
+        j = hi[n + 1:] if lo is None else lo
+        j = j[label[j] != label[i]]
+        _, j = pruned_pairs(sig, np.full(len(j), i), j, least)
+        if len(j):
+            joined = np.append(label[j], label[i])
+            label[np.isin(label, joined)] = joined.min()
+    return label
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Edges (larger, least) that connect what the edges a-b connect: one per node but the least of each part."""
     root: dict[int, int] = {}
@@ -156,8 +185,8 @@ def _block_pairs(groups: DataFrame, key: str, size: str, block: int) -> DataFram
         *[c for c in groups.columns if c != size], "_b", F.col("_unit._hi").alias("_hi"), F.col("_unit._lo").alias("_lo"))
 
 
-def _units(batches, keys: list[str]):
-    """Frames of one unit of work each, from batches sorted by ``keys``; yields several small units at once."""
+def _whole_units(batches, keys: list[str]):
+    """Frames that hold whole units of work, from batches sorted by ``keys``."""
     held = None
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -166,10 +195,16 @@ def _units(batches, keys: list[str]):
             last &= (rows[k] == rows[k].iloc[-1]).to_numpy()
         cut = len(rows) - int(last.sum())
         if cut:
-            yield from (g for _, g in rows.iloc[:cut].groupby(keys, sort=False))
+            yield rows.iloc[:cut]
         held = rows.iloc[cut:]
     if held is not None and len(held):
-        yield from (g for _, g in held.groupby(keys, sort=False))
+        yield held
+
+
+def _units(batches, keys: list[str]):
+    """Frames of one unit of work each, from batches sorted by ``keys``."""
+    for rows in _whole_units(batches, keys):
+        yield from (g for _, g in rows.groupby(keys, sort=False))
 
 
 def signatures(texts: DataFrame) -> DataFrame:
@@ -207,44 +242,66 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
     least = least_matches()
 
     def run(batches):
-        for unit in _units(batches, ["bucket", "_hi", "_lo"]):
-            sig = np.frombuffer(b"".join(unit["sig"]), "<u4").reshape(-1, HASHES)
-            rep, b = unit["rep"].to_numpy(), unit["_b"].to_numpy()
-            if unit["_hi"].iloc[0] == unit["_lo"].iloc[0]:
-                i, j = surviving_pairs(sig, None, least)
-                a, c = rep[i], rep[j]
-            else:
-                hi, lo = b == unit["_hi"].iloc[0], b == unit["_lo"].iloc[0]
-                i, j = surviving_pairs(sig[hi], sig[lo], least)
-                a, c = rep[hi][i], rep[lo][j]
-            yield pd.DataFrame(forest(a, c), columns=["a", "b"], dtype="int64")
+        keys = ["bucket", "_hi", "_lo"]
+        for rows in _whole_units(batches, keys):
+            sig = np.frombuffer(b"".join(rows["sig"]), "<u4").reshape(-1, HASHES)
+            rep, b, (bucket, hi, lo) = rows["rep"].to_numpy(), rows["_b"].to_numpy(), (rows[k].to_numpy() for k in keys)
+            new = np.ones(len(rows), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+            starts = np.flatnonzero(new)
+            sizes = np.diff(starts, append=len(rows))
+            small = (sizes <= SMALL) & (hi[starts] == lo[starts])
+            left, right = [], []
+            for size in range(2, SMALL + 1):   # all pairs of the small buckets of one size together
+                at = starts[small & (sizes == size), None]
+                i, j = np.triu_indices(size, 1)
+                i, j = pruned_pairs(sig, (at + i).ravel(), (at + j).ravel(), least)
+                left.append(rep[i])
+                right.append(rep[j])
+            for x, n in zip(starts[~small], sizes[~small]):
+                unit = slice(x, x + n)
+                if hi[x] == lo[x]:
+                    label = connected(sig[unit], np.arange(n), None, least)
+                else:
+                    label = connected(sig[unit], np.flatnonzero(b[unit] == hi[x]), np.flatnonzero(b[unit] == lo[x]), least)
+                first = np.full(n, np.iinfo(np.int64).max)
+                np.minimum.at(first, label, rep[unit])
+                other = first[label] != rep[unit]
+                left.append(rep[unit][other])
+                right.append(first[label][other])
+            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
     return (units.repartition("bucket", "_hi", "_lo").sortWithinPartitions("bucket", "_hi", "_lo")
-            .mapInPandas(trimmed(run), "a long, b long").distinct())
+            .mapInPandas(trimmed(run), "a long, b long"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether distinct ``edges`` (a, b), a > b, are stars: each a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return nodes.where((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("low") == 0))).isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), the root being the least node of its component.
 
-    Rounds of large-star and small-star, each written to the shared folder, until nothing changes. Stars are
-    built by aggregates and joins, so a node of any degree is never gathered.
+    Rounds of large-star and small-star, each written to the shared folder, until every component is a star. Stars
+    are built by aggregates and joins, so a node of any degree is never gathered.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(
         F.col("a") != F.col("b")).distinct(), "edges")
     for _ in range(rounds):
+        if _all_stars(now):
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        least = materialize(least, "stars")
+        least = materialize(least, "stars")   # read back, so the join below can split a node of many edges
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where(F.col("a") != F.col("b")).distinct(), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(materialize(low, "stars"), "a")
-        new = small.select("a", F.col("m").alias("b")).unionByName(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
-        new = materialize(new, "edges")
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
-            break
-        now = new
+        large = materialize(large, "edges")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "stars")
+        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        now = materialize(small.where(F.col("a") != F.col("b")).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
