@@ -266,6 +266,33 @@ def test_links_against_brute_force(spark, monkeypatch):
     assert jaccard_join.near_duplicates(frame.limit(0)).count() == 0
 
 
+def shared_id_rows():
+    """Texts a < b < c of no relation, near copies of each, ids null and repeated."""
+    rnd = random.Random(14)
+    a, b, c = sorted(" ".join(rnd.choices(WORDS, k=150)) for _ in range(3))
+    near = lambda t, n: t + f" tail{n}"
+    return [(None, a), (None, b), (7, b), (8, near(b, 1)), (5, c), (5, a), (6, near(c, 1)), (9, near(a, 1)), (5, c),
+            (None, near(c, 2)), (None, None), (5, ""), (10, "alone in here")]
+
+
+def test_links_with_shared_and_missing_ids(spark):
+    rows = shared_id_rows()
+    # the same rows with ids of their own, in the order that ids have, nulls first
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    links = brute_links([(n, rows[i][1]) for n, i in enumerate(order)])
+    own = [rows[i][0] for i in order]
+    size = collections.Counter(v[0] for v in links.values())
+    texts = {n: rows[i][1] or "" for n, i in enumerate(order)}
+    sets = {n: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for n, t in texts.items()}
+    docs = {n: sum(size[m] for m in size if m != links[n][0] and sets[m] and sets[n]
+                   and len(sets[n] & sets[m]) >= 0.8 * len(sets[n] | sets[m])) for n in links}
+    want = sorted(((own[n], own[c], k, docs[n], own[g]) for n, (c, k, g) in links.items()), key=str)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7):   # the result mustn't depend on where rows lie
+        got = [tuple(r) for r in jaccard_join.near_duplicates(frame.repartition(parts)).collect()]
+        assert sorted(got, key=str) == want
+
+
 def test_connected_equals_components_of_all_surviving_pairs():
     rng = np.random.default_rng(3)
     least = jaccard_join.least_matches()

@@ -377,46 +377,58 @@ def verified(texts: DataFrame, groups: DataFrame) -> DataFrame:
             .mapInPandas(trimmed(run), "rep long, n long, docs long, other long"))
 
 
-def text_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, rep (least doc_id with the same text), written: the classes of equal texts.
+def text_classes(numbered: DataFrame) -> DataFrame:
+    """row, doc_id, rep, first, copies of each of the rows (row, doc_id, text), written: the classes of equal texts.
 
-    The hash is joined back to the documents, not gathered, so a text of any number of copies is fine.
+    ``rep`` is the least row with the same text and names the class, as ids can be shared or missing; ``first`` is its
+    least doc_id. The hash is joined back to the rows, not gathered, so a text of any number of copies is fine.
     """
-    keyed = with_id(docs, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_h"))
-    keyed = materialize(keyed.select("doc_id", F.unhex(F.substring("_h", 1, 32)).alias("_h")), "text-hashes")
-    reps = materialize(keyed.groupBy("_h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")),
-                       "text-classes")
+    keyed = numbered.select("row", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_h"))
+    keyed = materialize(keyed.select("row", "doc_id", F.unhex(F.substring("_h", 1, 32)).alias("_h")), "text-hashes")
+    reps = materialize(keyed.groupBy("_h").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first"),
+                                               F.count(F.lit(1)).alias("copies")), "text-classes")
     several = reps.where(F.col("copies") > 1)
     return materialize(keyed.join(several, "_h", "left").select(
-        "doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")),
-        "document-classes")
+        "row", "doc_id", F.coalesce("rep", "row").alias("rep"), F.coalesce("first", "doc_id").alias("first"),
+        F.coalesce("copies", F.lit(1)).alias("copies")), "document-classes")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id, n_links, n_linked_docs, group_id.
+def judged_rows(numbered: DataFrame) -> DataFrame:
+    """row, doc_id, class_id, n_links, n_linked_docs, group_id, root of each of the rows (row, doc_id, text).
 
-    class_id is the least doc_id with the same text; n_links counts the other
-    texts linked to it, n_linked_docs the documents that have those texts;
-    group_id is the least doc_id of the connected group of linked texts. Null
-    and empty texts form one class and link to no other. Repeated rows repeat.
+    Row numbers must be distinct and fixed; ``root`` is the same for the rows of a group and no others.
     """
-    ship_package(docs.sparkSession)
-    classes = text_classes(docs)
-    one = classes.where(F.col("doc_id") == F.col("rep")).select("rep", "copies").dropDuplicates(["rep"])
-    # rows that share a doc_id are judged by their least text; the rows of a rep already lie together here
-    texts = with_id(docs, "doc_id", "text").withColumnRenamed("doc_id", "rep").join(one, "rep").groupBy(
-        "rep", "copies").agg(F.min("text").alias("text"))
+    ship_package(numbered.sparkSession)
+    classes = text_classes(numbered)
+    one = classes.where(F.col("row") == F.col("rep")).select("rep", "first", "copies")
+    texts = numbered.select(F.col("row").alias("rep"), "text").join(one.select("rep", "copies"), "rep")
     sigs = materialize(signatures(texts), "signatures")
     groups = materialize(components(candidate_edges(sigs)).select(F.col("node").alias("rep"), "root"), "candidates")
     links = materialize(verified(texts, groups), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n_links"), F.sum("docs").alias("n_linked_docs"))
     roots = components(links.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    known = materialize(counts.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("group_id")), "rep",
-                                    "left"), "linked-texts")
-    out = classes.join(known, "rep", "left").select(
-        "doc_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"), F.coalesce("group_id", "rep").alias("group_id"))
-    return null_ids(out, "doc_id", "class_id", "group_id")
+    roots = materialize(roots.select(F.col("node").alias("rep"), "root").join(one.select("rep", "first"), "rep"), "roots")
+    least = roots.groupBy("root").agg(F.min("first").alias("group_id"))
+    known = materialize(counts.join(roots.join(least, "root").select("rep", "root", "group_id"), "rep", "left"),
+                        "linked-texts")
+    return classes.join(known, "rep", "left").select(
+        "row", "doc_id", F.col("first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"), F.coalesce("group_id", "first").alias("group_id"),
+        F.coalesce("root", "rep").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, class_id, n_links, n_linked_docs, group_id.
+
+    class_id is the least doc_id with the same text; n_links counts the other
+    texts linked to it, n_linked_docs the documents that have those texts;
+    group_id is the least doc_id of the connected group of linked texts. Null
+    and empty texts form one class and link to no other. Repeated rows repeat;
+    rows that share an id, or have none (the least of all ids), are judged each by its own text.
+    """
+    # written once: every later read must see the same numbers
+    numbered = materialize(with_id(docs, "doc_id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
+    return null_ids(judged_rows(numbered).drop("row", "root"), "doc_id", "class_id", "group_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
