@@ -220,6 +220,19 @@ def test_repeats_with_shared_and_missing_ids(spark):
     assert [r for r in got if r[0] == 1 and r[1] == len(a + b)][0][2] >= len(b)
 
 
+def test_texts_cut_with_shared_and_missing_ids(spark):
+    rnd = random.Random(7)
+    a, b, c = ("".join(rnd.choices("abcdefgh ", k=300)) for _ in range(3))
+    big = (1 << 60) + 1
+    rows = [(None, a), (None, c), (1, b), (1, b), (1, "z" + a + b), (2, None), (3, c), (big, a + "é")]
+    frame = spark.createDataFrame([r + (None,) for r in rows], "doc_id long, text string, n_chars int")
+    got = [(r.doc_id, r.text, r.n_chars) for r in suffix_dedup.dedup_texts(frame).collect()]
+    want = [(None, a), (None, c), (1, b), (1, ""), (1, "z"), (2, None), (3, ""), (big, "é")]
+    assert collections.Counter(got) == collections.Counter((i, t, None if t is None else len(t)) for i, t in want)
+    alone = frame.where("doc_id > 1")   # no id is shared: ids are the numbers
+    assert {(r.doc_id, r.text) for r in suffix_dedup.dedup_texts(alone).collect()} == {(2, None), (3, c), (big, a + "é")}
+
+
 # ---------------------------------------------------------------- 9 Jaccard join
 
 
@@ -293,6 +306,17 @@ def test_links_with_shared_and_missing_ids(spark):
         assert sorted(got, key=str) == want
 
 
+def test_one_row_stays_of_shared_and_missing_ids(spark):
+    rows = shared_id_rows()
+    a, b, c = sorted(t for _, t in rows[:2] + rows[4:5])
+    got = [(r.doc_id, r.text or "") for r in jaccard_join.keep_one(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (None, c + " tail2"), (None, ""),
+                                           (10, "alone in here")], key=str)
+    same = spark.createDataFrame([(4, a), (4, a), (4, b), (4, a + " tail")], "doc_id long, text string")
+    assert sorted(r.text.split(" tail")[0] for r in jaccard_join.keep_one(same).collect()) == [a, b]
+
+
 def test_connected_equals_components_of_all_surviving_pairs():
     rng = np.random.default_rng(3)
     least = jaccard_join.least_matches()

@@ -432,7 +432,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are the first of their group, columns unchanged; rows without an id all stay."""
-    known = docs.where(F.col("doc_id").isNotNull())
-    drop = near_duplicates(known).where(F.col("doc_id") != F.col("group_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` of each group of linked texts, columns unchanged: the row of least doc_id, null the least.
+
+    Of rows that share that id the first written one stays.
+    """
+    # written once: every later read must see the same numbers
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    judged = judged_rows(with_id(rows, "doc_id", "text", F.col("_row").alias("row")))
+    keep = judged.where(F.col("doc_id") == F.col("group_id")).groupBy("root").agg(F.min("row").alias("_row"))
+    return rows.join(keep.select("_row"), "_row", "left_semi").select(*docs.columns)

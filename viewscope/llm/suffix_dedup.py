@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ Q = 25
 MAX_HOT = 1_000_000       # rows of the list of hot minimizers at most
 HOT_SPANS = 5_000         # different contents of a minimizer, about, beyond which it counts as hot
 _SAMPLE = 100             # one of so many spans is looked at to find hot minimizers
+_PREFIX = 256             # characters of a text by which rows of one id are ordered
 _BATCH_BYTES = 3 << 20    # text handled by one numpy pass
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -434,29 +436,49 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.withColumn("doc_id", F.nullif(own.cast("long"), F.lit(none)))
 
 
+def _with_number(docs: DataFrame) -> DataFrame:
+    """``docs`` with a distinct _number a row, in the order of doc_id (null first), then text.
+
+    Distinct ids are the numbers themselves. Otherwise the rows are sorted over all tasks and written with their place,
+    so the rows of one id are never gathered; a text counts by its first _PREFIX characters there, then by its hash.
+    """
+    facts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n").alias("n"), F.min("doc_id").alias("low")).first()
+    if (facts["n"] or 1) == 1:
+        return docs.withColumn("_number", F.coalesce(F.col("doc_id").cast("long"), F.lit((facts["low"] or 0) - 1)))
+    text = F.coalesce("text", F.lit(""))
+    keys = {"_k1": F.substring(text, 1, _PREFIX), "_k2": F.xxhash64(text)}
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_k1"), F.col("_k2")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.withColumns(keys).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(*keys)
+    return materialize(placed.withColumn("_number", F.monotonically_increasing_id()), "numbered-rows")
+
+
 def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows of ``docs`` with repeated strings cut out of text; columns stay, n_chars follows where it is a column.
 
     Bytes of a character cut in two are dropped with it. A text that loses
-    everything becomes empty, and its row stays. Rows need distinct ids, as
-    documents have; rows without an id keep their text.
+    everything becomes empty, and its row stays. Rows that share a doc_id, or
+    have none, are separate documents, one after another in text order.
     """
     ship_package(docs.sparkSession)
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = repeated_ranges(known, length)
+    rows = _with_number(docs)
+    ranges = repeated_ranges(rows.select(F.col("_number").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")),
+                             length)
     columns, schema = docs.columns, docs.schema
 
-    def run(batches):
+    def run(batches):   # Arrow batches, as pandas would turn ids with nulls among them into floats
         for batch in batches:
             texts = []
-            for text, found in zip(batch["text"], batch["_ranges"]):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()):
                 if found is not None and text:
                     text = _kept(text.encode(), found, length)[0].decode(errors="ignore")
                 texts.append(text)
-            batch["text"] = texts
+            out = {c: batch.column(c) for c in columns}
+            out["text"] = pa.array(texts, out["text"].type)
             if "n_chars" in columns:
-                batch["n_chars"] = [None if t is None else len(t) for t in texts]
-            yield batch[columns]
+                out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], out["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
 
-    return docs.join(ranges.withColumnRenamed("ranges", "_ranges"), "doc_id", "left").select(
-        *columns, "_ranges").mapInPandas(trimmed(run), schema)
+    found = ranges.select(F.col("doc_id").alias("_number"), F.col("ranges").alias("_ranges"))
+    return rows.join(found, "_number", "left").select(*columns, "_ranges").mapInArrow(trimmed(run), schema)
