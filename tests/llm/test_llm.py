@@ -427,6 +427,14 @@ def test_quality_of_odd_documents(spark, docs):
     assert quality.keep_good(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_rows_kept_with_shared_and_missing_ids(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int")   # without a model only empty texts go
+    rows = [(None, "some words"), (None, ""), (None, None), (1, " "), (1, "more words"), (1, "more words"), (2, "x")]
+    frame = spark.createDataFrame([r + ("s", "en") for r in rows], "doc_id long, text string, source string, lang string")
+    got = [(r.doc_id, r.text) for r in quality.keep_good(frame, labels).collect()]
+    assert collections.Counter(got) == collections.Counter(r for r in rows if r[1] and r[1].strip())
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.predict_languages(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()

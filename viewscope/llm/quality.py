@@ -191,14 +191,8 @@ def _logit(c: Column) -> Column:
     return F.log(x / (1 - x))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """doc_id, p_document, host_rate, path_rate, quality (posterior), keep of every document.
-
-    A null or empty text is rejected; null hosts and paths form a site of
-    their own; repeated rows repeat; with no usable labels every document
-    that has text is kept.
-    """
-    model = fit_documents(docs, labels)
+def _judged(docs: DataFrame, model: DocumentModel | None, host: str, path: str) -> DataFrame:
+    """The rows of ``judge_quality``, null ids as NULL_ID."""
     scored = materialize(document_probability(docs, model, host, path), "quality-documents")
     sites, prior = site_posteriors(scored)
     # sites are aggregates of the documents: small here, of no fixed bound, so the planner chooses the join
@@ -206,14 +200,27 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     shift = _logit(F.col("path_rate")) - _logit(F.lit(prior))
     z = _logit(F.col("p")) + SITE_WEIGHT * shift
     quality = F.when(F.col("p") == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-z)))
-    return null_ids(out.select("doc_id", F.col("p").alias("p_document"), "host_rate", "path_rate",
-                               quality.alias("quality"), (quality >= THRESHOLD).alias("keep")))
+    return out.select("doc_id", F.col("p").alias("p_document"), "host_rate", "path_rate",
+                      quality.alias("quality"), (quality >= THRESHOLD).alias("keep"))
+
+
+def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """doc_id, p_document, host_rate, path_rate, quality (posterior), keep of every document.
+
+    A null or empty text is rejected; null hosts and paths form a site of
+    their own; repeated rows repeat; with no usable labels every document
+    that has text is kept.
+    """
+    return null_ids(_judged(docs, fit_documents(docs, labels), host, path))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that aren't rejected, columns unchanged.
 
-    A document goes when a row with its id is rejected (rows without id are never matched).
+    Each row is judged by itself, so ids may repeat or be missing.
     """
-    rejected = judge_quality(docs, labels).where(~F.col("keep")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    # written once: every later read must see the same numbers
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.drop("doc_id").withColumnRenamed("_row", "doc_id")
+    rejected = _judged(numbered, fit_documents(rows, labels), "source", "lang").where(~F.col("keep"))
+    return rows.join(rejected.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
