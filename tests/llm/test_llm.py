@@ -399,6 +399,17 @@ def test_neighbours_recall(spark, monkeypatch):
     assert collision_hash.nearest_vectors(frame.limit(0)).count() == 0
 
 
+def test_copies_of_a_lone_query(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "BLOCK_ROWS", 200)
+    rng = np.random.default_rng(5)
+    one = rng.standard_normal(64).tolist()
+    ids = [100] + [i for i in range(101, 500) if i % 100]
+    rows = [(i, one if i % 2 == 0 else rng.standard_normal(64).tolist()) for i in ids]
+    got = collision_hash.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [i for i in ids[1:] if i % 2 == 0][:10]
+    assert [(r.query_id, r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(100, i, 0.0) for i in want]
+
+
 # ---------------------------------------------------------------- 3 quality, 7 language
 
 

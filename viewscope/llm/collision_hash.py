@@ -29,6 +29,7 @@ GROWTH = 1.3         # of the radius from round to round
 START = 0.5          # first radius, as a share of the least distance among the probes
 PROBES = 64          # vectors of a block that are verified first
 STEP = 128           # queries searched together
+ROUNDING = 1e-12     # of a projection's scale: equal vectors can differ by this much, as products round differently
 SEED = 7
 
 
@@ -51,6 +52,7 @@ class CollisionIndex:
         rng = np.random.default_rng(SEED)
         self.directions = rng.standard_normal((vectors.shape[1], self.m))
         self.ids, self.vectors = ids, vectors
+        self.longest = np.sqrt((vectors ** 2).sum(axis=1).max(initial=0.0))
         projected = (vectors @ self.directions).T
         self.order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
@@ -71,11 +73,13 @@ class CollisionIndex:
         seen[:, probe] = True
         lo = np.array([np.searchsorted(s, at[:, i]) for i, s in enumerate(self.sorted)]).T
         hi = lo.copy()
+        longest = np.maximum(np.sqrt((queries ** 2).sum(axis=1)), self.longest)
+        slack = ROUNDING * longest[:, None] * np.sqrt((self.directions ** 2).sum(axis=0))
         active = np.arange(len(queries))
         while len(active):
-            half = self.width * radius[active] / 2
-            low = np.array([np.searchsorted(s, at[active, i] - half) for i, s in enumerate(self.sorted)]).T
-            high = np.array([np.searchsorted(s, at[active, i] + half, side="right")
+            half = self.width * radius[active, None] / 2 + slack[active]
+            low = np.array([np.searchsorted(s, at[active, i] - half[:, i]) for i, s in enumerate(self.sorted)]).T
+            high = np.array([np.searchsorted(s, at[active, i] + half[:, i], side="right")
                              for i, s in enumerate(self.sorted)]).T
             low, high = np.minimum(low, lo[active]), np.maximum(high, hi[active])
             for row, q in enumerate(active.tolist()):
