@@ -507,6 +507,16 @@ def test_mined_rules_against_brute_force(spark):
     assert got == want
 
 
+def test_rules_of_four_tokens(spark):
+    from itertools import combinations
+
+    # all four tokens mean block, any three of them as often allow
+    data = [(list("abcd"), "block")] * 20
+    data += [(list(c), "allow") for c in combinations("abcd", 3) for _ in range(20)]
+    rules = url_rules.mine_rules(spark.createDataFrame(data, "tokens array<string>, label string"), 0.05, 0.8).collect()
+    assert [(r.tokens, r.confidence, r.support) for r in rules if r.verdict == "block"] == [(list("abcd"), 1.0, 20)]
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -27,7 +27,6 @@ STATED_RULES = [
 MIN_SUPPORT = 0.002
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 3
 DEFAULT_VERDICT = "allow"
 _LABEL = "="
 
@@ -70,11 +69,12 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               max_tokens: int = MAX_TOKENS) -> DataFrame:
+               max_tokens: int | None = None) -> DataFrame:
     """Rules (tokens, verdict, confidence, support) mined from ``labelled`` (tokens, label).
 
     Rows without tokens or label take no part; an empty table gives no rules.
-    A rule needs ``min_support`` of the rows and ``MIN_COUNT`` rows at least.
+    A rule needs ``min_support`` of the rows and ``MIN_COUNT`` rows at least; its tokens are any number, or
+    ``max_tokens`` at most where given.
     """
     rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0))
     n = rows.count()
@@ -83,9 +83,11 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     sets = materialize(model.freqItemsets, "itemsets")
     is_label = lambda t: t.startswith(_LABEL)
-    plain = sets.where(~F.exists("items", is_label) & (F.size("items") <= max_tokens)).select(
+    if max_tokens is not None:
+        sets = sets.where(F.size(F.filter("items", lambda t: ~is_label(t))) <= max_tokens)
+    plain = sets.where(~F.exists("items", is_label)).select(
         F.array_sort("items").alias("tokens"), F.col("freq").alias("_all"))
-    joint = sets.where(F.exists("items", is_label) & (F.size("items") <= max_tokens + 1)).select(
+    joint = sets.where(F.exists("items", is_label)).select(
         F.array_sort(F.filter("items", lambda t: ~is_label(t))).alias("tokens"),
         F.substring(F.element_at(F.filter("items", is_label), 1), 2, 10_000).alias("verdict"),
         F.col("freq").alias("support")).where(F.size("tokens") > 0)
