@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from viewscope.llm import (
-    collision_hash, jaccard_join, langid, mtree, packing, quality, sentencepiece_bpe, suffix_dedup, tokenfiles, url_rules,
+    collision_hash, fill_middle, filter_audit, jaccard_join, langid, license_scan, mtree, packing, quality,
+    sentencepiece_bpe, suffix_dedup, tokenfiles, url_rules,
 )
 from viewscope.llm.common import table
 
@@ -75,3 +76,27 @@ def op9_ngram_join(spark, sf_dir):
 @register
 def op10_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@register
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = filter_audit.ORACLE
+
+
+@register
+def op12_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_license_scan"] = license_scan.ORACLE
+
+
+@register
+def op13_fill_middle(spark, sf_dir):
+    return fill_middle.fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_fill_middle"] = fill_middle.ORACLE
