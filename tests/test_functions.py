@@ -17,7 +17,7 @@ def test_quantiles_match_numpy_with_ties_and_groups(spark):
     g = rng.integers(0, 3, len(x))
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g int, x double")
     qs = [0.1, 0.5, 0.75, 0.96]
-    out = {r.g: r for r in exact_quantiles(df, "x", qs, keys=["g"], accuracy=100).collect()}
+    out = {r.g: r for r in exact_quantiles(df, "x", qs, keys=["g"], bound=50).collect()}
     for k in range(3):
         want = np.quantile(x[g == k], qs)
         got = [getattr(out[k], f"q{i}") for i in range(len(qs))]
@@ -29,6 +29,37 @@ def test_empty_input_gives_null_row(spark):
     assert exact_quantiles(df, "x", [0.5]).first().q0 is None
 
 
+@pytest.mark.parametrize("name", ["lognormal", "tied", "two_values", "constant", "integers"])
+def test_quantiles_narrow_to_the_bound_on_skewed_and_tied_data(spark, name):
+    """Heavy tails, values that hold a third of all rows, ranks at both ends; brackets end at the bound."""
+    from viewscope.functions.quantile import quantile_brackets
+
+    rng = np.random.default_rng(2)
+    n = 20_000
+    x = {"lognormal": rng.lognormal(0, 8, n), "tied": np.where(rng.random(n) < 0.34, 3.0, rng.normal(size=n)),
+         "two_values": np.where(rng.random(n) < 0.5, 1.0, 2.0), "constant": np.full(n, 7.0),
+         "integers": rng.integers(0, 100, n).astype(float)}[name]
+    df = spark.createDataFrame([(0, float(v)) for v in x], "_g int, _x double").repartition(6)
+    qs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.96, 1.0]
+    r = exact_quantiles(df, "_x", qs, bound=40).first()
+    assert np.allclose([r[i] for i in range(len(qs))], np.quantile(x, qs), rtol=1e-15, atol=0)
+    state, groups = quantile_brackets(df, ["_g"], qs, 40)
+    inside = df.join(state, "_g").where("_x > lo AND _x < hi").groupBy("qi").count().collect()
+    assert groups == 1 and all(c["count"] <= 40 or name == "integers" for c in inside)
+
+
+def test_quantiles_of_many_groups_by_salted_brackets(spark, monkeypatch):
+    from viewscope.functions import quantile as Q
+
+    monkeypatch.setattr(Q, "MAX_BROADCAST_GROUPS", 10)
+    rng = np.random.default_rng(4)
+    g = np.where(rng.random(6000) < 0.4, 0, rng.integers(0, 50, 6000))
+    x = rng.normal(size=6000)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g int, x double")
+    out = {r.g: r.q0 for r in exact_quantiles(df, "x", [0.3], keys=["g"], bound=100).collect()}
+    assert len(out) == 50 and all(abs(out[k] - np.quantile(x[g == k], 0.3)) < 1e-12 for k in out)
+
+
 def test_student_t_pins():
     assert t_two_sided_p_value(-2.0, 10.5) == pytest.approx(0.07203380, abs=1e-8)
     assert t_quantile(0.975, 10.5) == pytest.approx(2.21384029, abs=1e-8)

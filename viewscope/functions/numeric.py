@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,16 @@ def fixed(col: Column | str, digits: int) -> Column:
     return F.round(c.cast("decimal(38,10)"), digits).cast("double")
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """Division that yields NULL instead of raising on a zero denominator."""
-    return F.try_divide(num, den)
+def half_even(col: Column | str, digits: int) -> Column:
+    """Round a double to ``digits`` decimals, ties to the even digit, as a double (snapped like ``fixed``)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.bround(c.cast("decimal(38,10)"), digits).cast("double")
+
+
+def round_records(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Every float column of a result rounded half-even; other columns as they are."""
+    return df.select(*[half_even(f"`{c}`", digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`")
+                       for c, t in df.dtypes])
 
 
 def pearson(x: str, y: str) -> Column:

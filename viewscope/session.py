@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -62,13 +63,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str):
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df, name: str, keep: list[str] | None = None):
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder is added to ``keep``, for a caller that releases it once its last reader is done.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if keep is not None:
+        keep.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path object) of a path, so that any store Spark reads can be listed."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(sc._jsc.hadoopConfiguration()), place
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that ``materialize`` wrote."""
+    for path in paths:
+        fs, place = file_system(spark, path)
+        fs.delete(place, True)
+    paths.clear()
+
+
+def path_version(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of names, lengths and times of the files under ``paths``: it changes when the input does."""
+    seen = hashlib.sha1()
+    for path in paths:
+        fs, place = file_system(spark, path)
+        files = fs.listFiles(place, True)
+        rows = []
+        while files.hasNext():
+            f = files.next()
+            rows.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+        seen.update("\n".join(sorted(rows)).encode())
+    return seen.hexdigest()[:16]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
