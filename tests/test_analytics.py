@@ -80,23 +80,6 @@ def test_constant_feature_standardises_to_zero(spark):
     assert all(r.z_b == 0.0 for r in z)
 
 
-def test_blobs_pick_three_clusters(spark):
-    rng = np.random.default_rng(3)
-    pts = np.concatenate([rng.normal(c, 1.0, size=(60, 2)) for c in (0, 4, 9)])
-    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(pts)]
-    df = spark.createDataFrame(rows, "video_id long, a double, b double")
-    z = M.standardize(df, ["a", "b"])
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-    vec = VectorAssembler(inputCols=["z_a", "z_b"], outputCol="features").transform(z)
-    scores = {}
-    for k in (2, 3, 4, 5):
-        pred = KMeans(k=k, seed=42, predictionCol="cluster_id").fit(vec).transform(vec)
-        scores[k] = M.silhouette(pred.withColumn("cluster_id", F.col("cluster_id").cast("int")),
-                                 "cluster_id", ["z_a", "z_b"]).first()[0]
-    assert max(scores, key=scores.get) == 3
-
-
 def test_planted_outlier_ranks_first(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 2))
@@ -107,3 +90,63 @@ def test_planted_outlier_ranks_first(spark):
     assert scored[0].video_id == 123
     again = M.anomaly_scores(df.repartition(7), ["a", "b"]).where("video_id = 123").first().anomaly_score
     assert again == pytest.approx(scored[0].anomaly_score)
+
+
+def test_token_lift_of_whole_documents_equals_brute_force(spark):
+    """Whole documents, Unicode words, a term in every text (a hot key of the weight join)."""
+    import math
+    import re
+    from collections import Counter
+
+    from viewscope.functions.textfn import english_stop_words
+    from viewscope.sources.tables import documents_as_content
+
+    docs = documents_as_content(spark, "/root/testdata/sf0.001").withColumn("title", F.concat(F.lit("common "), "title"))
+    rows = docs.select("video_id", "title", "views").collect()
+    stops, tf = set(english_stop_words()), {}
+    for r in rows:
+        words = [w for w in re.findall(r"\b[a-zA-Z][a-zA-Z]+\b", r.title.lower()) if w not in stops]
+        tf[r.video_id] = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    df = Counter(t for c in tf.values() for t in c)
+    weight = {}
+    for i, c in tf.items():
+        w = {t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        weight[i] = {t: x / norm for t, x in w.items()}
+    cut = np.quantile([r.views for r in rows], 0.75)
+    high = {r.video_id for r in rows if r.views >= cut}
+    lift = Counter()
+    for i, w in weight.items():
+        for t, x in w.items():
+            lift[t] += x / len(high) if i in high else -x / (len(rows) - len(high))
+    got = {r.term: r.lift for r in X.token_lift(docs, "views", 12).collect()}
+    want = sorted(lift.items(), key=lambda p: (-round(p[1], 10), p[0]))[:12]
+    assert len(got) == len([v for _, v in want if v > 0])
+    assert all(abs(got[t] - v) < 6e-5 for t, v in want if v > 0)
+
+
+def test_report_of_similar_titles_has_its_anchor(content_small):
+    r = X.similar_report(content_small, 1, 3).orderBy("rank").collect()
+    assert [x.rank for x in r] == [0, 1, 2, 3] and r[0].video_id == 1 and r[0].similarity is None
+    assert all(x.video_id != 1 and x.similarity is not None for x in r[1:])
+
+
+def test_csv_export_is_written_and_read_back(spark, tmp_path, content_small):
+    from viewscope.plans.report import csv_export, read_csv_export, write_csv_export
+    from viewscope.schema import EXPORT_COLUMNS
+
+    slice_ = Filters(category="1-URGENT")
+    write_csv_export(content_small, str(tmp_path / "out"), slice_)
+    back = read_csv_export(spark, str(tmp_path / "out"))
+    assert back.columns == EXPORT_COLUMNS
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, csv_export(content_small, slice_).collect()))
+    write_csv_export(content_small, str(tmp_path / "none"), Filters(category="no-such"))
+    assert read_csv_export(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_empty_slice_is_reported_first(content_small):
+    none = FL.filter_content(content_small, Filters(category="no-such"))
+    r = AB.ab_test_attribute(none, "category", "a", "b", "views").first()
+    assert r.error == AB.NO_ROWS and r.n_a == 0
+    assert S.kpi_totals(none).first().videos == 0
+    assert X.token_lift(none, "views", 5).count() == 0

@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from viewscope.operators import enrich as E
@@ -87,3 +88,72 @@ def test_days_since_publish_with_times(spark):
     df = spark.createDataFrame(pdf).withColumn("publish_date", F.col("publish_date").cast("timestamp_ntz"))
     out = E.add_recency(df, dt.datetime(2024, 1, 3, 1, 0)).orderBy("video_id").collect()
     assert [r.days_since_publish for r in out] == [1, 0]
+
+
+def _peer_means(t, v, days):
+    """Mean over all rows with time in (t - days, t], by brute force."""
+    span = np.timedelta64(days, "D")
+    return np.array([v[(t > x - span) & (t <= x)].mean() for x in t])
+
+
+def test_peers_share_the_mean_of_their_date(spark):
+    rng = np.random.default_rng(6)
+    days = np.where(rng.random(400) < 0.4, 9, rng.integers(0, 30, 400))      # a hot day
+    dates = np.array([np.datetime64("2024-01-01") + int(d) for d in days])
+    views = rng.integers(1, 100, 400)
+    df = frame(spark, [str(d) for d in dates], views.tolist())
+    out = E.rolling_means(df, {"r": ("views", 7)}, partitions=6, ties="peers").toPandas().set_index("video_id").sort_index()
+    assert np.allclose(out["r"], _peer_means(dates, views.astype(float), 7))
+
+
+@pytest.mark.parametrize("ties", ["peers", "position"])
+def test_timed_rows_with_a_hot_instant(spark, ties):
+    rng = np.random.default_rng(7)
+    n = 900
+    hours = np.where(rng.random(n) < 0.4, 100, rng.integers(0, 24 * 12, n))
+    times = np.array([np.datetime64("2024-01-01T00:00:00") + np.timedelta64(int(h), "h") for h in hours])
+    views, ids = rng.integers(1, 100, n).astype(float), rng.permutation(n)
+    pdf = pd.DataFrame({"video_id": ids, "publish_date": times, "views": views})
+    df = spark.createDataFrame(pdf).withColumn("publish_date", F.col("publish_date").cast("timestamp_ntz"))
+    keep = []
+    out = E.rolling_means(df, {"r": ("views", 3)}, partitions=7, ties=ties, keep=keep).toPandas().set_index("video_id")
+    got = out.loc[ids, "r"].to_numpy()
+    if ties == "peers":
+        want = _peer_means(times, views, 3)
+    else:
+        span = np.timedelta64(3, "D")
+        want = [views[(times > t - span) & ((times < t) | (times == t) & (ids <= i))].mean() for t, i in zip(times, ids)]
+    assert np.allclose(got, want)
+    # the written intermediates can be released once the result is read
+    from viewscope.session import release
+    import os
+    folders = [k.removeprefix("file:") for k in keep]
+    assert folders and all(os.path.isdir(f) for f in folders)
+    release(spark, keep)
+    assert not any(os.path.exists(f) for f in folders)
+
+
+def test_ties_option_is_checked_and_empty_tables_stay_empty(spark):
+    df = frame(spark, ["2024-01-01"], [1])
+    with pytest.raises(ValueError):
+        E.rolling_means(df, {"r": ("views", 7)}, ties="none")
+    for ties in ("peers", "position"):
+        assert E.rolling_means(df.limit(0), {"r": ("views", 7)}, ties=ties).count() == 0
+        timed = df.withColumn("publish_date", F.col("publish_date").cast("timestamp_ntz"))
+        assert E.rolling_means(timed.limit(0), {"r": ("views", 7)}, ties=ties).count() == 0
+
+
+def test_join_counted_and_numbers(spark):
+    from viewscope.functions.distribute import join_counted, numbered
+
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 500}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, k string").repartition(5)
+    per_key = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    out = join_counted(df, per_key, ["k"], "n", 3000)
+    first = {}
+    for i, k in sorted(rows):
+        first.setdefault(k, i)
+    assert sorted(map(tuple, out.select("id", "first").collect())) == [(i, first[k]) for i, k in sorted(rows)]
+    n = numbered(df, "number").collect()
+    assert sorted(r.number for r in n) == list(range(3000)) and len({r.id for r in n}) == 3000
+    assert numbered(df.limit(0), "number").count() == 0

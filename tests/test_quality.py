@@ -94,3 +94,77 @@ def test_dedup_hot_key_third_of_rows(spark):
     assert out.count() == 2001 and hot._copies == 1000
     first_seq = df.where("video_id = '7'").agg(F.min("ingest_seq")).first()[0]
     assert hot.title == df.where(F.col("ingest_seq") == first_seq).first().title
+
+
+def test_dedup_plans_hash_only_and_order_of_several_columns(spark):
+    rows = [(k, a, d, f"{k}{a}{d}") for k in ("x", "y", None) for a in (3, 1, None) for d in ("2024-02-01", "2024-01-01")]
+    df = spark.createDataFrame(rows * 2, "k string, a long, d string, t string").withColumn("d", F.to_date("d"))
+    out = Q.dedup_keep_first(df.repartition(4), ["k"], ["a", "d"], count_col="n")
+    assert sorted((str(r.k), r.a, str(r.d), r.n) for r in out.collect()) == [
+        (k, None, "2024-01-01", 12) for k in ("None", "x", "y")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    # an order that fits no number is reduced as a struct
+    text = Q.dedup_keep_first(df, ["k"], ["t"], count_col="n").collect()
+    assert sorted((str(r.k), r.n) for r in text) == [("None", 12), ("x", 12), ("y", 12)]
+
+
+def test_dedup_null_order_sorts_first_and_wide_ranges(spark):
+    big = (1 << 62)
+    rows = [("a", big, "x"), ("a", -big, "y"), ("b", None, "z"), ("b", 1, "w"), ("c", None, "v")]
+    df = spark.createDataFrame(rows, "k string, s long, t string")
+    got = {r.k: r.t for r in Q.dedup_keep_first(df, ["k"], ["s"], unique_order=True).collect()}
+    assert got == {"a": "y", "b": "z", "c": "v"}
+
+
+def _write(path, lines):
+    path.write_text("\n".join([",".join(RAW_COLUMNS), *lines]) + "\n")
+
+
+def test_malformed_rows_are_counted_and_set_aside(spark, tmp_path):
+    from viewscope.sources.files import read_raw_csv
+
+    folder = tmp_path / "some dir"
+    folder.mkdir()
+    good = ",".join(GOOD)
+    _write(folder / "b é.csv", [good.replace("1,a", "2,later", 1), "3,short,Music,2024-01-01,10", good + ",surplus"])
+    _write(folder / "a.csv", [good, good.replace("1,a", "2,first", 1), '4,"quoted, comma",M,2024-01-05,9,9,1,1,1,A'])
+    raw = read_raw_csv(spark, str(folder))
+    assert Q.COUNT_COLUMNS and raw.schema["ingest_seq"].dataType.simpleString() == "decimal(38,0)"
+    v = Q.validate(raw, "dirty", mode="quarantine")
+    good_rows, bad = Q.split_quarantine(v.rows)
+    assert {r.video_id: r.title for r in good_rows.collect()} == {1: "a", 2: "first", 4: "quoted, comma"}
+    assert [r.reject_reason for r in bad.collect()] == ["malformed_row"] * 2
+    assert (v.report["rows_read"], v.report["malformed_rows"], v.report["duplicate_video_ids_removed"]) == (6, 2, 1)
+    assert v.report["invalid_numeric_rows"] == 0
+    with pytest.raises(Q.DataValidationError, match="wrong number of fields"):
+        Q.validate(raw, "dirty", mode="fail")
+
+
+def test_date_formats(spark):
+    texts = ["2024-01-02", "2024/1/2", "01/02/2024", "2 Jan 2024", "January 2, 2024", "20240102", " 1/2/2024 ", "2024-13-01", "x", ""]
+    df = raw(spark, [row(video_id=str(i), publish_date=t) for i, t in enumerate(texts)])
+    got = {r.video_id: r.publish_date for r in Q.coerce(df).collect()}
+    assert all(str(got[i])[:10] == "2024-01-02" for i in range(7)) and [got[i] for i in (7, 8, 9)] == [None] * 3
+    iso_only = {r.video_id: r.publish_date for r in Q.coerce(df, date_formats=()).collect()}
+    assert [i for i, d in iso_only.items() if d is not None] == [0]
+
+
+def test_rows_without_order_and_rounding_half_even(spark):
+    from viewscope.functions.numeric import round_records
+
+    plain = raw(spark, [row(video_id=i) for i in ("1", "1", "2")]).drop("ingest_seq")
+    assert Q.validate(plain, "t").report["duplicate_video_ids_removed"] == 1
+    df = spark.createDataFrame([(0.00005, 1, "a"), (0.00015, 2, "b"), (-2.71825, 3, None), (None, 4, "c")], "x double, n int, t string")
+    assert [r.x for r in round_records(df).collect()] == [0.0, 0.0002, -2.7182, None]
+
+
+def test_changed_input_is_built_anew(spark, tmp_path):
+    from viewscope.session import path_version
+
+    df = spark.range(5)
+    df.write.parquet(str(tmp_path / "t"))
+    before = path_version(spark, [str(tmp_path / "t")])
+    assert path_version(spark, [str(tmp_path / "t")]) == before
+    spark.range(6).write.mode("append").parquet(str(tmp_path / "t"))
+    assert path_version(spark, [str(tmp_path / "t")]) != before

@@ -5,7 +5,9 @@ any user filter, so recency and rolling values do not change with a slice.
 
 Rolling means follow a time-range frame of N days ending at the current row:
 every row of the N-1 previous calendar days, plus the rows of the same day up
-to and including the current one in (publish_date, video_id) order.
+to and including the current one in (publish_date, video_id) order. With
+``ties='peers'`` the frame ends with the last row of the current instant instead, as
+SQL's RANGE frame does.
 
 Plan (no un-partitioned window over the fact table, no task per day):
 
@@ -17,6 +19,10 @@ Plan (no un-partitioned window over the fact table, no task per day):
    cut by a partition boundary (a hot day may span many partitions) gets the
    totals of its earlier pieces added from a small offsets table. That table
    has at most ``partitions - 1`` rows, so broadcasting it is always safe.
+   The scanned rows are written, so a lost executor costs its own tasks only.
+3. With times of day, rows are first reduced to instants (one row per distinct
+   time); frame edges and peer groups are running sums over instants, and go
+   back to the rows by a join that treats instants holding many rows apart.
 """
 
 from __future__ import annotations
@@ -25,12 +31,13 @@ import datetime as dt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewscope.functions.distribute import join_counted
 from viewscope.schema import ROLLING_WINDOWS
+from viewscope.session import materialize
 
 # A broadcast side is allowed only when its row count is bounded by this.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -125,7 +132,7 @@ def _running_sums_fn(value_cols: list[str]):
 
 
 def segmented_running_sums(frame: DataFrame, order_cols: list[str], value_cols: list[str], parts: int,
-                           keep: list | None = None) -> DataFrame:
+                           keep: list[str] | None = None) -> DataFrame:
     """Running sums of ``value_cols`` within each ``_day`` segment, ordered by ``order_cols`` (inclusive).
 
     Adds ``_run_n`` (rows so far) and ``_run_<c>``. Skew-safe: rows are
@@ -134,21 +141,16 @@ def segmented_running_sums(frame: DataFrame, order_cols: list[str], value_cols:
     by partition boundaries gets its earlier pieces' totals from an offsets
     table of at most ``parts - 1`` rows (safe to broadcast).
 
-    The scan runs once and is persisted: the offsets must come from the very
-    partitioning that produced the running sums (a second evaluation of the
-    range exchange could sample different boundaries). Lost cached blocks are
-    recomputed from lineage with the same partitioner.
+    The scan is written once: offsets and running sums must come from one range partitioning (a second
+    evaluation could sample other boundaries), and lost executors don't undo it. Its folder is added to ``keep``.
     """
     ranged = (frame.repartitionByRange(parts, "_day", *order_cols)
                    .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields
                           + [T.StructField("_cum_n", T.LongType())]
                           + [T.StructField(f"_cum_{c}", T.DoubleType()) for c in value_cols])
-    scanned = (ranged.sortWithinPartitions("_day", *order_cols)
-               .mapInArrow(_running_sums_fn(value_cols), schema)
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    if keep is not None:
-        keep.append(scanned)
+    scanned = materialize(ranged.sortWithinPartitions("_day", *order_cols)
+                          .mapInArrow(_running_sums_fn(value_cols), schema), "running-sums", keep)
     # last row of each (partition, day) piece holds the piece totals
     pieces = scanned.groupBy("_pid", "_day").agg(
         F.max("_cum_n").alias("_t_n"),
@@ -168,17 +170,21 @@ def segmented_running_sums(frame: DataFrame, order_cols: list[str], value_cols:
 
 def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = None,
                   partitions: int | None = None, n_days_bound: int | None = None,
-                  keep: list | None = None) -> DataFrame:
+                  keep: list[str] | None = None, ties: str = "position") -> DataFrame:
     """W1-W3; ``publish_date`` a DATE or a TIMESTAMP. Rows that share a ``video_id`` stay separate rows.
 
     ``windows`` maps output column -> (source column, N days). The frame of a
     row at time t is (t - N days, t]: every row of the N-1 previous calendar
     days, the rows of its own day up to itself in (time, id) order and, when
     times of day exist, the rows of day d-N later in the day than t.
+    With ``ties='peers'`` all rows of time t are in the frame, so rows of one
+    time share their means: SQL's RANGE frame.
     ``n_days_bound`` is an upper bound on distinct days (from the audit
     report); the per-day table is broadcast only when it is under the limit.
-    Persisted intermediates are appended to ``keep`` for the caller to release.
+    Folders of written intermediates are appended to ``keep`` for the caller to release.
     """
+    if ties not in ("position", "peers"):
+        raise ValueError("ties must be 'position' or 'peers'")
     windows = windows or ROLLING_WINDOWS
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -202,50 +208,56 @@ def rolling_means(df: DataFrame, windows: dict[str, tuple[str, int]] | None = No
         w = Window.orderBy("_day").rangeBetween(-(n - 1), -1)
         prev_exprs.append(F.coalesce(F.sum(f"_d_{src}").over(w), F.lit(0.0)).alias(f"_p_{out_col}"))
         prev_exprs.append(F.coalesce(F.sum("_d_n").over(w), F.lit(0)).alias(f"_pn_{out_col}"))
-    prev = daily.select("_day", *prev_exprs)
+    # without times of day the peers of a row are its day
+    own_day = [F.col("_d_n").alias("_run_n"), *[F.col(f"_d_{c}").alias(f"_run_{c}") for c in value_cols]]
+    prev = daily.select("_day", *prev_exprs, *(own_day if ties == "peers" and not timed else []))
     prev = F.broadcast(prev) if small else prev
 
-    # 2. own-day running sums
-    out = segmented_running_sums(base, order, value_cols, parts, keep).join(prev, ["_day"], "left")
-    for out_col, (src, _) in windows.items():
-        out = (out.withColumn(f"_num_{out_col}", F.col(f"_p_{out_col}") + F.col(f"_run_{src}"))
-                  .withColumn(f"_den_{out_col}", F.col(f"_pn_{out_col}") + F.col("_run_n")))
-
-    # 3. partial edge day d-N (only with times of day): rows of day d-N later
-    #    than the row's own time = day total - rows up to that time, the latter
-    #    from one more segmented scan over edge rows merged with query rows
+    # 2. own-day running sums, by row or by instant
+    out = segmented_running_sums(base, order, value_cols, parts, keep) if ties == "position" else base
     if timed:
-        for n in sorted({n for _, n in windows.values()}):
-            edge = base.select((F.col("_day") + n).alias("_day"), "_tod", F.lit(0).alias("_kind"), "video_id",
-                               F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in value_cols])
-            # rows of one instant share their edge, so one query row each; ids needn't be unique
-            query = base.select("_day", "_tod").distinct().select(
-                "_day", "_tod", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("video_id"),
-                F.lit(0.0).alias("_one"), *[F.lit(0.0).alias(c) for c in value_cols])
-            scan = segmented_running_sums(edge.unionByName(query), ["_tod", "_kind", "video_id"],
-                                          ["_one", *value_cols], parts, keep)
-            upto = scan.where(F.col("_kind") == 1).select(
-                "_day", "_tod", F.col("_run__one").alias(f"_L{n}_n"),
-                *[F.col(f"_run_{c}").alias(f"_L{n}_{c}") for c in value_cols])
-            day_tot = daily.select((F.col("_day") + n).alias("_day"), F.col("_d_n").alias(f"_T{n}_n"),
-                                   *[F.col(f"_d_{c}").alias(f"_T{n}_{c}") for c in value_cols])
-            out = (out.join(upto, ["_day", "_tod"], "left")
-                   .join(F.broadcast(day_tot) if small else day_tot, ["_day"], "left"))
-            for out_col, (src, wn) in windows.items():
-                if wn != n:
-                    continue
-                e_v = F.coalesce(F.col(f"_T{n}_{src}"), F.lit(0.0)) - F.coalesce(F.col(f"_L{n}_{src}"), F.lit(0.0))
-                e_n = F.coalesce(F.col(f"_T{n}_n"), F.lit(0)) - F.coalesce(F.col(f"_L{n}_n"), F.lit(0.0))
-                out = (out.withColumn(f"_num_{out_col}", F.col(f"_num_{out_col}") + e_v)
-                          .withColumn(f"_den_{out_col}", F.col(f"_den_{out_col}") + e_n))
-
-    for out_col in windows:
-        out = out.withColumn(out_col, F.col(f"_num_{out_col}") / F.col(f"_den_{out_col}"))
+        out = _with_instants(out, base, {n for _, n in windows.values()}, value_cols, parts, ties == "peers", keep)
+    out = out.join(prev, ["_day"], "left")
+    for out_col, (src, n) in windows.items():
+        num, den = F.col(f"_p_{out_col}") + F.col(f"_run_{src}"), F.col(f"_pn_{out_col}") + F.col("_run_n")
+        if timed:
+            num, den = num + F.col(f"_e{n}_{src}"), den + F.col(f"_e{n}__one")
+        out = out.withColumn(out_col, num / den)
     return out.select(*df.columns, *windows.keys())
 
 
+def _with_instants(rows: DataFrame, base: DataFrame, days: set[int], value_cols: list[str], parts: int,
+                   peers: bool, keep: list[str] | None) -> DataFrame:
+    """Adds what depends on the time of a row alone: for each N in ``days`` the totals ``_e<N>__one`` (rows) and ``_e<N>_<col>`` of
+    the rows of day d-N later in the day, and with ``peers`` the running totals ``_run_*`` up to the last row of that time.
+    """
+    instants = materialize(base.groupBy("_day", "_tod").agg(
+        F.count(F.lit(1)).alias("_at"), F.count(F.lit(1)).cast("double").alias("_one"),
+        *[F.sum(c).cast("double").alias(c) for c in value_cols]), "instants", keep)
+    cols = ["_one", *value_cols]
+    found = instants.select("_day", "_tod", "_at")
+    if peers:
+        run = segmented_running_sums(instants.select("_day", "_tod", *cols), ["_tod"], cols, parts, keep)
+        found = found.join(run.select("_day", "_tod", F.col("_run__one").alias("_run_n"),
+                                      *[F.col(f"_run_{c}") for c in value_cols]), ["_day", "_tod"])
+    for n in sorted(days):
+        # instants of day d-N and queries of day d in one scan: the totals up to a time, taken from the day's total
+        edge = instants.select((F.col("_day") + n).alias("_day"), "_tod", F.lit(0).alias("_kind"), *cols)
+        query = instants.select("_day", "_tod", F.lit(1).alias("_kind"), *[F.lit(0.0).alias(c) for c in cols])
+        scan = segmented_running_sums(edge.unionByName(query), ["_tod", "_kind"], cols, parts, keep)
+        upto = scan.where("_kind = 1").select("_day", "_tod", *[F.col(f"_run_{c}").alias(f"_u_{c}") for c in cols])
+        total = instants.groupBy((F.col("_day") + n).alias("_day")).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+        found = found.join(upto, ["_day", "_tod"], "left").join(total, "_day", "left")
+        for c in cols:
+            later = F.coalesce(F.col(f"_t_{c}"), F.lit(0.0)) - F.coalesce(F.col(f"_u_{c}"), F.lit(0.0))
+            found = found.withColumn(f"_e{n}_{c}", later)
+        found = found.drop(*[f"_u_{c}" for c in cols], *[f"_t_{c}" for c in cols])
+    total_rows = instants.agg(F.sum("_at")).first()[0] or 0
+    return join_counted(rows, materialize(found, "instants", keep), ["_day", "_tod"], "_at", total_rows)
+
+
 def enrich(df: DataFrame, latest, n_days_bound: int | None = None, partitions: int | None = None,
-           keep: list | None = None) -> DataFrame:
+           keep: list[str] | None = None) -> DataFrame:
     """P1-P10 and W1-W3 over the whole validated table."""
     out = add_recency(add_calendar(add_rates(df)), latest)
     return rolling_means(out, partitions=partitions, n_days_bound=n_days_bound, keep=keep)

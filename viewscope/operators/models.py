@@ -1,9 +1,9 @@
-"""Segments, anomalies and the metadata signal.
+"""Segments and anomalies.
 
 * M1 standardisation: one aggregate pass (mean, population sd), then column
   arithmetic; a constant column becomes 0.
-* M2/M5/M7 k-means: ``pyspark.ml.clustering.KMeans`` on the written feature
-  vectors, one fit per k; the summary columns stay beside the features.
+* M2/M5/M7 mini-batch k-means: hashed batches, five starts of each k advanced
+  together, all k measured in shared passes over the written features.
 * M3 silhouette: the all-pairs Euclidean silhouette needs every pair of rows,
   which does not scale; we use the squared-Euclidean silhouette whose mean
   distances have a closed form from per-cluster sums (the definition Spark's
@@ -13,7 +13,7 @@
 * M8-M10 isolation forest: 100 trees of <= 256 sampled rows each, built by
   ``groupBy(tree).applyInPandas``; the flat node table (<= 100 x 511 rows) is
   broadcast to a vectorised pandas UDF that scores every row.
-* M11/M12 ridge on one-hot metadata with 5 hashed folds (Spark ML).
+* M12 R^2 with the group mean as predictor; M11 is in ``signal``.
 """
 
 from __future__ import annotations
@@ -22,10 +22,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,34 +53,54 @@ def _cluster_stats(zdf: DataFrame, label: str, zcols: list[str]) -> DataFrame:
         F.sum(sum(F.col(c) * F.col(c) for c in zcols)).alias("_Q"))
 
 
-def silhouette(zdf: DataFrame, label: str, zcols: list[str]) -> DataFrame:
-    """M3 (squared Euclidean): mean over rows of (b - a) / max(a, b); 0 for single-row clusters.
+def _label_stats(zdf: DataFrame, labels: list[str], zcols: list[str]) -> DataFrame:
+    """(label, c, _n, _S_.., _Q) of the clusters of every label column, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(x).alias("label"), F.col(x).alias("c")) for x in labels])
+    rows = zdf.select(F.explode(pairs).alias("_p"), *zcols).select("_p.*", *zcols)
+    return rows.groupBy("label", "c").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_S_{c}") for c in zcols],
+        F.sum(sum(F.col(c) * F.col(c) for c in zcols)).alias("_Q"))
 
-    For row x and cluster C: mean ||x - y||^2 over y in C =
-    ||x||^2 - 2 x.S_C / n_C + Q_C / n_C, with the own cluster taken over the
-    other n_C - 1 rows. Returns one row with column ``silhouette``.
-    """
-    stats = _cluster_stats(zdf, label, zcols)
-    packed = stats.select(F.collect_list(F.struct(
-        F.col(label).alias("c"), "_n", "_Q", F.array(*[F.col(f"_S_{c}") for c in zcols]).alias("_S"))).alias("_cl"))
+
+def _silhouettes(zdf: DataFrame, stats: DataFrame, labels: list[str], zcols: list[str]) -> DataFrame:
+    """One row with the mean silhouette of every label column; ``stats`` has one row per label and cluster."""
+    packed = stats.agg(F.collect_list(F.struct(
+        "label", "c", "_n", "_Q", F.array(*[F.col(f"_S_{c}") for c in zcols]).alias("_S"))).alias("_cl"))
     sq = sum(F.col(c) * F.col(c) for c in zcols)
     x = F.array(*[F.col(c) for c in zcols])
 
     def dot(s):
         return F.aggregate(F.zip_with(s, x, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 
-    with_cl = zdf.withColumn("_k", F.lit(0)).join(F.broadcast(packed.withColumn("_k", F.lit(0))), "_k")
-    dists = F.transform(F.col("_cl"), lambda cl: F.struct(
-        (cl["c"] == F.col(label)).alias("own"), cl["_n"].alias("n"),
-        (F.col("_sq") * cl["_n"] - 2 * dot(cl["_S"]) + cl["_Q"]).alias("tot")))
-    per_row = with_cl.withColumn("_sq", sq).withColumn("_d", dists)
-    own = F.filter(F.col("_d"), lambda s: s["own"])[0]
-    others = F.filter(F.col("_d"), lambda s: ~s["own"])
-    a = F.try_divide(own["tot"], own["n"] - 1)
-    b = F.array_min(F.transform(others, lambda s: s["tot"] / s["n"]))
-    s_i = F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))   # coinciding points score 0
-    return per_row.agg(F.avg(s_i).alias("silhouette"))
+    rows = (zdf.select(*labels, *zcols, sq.alias("_sq"), F.lit(0).alias("_k"))
+            .join(F.broadcast(packed.withColumn("_k", F.lit(0))), "_k"))
+    per_row = rows
+    for label in labels:
+        own_label = F.col(label)
+        per_row = per_row.withColumn(f"_d{label}", F.transform(
+            F.filter("_cl", lambda cl: cl["label"] == label), lambda cl: F.struct(
+                (cl["c"] == own_label).alias("own"), cl["_n"].alias("n"),
+                (F.col("_sq") * cl["_n"] - 2 * dot(cl["_S"]) + cl["_Q"]).alias("tot"))))
+    scores = []
+    for label in labels:
+        own = F.filter(F.col(f"_d{label}"), lambda s: s["own"])[0]
+        others = F.filter(F.col(f"_d{label}"), lambda s: ~s["own"])
+        a = F.try_divide(own["tot"], own["n"] - 1)
+        b = F.array_min(F.transform(others, lambda s: s["tot"] / s["n"]))
+        scores.append(F.avg(F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0)).otherwise(
+            F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))).alias(label))   # coinciding points score 0
+    return per_row.agg(*scores)
+
+
+def silhouette(zdf: DataFrame, label: str, zcols: list[str]) -> DataFrame:
+    """M3 (squared Euclidean): mean over rows of (b - a) / max(a, b); 0 for single-row clusters.
+
+    For row x and cluster C: mean ||x - y||^2 over y in C =
+    ||x||^2 - 2 x.S_C / n_C + Q_C / n_C, with the own cluster taken over the
+    other n_C - 1 rows. Returns one row with column ``silhouette``.
+    """
+    stats = _label_stats(zdf, [label], zcols)
+    return _silhouettes(zdf, stats, [label], zcols).withColumnRenamed(label, "silhouette")
 
 
 def inertia(zdf: DataFrame, label: str, zcols: list[str]) -> DataFrame:
@@ -119,39 +135,117 @@ def segment_labels(summary: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- M2, M5, M7
 
 
+STARTS = 5
 _SEGMENT_COLUMNS = ["video_id", "title", "category", "views", "engagement_rate_pct", "avg_watch_time_seconds",
                     "share_rate"]
 
 
 def _features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Standardised features beside the columns that summaries show, written once for all fits."""
+    """Standardised features beside the columns that summaries show, written once for all models."""
     keep = [c for c in _SEGMENT_COLUMNS if c in df.columns]
-    z = standardize(df, FEATURE_COLUMNS, keep=keep)
-    zcols = [f"z_{c}" for c in FEATURE_COLUMNS]
-    vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(z)
-    return materialize(vec, "features"), zcols
+    return (materialize(standardize(df, FEATURE_COLUMNS, keep=keep), "features"),
+            [f"z_{c}" for c in FEATURE_COLUMNS])
+
+
+def _seeded(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each further centre is drawn with a chance that grows with the squared distance to the nearest."""
+    centres = [x[rng.integers(len(x))]]
+    for _ in range(1, k):
+        gap = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        total = gap.sum()
+        centres.append(x[rng.choice(len(x), p=gap / total) if total > 0 else rng.integers(len(x))])
+    return np.array(centres)
+
+
+def _train_starts(zcols: list[str], starts: int, seed: int):
+    """Trains the starts of one k together: every batch advances all of them."""
+    def train(sample: pd.DataFrame) -> pd.DataFrame:
+        k = int(sample["k"].iloc[0])
+        sample = sample.sort_values(["tree", "video_id"])
+        x, batch = sample[zcols].to_numpy("float64"), sample["tree"].to_numpy()
+        batches = np.split(x, np.flatnonzero(np.diff(batch)) + 1)
+        first = np.concatenate(batches[:3])
+        centres = np.stack([_seeded(first, k, np.random.default_rng([seed, k, s])) for s in range(starts)])
+        seen = np.zeros((starts, k))
+        for points in batches:
+            gap = ((points[None, :, None, :] - centres[:, None, :, :]) ** 2).sum(axis=3)
+            own = np.eye(k)[gap.argmin(axis=2)]                       # start, row, centre
+            got = own.sum(axis=1)
+            seen += got
+            # a centre moves towards the mean of its rows by their share of all rows it has seen
+            step = np.einsum("srk,rd->skd", own, points) - got[:, :, None] * centres
+            centres += step / np.maximum(seen, 1.0)[:, :, None]
+        return pd.DataFrame([(k, s, c, centres[s, c].tolist()) for s in range(starts) for c in range(k)],
+                            columns=["k", "start", "centre", "at"])
+
+    return train
+
+
+def fit_kmeans(features: DataFrame, zcols: list[str], ks: list[int], seed: int = SEED, starts: int = STARTS) -> dict:
+    """M2: mini-batch k-means for every k, the best of ``starts`` by inertia over all rows.
+
+    100 batches of 256 rows are drawn by hash (all rows, if fewer), so training costs the same at any size and doesn't depend
+    on partitioning. One task trains the starts of one k; one pass over all rows then measures the inertia of
+    every k and start. Returns {k: (centres, inertia)}.
+    """
+    sample = _tree_sample(features, zcols, seed)
+    models = (sample.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).groupBy("k")
+              .applyInPandas(_train_starts(zcols, starts, seed), "k int, start int, centre int, at array<double>")
+              .toPandas())                    # sum(ks) x starts rows
+    centres = {key: np.stack(m.sort_values("centre")["at"].tolist()) for key, m in models.groupby(["k", "start"])}
+    keys = sorted(centres)
+
+    def measure(batches):
+        total = np.zeros(len(keys))
+        for batch in batches:
+            x = batch[zcols].to_numpy("float64")
+            total += [_nearest(x, centres[key])[1].sum() for key in keys]
+        yield pd.DataFrame({"k": [k for k, _ in keys], "start": [s for _, s in keys], "inertia": total})
+
+    found = (features.select(*zcols).mapInPandas(measure, "k int, start int, inertia double")
+             .groupBy("k", "start").agg(F.sum("inertia").alias("inertia")).toPandas())
+    best = found.sort_values(["k", "inertia", "start"]).drop_duplicates("k")
+    return {int(r.k): (centres[(r.k, r.start)], float(r.inertia)) for r in best.itertuples()}
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, squared distance to it) of each row."""
+    gap = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    own = gap.argmin(axis=1)
+    return own, gap[np.arange(len(x)), own]
 
 
 def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None) -> tuple[list[dict], dict, DataFrame]:
     """Fit k-means for every k (rows > k), measure silhouette and inertia.
 
-    Returns (runs, assignments by k, features). Only the per-k scalars and
-    the k centroids reach the driver. Callers that need several results of
-    one sweep pass the returned value on; nothing is kept between calls.
+    Returns (runs, assignments by k, features). Only per-k scalars and centroids reach the driver. Callers that need several
+    results of one sweep pass the returned value on; nothing is kept between calls. Five passes over the features serve
+    all k: batches, inertia, assignment (written), cluster sums and silhouettes.
     """
     feats, zcols = _features(df)
     n = feats.count()
+    ks = [k for k in (k_range or CLUSTER_K_RANGE) if n > k]
+    if not ks:
+        return [], {}, feats
+    fitted = fit_kmeans(feats, zcols, ks)
+
+    @F.pandas_udf("array<int>")
+    def assign(*series: pd.Series) -> pd.Series:
+        x = np.column_stack([s.to_numpy("float64") for s in series])
+        return pd.Series(list(np.stack([_nearest(x, fitted[k][0])[0] for k in ks], axis=1).astype("int32")))
+
+    labels = [f"_k{k}" for k in ks]
+    assigned = feats.withColumn("_own", assign(*zcols)).withColumns(
+        {label: F.col("_own")[i] for i, label in enumerate(labels)}).drop("_own")
+    assigned = materialize(assigned, "clusters")
+    stats = materialize(_label_stats(assigned, labels, zcols), "cluster-stats")
+    score = _silhouettes(assigned, stats, labels, zcols).first()
+    sizes = {(r["label"], r["c"]): r["_n"] for r in stats.select("label", "c", "_n").collect()}   # sum(ks) rows
     runs, assignments = [], {}
-    for k in (k_range or CLUSTER_K_RANGE):
-        if n <= k:
-            continue
-        model = KMeans(k=k, seed=SEED, maxIter=100, featuresCol="features", predictionCol="cluster_id").fit(feats)
-        pred = model.transform(feats).withColumn("cluster_id", F.col("cluster_id").cast("int"))
-        sil = silhouette(pred, "cluster_id", zcols).first()["silhouette"]
-        sizes = list(model.summary.clusterSizes)
-        runs.append({"k": k, "silhouette_score": float(sil) if sil is not None else None,
-                     "inertia": float(model.summary.trainingCost), "cluster_sizes": sizes})
-        assignments[k] = pred.drop("features", *zcols)
+    for k, label in zip(ks, labels):
+        runs.append({"k": k, "silhouette_score": score[label], "inertia": fitted[k][1],
+                     "cluster_sizes": [sizes.get((label, c), 0) for c in range(k)]})
+        assignments[k] = assigned.withColumn("cluster_id", F.col(label)).drop(*labels, *zcols)
     return runs, assignments, feats
 
 
@@ -160,8 +254,8 @@ def cluster_sweep(df: DataFrame) -> DataFrame:
     runs, _, _ = cluster_sweep_runs(df)
     spark = df.sparkSession
     rows = [(r["k"], None if r["silhouette_score"] is None else round(r["silhouette_score"], 4),
-             round(r["inertia"], 2), ",".join(str(s) for s in r["cluster_sizes"])) for r in runs]
-    return spark.createDataFrame(rows, "k int, silhouette_score double, inertia double, cluster_sizes string")
+             round(r["inertia"], 2), r["cluster_sizes"]) for r in runs]
+    return spark.createDataFrame(rows, "k int, silhouette_score double, inertia double, cluster_sizes array<long>")
 
 
 def best_clustering(df: DataFrame, sweep: tuple | None = None) -> tuple[int, float, DataFrame]:
@@ -363,79 +457,18 @@ def percentile_flag(df: DataFrame, col: str = "views", contamination: float = 0.
                  fixed(F.first("thr0"), 4).alias("threshold"))
 
 
-# ---------------------------------------------------------------- M11, M12
-
-META_COLUMNS = ["category", "thumbnail_style", "publish_month"]
+# ---------------------------------------------------------------- M12
 
+def r2_group_mean(df: DataFrame, key: str = "category") -> DataFrame:
+    """M12 with the group mean as predictor: in-sample R^2 of log1p(views); null for a constant target.
 
-def _design(frame: DataFrame):
-    """One-hot design over the whole table's vocabulary, fitted once.
-
-    A value absent from a training fold has an all-zero column there, so the
-    ridge weight for it is 0 and held-out rows with that value get no
-    contribution from it: the same as ignoring unknown values.
+    One aggregate: a group's squared error is its sum of squares less n times its squared mean, so no group table is
+    joined back to the rows. The target is shifted by a constant near its mean against cancellation.
     """
-    idx = [StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc")
-           .fit(frame) for c in META_COLUMNS]
-    out = frame
-    for m in idx:
-        out = m.transform(out)
-    enc = OneHotEncoder(inputCols=[f"_i_{c}" for c in META_COLUMNS], outputCols=[f"_o_{c}" for c in META_COLUMNS],
-                        dropLast=False, handleInvalid="keep").fit(out)
-    asm = VectorAssembler(inputCols=[f"_o_{c}" for c in META_COLUMNS], outputCol="features")
-    return asm.transform(enc.transform(out)), idx
-
-
-def _ridge(train: DataFrame, alpha: float):
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("sd")).first()
-    reg = alpha * (stats["sd"] or 0.0) / max(stats["n"], 1)
-    return LinearRegression(featuresCol="features", labelCol="y", regParam=reg, elasticNetParam=0.0,
-                            standardization=False, solver="normal", fitIntercept=True).fit(train)
-
-
-def metadata_signal(df: DataFrame, alpha: float = 1.0, folds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Cross-validated R^2 of ridge(log1p(views) ~ one-hot metadata) and top coefficients.
-
-    Folds are ``pmod(xxhash64(video_id, 42), 5)``; the design matrix is one
-    column per distinct value, so the normal equations are small whatever the
-    row count.
-    """
-    base = df.select("video_id", *META_COLUMNS, F.log1p("views").alias("y")) \
-             .withColumn("_fold", F.pmod(F.xxhash64("video_id", F.lit(SEED)), F.lit(folds)).cast("int"))
-    design, idx = _design(base)
-    design = design.select("_fold", "y", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    preds = None
-    for k in range(folds):
-        tr, te = design.where(F.col("_fold") != k), design.where(F.col("_fold") == k)
-        if te.limit(1).count() == 0 or tr.limit(1).count() == 0:
-            continue
-        p = _ridge(tr, alpha).transform(te).select("y", "prediction")
-        preds = p if preds is None else preds.unionByName(p)
-    r2 = None
-    if preds is not None:
-        m = preds.agg(F.avg("y").alias("mu")).first()["mu"]
-        agg = preds.agg(F.sum((F.col("y") - F.col("prediction")) ** 2).alias("sse"),
-                        F.sum((F.col("y") - F.lit(m)) ** 2).alias("sst")).first()
-        r2 = None if not agg["sst"] else 1.0 - agg["sse"] / agg["sst"]
-    model = _ridge(design, alpha)
-    names = []
-    for c, m in zip(META_COLUMNS, idx):
-        names += [f"{c}_{v}" for v in m.labels] + [f"{c}___unseen"]
-    coefs = model.coefficients.toArray().tolist()
-    spark = df.sparkSession
-    top = sorted([(n, float(v)) for n, v in zip(names, coefs) if not n.endswith("___unseen")],
-                 key=lambda t: abs(t[1]), reverse=True)[:10]
-    design.unpersist()
-    score = spark.createDataFrame([(None if r2 is None else round(r2, 4),)], "cross_validated_r2 double")
-    feats = spark.createDataFrame([(n, round(v, 4)) for n, v in top], "feature string, coefficient double")
-    return score, feats
-
-
-def r2_group_mean(df: DataFrame, key: str = "category") -> DataFrame:
-    """M12 with the group mean as predictor: in-sample R^2 of log1p(views)."""
-    y = df.select(key, F.log1p("views").alias("y"))
-    means = y.groupBy(key).agg(F.avg("y").alias("_gm"))
-    total = y.agg(F.avg("y").alias("_mu")).withColumn("_k", F.lit(0))
-    j = (y.join(F.broadcast(means), key).withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k"))
-    return j.agg((1 - F.sum((F.col("y") - F.col("_gm")) ** 2) / F.sum((F.col("y") - F.col("_mu")) ** 2))
-                 .alias("_r2")).select(fixed("_r2", 6).alias("r2"))
+    shifted = df.select(key, (F.log1p("views") - F.lit(4.0)).alias("y"))
+    groups = shifted.groupBy(key).agg(F.count("y").alias("_n"), F.sum("y").alias("_s"),
+                                      F.sum(F.col("y") * F.col("y")).alias("_q"))
+    total_q, total_s, total_n = F.sum("_q"), F.sum("_s"), F.sum("_n")
+    within = total_q - F.sum(F.col("_s") * F.col("_s") / F.col("_n"))
+    return groups.where(F.col("_n") > 0).agg(
+        (1 - F.try_divide(within, total_q - total_s * total_s / total_n)).alias("_r2")).select(fixed("_r2", 6).alias("r2"))

@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from viewscope.functions.distribute import join_counted
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
 from viewscope.functions.textfn import with_terms
+from viewscope.session import materialize
 
 
 def title_terms(df: DataFrame, id_col: str = "video_id", text_col: str = "title",
@@ -29,19 +31,24 @@ def title_terms(df: DataFrame, id_col: str = "video_id", text_col: str = "title"
 
 
 def tfidf(df: DataFrame, id_col: str = "video_id", text_col: str = "title",
-          stop_words: tuple[str, ...] | None = None) -> DataFrame:
-    """Postings (id, term, tf, idf, weight) with unit-length document vectors."""
-    n_docs = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
-    tf = (with_terms(df.select(id_col, text_col), text_col, "_t", stop_words)
-          .select(id_col, F.explode("_t").alias("term"))
-          .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    doc_freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_k", F.lit(0))
-    idf = (doc_freq.join(F.broadcast(n_docs), "_k")   # one-row side
-           .select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")))
-    raw = tf.join(idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+          stop_words: tuple[str, ...] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Postings (id, term, tf, idf, weight) with unit-length document vectors.
+
+    ``carry`` names further columns of a document that its postings keep. The postings are
+    written once, for they are read for the document frequencies and again for the weights.
+    """
+    n_docs = df.count()
+    tf = materialize(
+        with_terms(df.select(id_col, *carry, text_col), text_col, "_t", stop_words)
+        .select(id_col, *carry, F.explode("_t").alias("term"))
+        .groupBy(id_col, *carry, "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    freq = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                       .withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1), "document-frequencies")
+    total = freq.agg(F.sum("df")).first()[0] or 0
+    raw = join_counted(tf, freq, ["term"], "df", total).withColumn("_w", F.col("tf") * F.col("idf"))
     # one document's terms per window group: bounded by that document's length
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", "tf", "idf", (F.col("_w") / norm).alias("weight"))
+    return raw.select(id_col, *carry, "term", "tf", "idf", (F.col("_w") / norm).alias("weight"))
 
 
 def similar_titles(df: DataFrame, video_id: int, top_n: int = 5, postings: DataFrame | None = None) -> DataFrame:
@@ -76,6 +83,18 @@ def similar_titles(df: DataFrame, video_id: int, top_n: int = 5, postings: DataF
                       fixed("similarity", 4).alias("similarity"))
 
 
+def similar_report(df: DataFrame, video_id: int, top_n: int = 5, postings: DataFrame | None = None) -> DataFrame:
+    """X3 with its anchor: the anchor's card as rank 0 (null similarity), then ``similar_titles`` as ranks 1..n."""
+    shown = ["video_id", "title", "category", "thumbnail_style", "views", "engagement_rate_pct"]
+    similar = similar_titles(df, video_id, top_n, postings)
+    w = Window.orderBy(F.col("similarity").desc(), "video_id")      # at most 20 rows
+    ranked = similar.select(F.row_number().over(w).alias("rank"), *shown, "similarity")
+    anchor = df.where(F.col("video_id") == video_id).select(
+        F.lit(0).alias("rank"), *shown[:-1], fixed("engagement_rate_pct", 4).alias("engagement_rate_pct"),
+        F.lit(None).cast("double").alias("similarity"))
+    return anchor.unionByName(ranked)
+
+
 def token_lift(df: DataFrame, target: str = "views", top_n: int = 12,
                stop_words: tuple[str, ...] | None = None, text_col: str = "title",
                id_col: str = "video_id") -> DataFrame:
@@ -91,10 +110,9 @@ def token_lift(df: DataFrame, target: str = "views", top_n: int = 12,
                .select(id_col, text_col, (F.col(target) >= F.col("thr0")).alias("_high")))
     sizes = flagged.agg(F.count_if("_high").alias("_nh"), F.count_if(~F.col("_high")).alias("_nr")) \
                    .withColumn("_k", F.lit(0))
-    post = tfidf(flagged.select(id_col, text_col), id_col=id_col, text_col=text_col, stop_words=stop_words)
-    per_term = (post.join(flagged.select(id_col, "_high"), id_col)
-                .groupBy("term").agg(F.sum(F.when(F.col("_high"), F.col("weight")).otherwise(0.0)).alias("_sh"),
-                                     F.sum(F.when(~F.col("_high"), F.col("weight")).otherwise(0.0)).alias("_sr"))
+    post = tfidf(flagged, id_col=id_col, text_col=text_col, stop_words=stop_words, carry=("_high",))
+    per_term = (post.groupBy("term").agg(F.sum(F.when(F.col("_high"), F.col("weight")).otherwise(0.0)).alias("_sh"),
+                                         F.sum(F.when(~F.col("_high"), F.col("weight")).otherwise(0.0)).alias("_sr"))
                 .withColumn("_k", F.lit(0))
                 .join(F.broadcast(sizes), "_k")    # one-row side
                 .where(F.col("_nr") > 0)

@@ -73,3 +73,20 @@ def with_content(body: str, extra_ctes: str = "") -> str:
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
     return f"WITH {ctes}\n{body.strip()}"
+
+
+def on_slice(sql: str, filters) -> str:
+    """A ``with_content`` statement over the rows of ``filters`` instead of all enriched rows."""
+    head = f"WITH {CONTENT_CTE.strip()}"
+    if not sql.startswith(head):
+        raise ValueError("not a statement over the content tables")
+    sliced = (f"sliced AS (SELECT * FROM enriched WHERE category = '{filters.category}' "
+              f"AND publish_date >= DATE '{filters.start_date}' AND publish_date <= DATE '{filters.end_date}')")
+    return f"{head},\n{sliced}" + sql[len(head):].replace("FROM enriched", "FROM sliced")
+
+
+def RE(expr: str, digits: int) -> str:  # noqa: N802 - reads like SQL
+    """Half-even rounding, spelled out on a decimal: up past the half, or at it from an odd digit."""
+    x = f"(CAST(({expr}) AS DECIMAL(28,10)) * {10 ** digits})"
+    up = f"({x} - floor({x}) > 0.5 OR ({x} - floor({x}) = 0.5 AND floor({x}) % 2 <> 0))"
+    return f"CAST(floor({x}) + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / {10 ** digits}"

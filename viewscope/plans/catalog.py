@@ -19,8 +19,10 @@ from viewscope.operators import quality as Q
 from viewscope.operators import summary as S
 from viewscope.operators import trends as TR
 from viewscope.oracle import R, with_content
+from viewscope.plans import report as RP
 from viewscope.plans.content import content, content_table
 from viewscope.schema import EXPORT_COLUMNS, Filters
+from viewscope.session import scratch_path
 from viewscope.sources.tables import table
 
 
@@ -54,7 +56,7 @@ SELECT count(*) AS rows_read, count(*) AS rows_loaded, count(*) - count(DISTINCT
        min(publish_date) AS date_min, max(publish_date) AS date_max
 FROM content"""))
 def q_validation_report(spark, d):
-    return content_table(spark, d).report_df.drop("source_path")
+    return content_table(spark, d).report_df.drop("source_path", "malformed_rows")
 
 
 @register("dedup_keep_first", """
@@ -367,6 +369,16 @@ def q_csv_export(spark, d):
     return content(spark, d).select(*EXPORT_COLUMNS)
 
 
+@register("csv_export_written", with_content(f"""
+SELECT {', '.join("strftime(publish_date, '%Y-%m-%d') AS publish_date" if c == 'publish_date' else c for c in EXPORT_COLUMNS)}
+FROM enriched WHERE category = '1-URGENT' AND publish_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"""))
+def q_csv_export_written(spark, d):
+    """K1: the export of a slice as CSV files, read back."""
+    path = scratch_path(spark, "csv-export")
+    RP.write_csv_export(content(spark, d), path, SLICE)
+    return RP.read_csv_export(spark, path)
+
+
 @register("report_overview", with_content("""
 SELECT count(*) AS videos, min(publish_date) AS date_min, max(publish_date) AS date_max FROM enriched"""))
 def q_report_overview(spark, d):
@@ -431,6 +443,24 @@ def q_similar_titles(spark, d):
     return X.similar_titles(content(spark, d), ANCHOR_ID, TOP_N, postings=title_index(spark, d))
 
 
+@register("similar_titles_report", with_content(f"""
+SELECT 0 AS rank, video_id, title, category, thumbnail_style, views, {R('engagement_rate_pct', 4)} AS engagement_rate_pct,
+       CAST(NULL AS DOUBLE) AS similarity FROM enriched WHERE video_id = {ANCHOR_ID}
+UNION ALL
+(SELECT CAST(row_number() OVER (ORDER BY {R('sim', 4)} DESC, video_id) AS INTEGER), video_id, title, category,
+        thumbnail_style, views, {R('engagement_rate_pct', 4)}, {R('sim', 4)}
+ FROM (SELECT e.*, coalesce(s.sim, 0.0) AS sim
+       FROM enriched e LEFT JOIN (
+           SELECT p.video_id, sum(p.weight * a.weight) AS sim
+           FROM post p JOIN (SELECT term, weight FROM post WHERE video_id = {ANCHOR_ID}) a USING (term)
+           GROUP BY 1) s USING (video_id)
+       WHERE e.video_id <> {ANCHOR_ID} ORDER BY {R('coalesce(s.sim, 0.0)', 10)} DESC, video_id LIMIT {TOP_N}))""",
+                                                _terms_sql_cte()))
+def q_similar_titles_report(spark, d):
+    from viewscope.plans.content import title_index
+    return X.similar_report(content(spark, d), ANCHOR_ID, TOP_N, postings=title_index(spark, d))
+
+
 @register("title_token_lift", with_content(f"""
 SELECT term, {R('lift', 4)} AS lift FROM (
   SELECT term, sum(CASE WHEN high THEN weight ELSE 0 END) / any_value(sz.nh)
@@ -549,6 +579,7 @@ def q_ab_test_title_full(spark, d):
 # ---------------------------------------------------------------- models
 
 from viewscope.operators import models as M  # noqa: E402
+from viewscope.operators import signal as SG  # noqa: E402
 from viewscope.schema import FEATURE_COLUMNS  # noqa: E402
 
 _Z = [f"z_{c}" for c in FEATURE_COLUMNS]
@@ -662,12 +693,12 @@ def q_anomaly_sweep(spark, d):
 
 @register("metadata_signal")
 def q_metadata_signal(spark, d):
-    return M.metadata_signal(content(spark, d))[0]
+    return SG.metadata_signal(content(spark, d))[0]
 
 
 @register("metadata_top_features")
 def q_metadata_top_features(spark, d):
-    return M.metadata_signal(content(spark, d))[1]
+    return SG.metadata_signal(content(spark, d))[1]
 
 
 # ---------------------------------------------------------------- streaming refresh
@@ -694,3 +725,153 @@ def q_upload_refresh(spark, d):
     q.awaitTermination()
     return RF.refresh_log(spark, _os.path.join(root, "log")).select(
         "batch_id", "status", "rows_loaded", "error").orderBy("batch_id")
+
+
+# ---------------------------------------------------------------- windows with peers, dirty uploads, rounding, pages
+
+from viewscope.functions.numeric import round_records  # noqa: E402
+from viewscope.operators import enrich as EN  # noqa: E402
+from viewscope.oracle import RE, on_slice  # noqa: E402
+from viewscope.schema import RAW_COLUMNS, ROLLING_WINDOWS  # noqa: E402
+from viewscope.sources.files import read_raw_csv  # noqa: E402
+
+
+def _range_frame(col: str, days: int, order: str, back: str) -> str:
+    return f"{R(f'avg({col}) OVER (ORDER BY {order} RANGE BETWEEN INTERVAL {back} PRECEDING AND CURRENT ROW)', 6)}"
+
+
+@register("rolling_peers", with_content("SELECT video_id, " + ", ".join(
+    f"{_range_frame(src, n, 'publish_date', f'{n - 1} DAYS')} AS {out}" for out, (src, n) in ROLLING_WINDOWS.items())
+    + " FROM enriched"))
+def q_rolling_peers(spark, d):
+    """W1-W3 with ``ties='peers'``: rows of one date share their means, as in a RANGE frame."""
+    rows = content(spark, d).drop(*ROLLING_WINDOWS)
+    return EN.rolling_means(rows, ties="peers").select(
+        "video_id", *[fixed(c, 6).alias(c) for c in ROLLING_WINDOWS])
+
+
+def _hourly_events(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("video_id"), F.col("value").alias("views"),
+                                            F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("publish_date"))
+
+
+_HOURLY = "(SELECT event_id, value, date_trunc('hour', ts) AS h FROM events)"
+_BACK_7D = "'6 days 23:59:59.999999'"      # the frame is (t - 7 days, t]
+
+
+@register("event_rolling_peers", f"""
+SELECT event_id AS video_id, {_range_frame('value', 7, 'h', _BACK_7D)} AS rolling_7d FROM {_HOURLY}""")
+def q_event_rolling_peers(spark, d):
+    """Rolling means over times of day: all rows of an hour are peers."""
+    return EN.rolling_means(_hourly_events(spark, d), {"rolling_7d": ("views", 7)}, ties="peers").select(
+        "video_id", fixed("rolling_7d", 6).alias("rolling_7d"))
+
+
+@register("event_rolling_7d", f"""
+WITH e AS {_HOURLY},
+p AS (SELECT event_id, h, count(*) OVER (PARTITION BY h ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n,
+             sum(value) OVER (PARTITION BY h ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM e),
+g AS (SELECT h, count(*) AS n, sum(value) AS s FROM e GROUP BY h),
+b AS (SELECT h, coalesce(sum(n) OVER w, 0) AS n, coalesce(sum(s) OVER w, 0) AS s FROM g
+      WINDOW w AS (ORDER BY h RANGE BETWEEN INTERVAL {_BACK_7D} PRECEDING AND INTERVAL 1 HOUR PRECEDING))
+SELECT event_id AS video_id, {R('(b.s + p.s) / (b.n + p.n)', 6)} AS rolling_7d FROM p JOIN b USING (h)""")
+def q_event_rolling_7d(spark, d):
+    """Rolling means over times of day: rows of an hour count up to themselves in id order."""
+    return EN.rolling_means(_hourly_events(spark, d), {"rolling_7d": ("views", 7)}).select(
+        "video_id", fixed("rolling_7d", 6).alias("rolling_7d"))
+
+
+_ORDERED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax"]
+
+
+def write_dirty_csv(spark, d, path: str) -> None:
+    """CSV files of lineitem rows, some made unreadable or invalid by rule, in the order of ``_ORDERED``."""
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    day = F.col("l_shipdate").cast("date")
+    fields = [
+        F.when(line == 7, F.concat(F.lit("id-"), order.cast("string"))).otherwise((order * 10 + line).cast("string")),
+        F.col("l_returnflag"), F.col("l_linestatus"),
+        F.when((line == 6) & (order % 2 == 0), F.lit("not a date")).when(line == 5, F.date_format(day, "M/d/yyyy"))
+         .when(line == 4, F.date_format(day, "d MMM yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd")),
+        (F.col("l_quantity") - 5).cast("bigint").cast("string"),
+        F.when((line == 3) & (order % 3 == 0), F.lit("n/a")).otherwise(F.col("l_extendedprice").cast("string")),
+        line.cast("string"), F.floor(F.col("l_tax") * 100 - 4).cast("string"), F.lit("0"),
+        # surplus and missing fields
+        F.when(F.col("l_partkey") % 11 == 0, F.lit("A,surplus")).when(F.col("l_partkey") % 13 != 0, F.lit("A")),
+    ]
+    rows = table(spark, d, "lineitem").repartitionByRange(4, *_ORDERED).sortWithinPartitions(*_ORDERED)
+    # one column named like the header line: the writer adds it to every file and leaves the lines as they are
+    rows.select(F.concat_ws(",", *fields).alias(",".join(RAW_COLUMNS))).write.option("header", True).option(
+        "sep", "\t").csv(path)
+
+
+_MEASURES = ["rows_read", "rows_loaded", "duplicate_video_ids_removed", "malformed_rows", "invalid_video_ids",
+             "invalid_dates", "invalid_numeric_rows", "negative_metric_rows", "zero_view_rows"]
+
+
+@register("dirty_upload", f"""
+WITH l AS (SELECT *, row_number() OVER (ORDER BY {', '.join(_ORDERED)}) AS seq FROM lineitem),
+raw AS (SELECT seq, l_partkey % 11 = 0 OR l_partkey % 13 = 0 AS malformed,
+               CASE WHEN l_linenumber = 7 THEN 'id-' || l_orderkey ELSE CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) END AS raw_id,
+               l_linenumber = 7 AS bad_id, l_linenumber = 6 AND l_orderkey % 2 = 0 AS bad_date,
+               l_linenumber = 3 AND l_orderkey % 3 = 0 AS bad_number, CAST(l_shipdate AS DATE) AS day,
+               CAST(l_quantity - 5 AS BIGINT) AS views, l_extendedprice AS watch,
+               CAST(floor(l_tax * 100 - 4) AS BIGINT) AS comments FROM l),
+kept AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY seq) AS rn FROM raw
+                                      WHERE NOT malformed) WHERE rn = 1),
+judged AS (SELECT *, views < 0 OR comments < 0 OR (NOT bad_number AND watch < 0) AS negative FROM kept),
+reasons AS (SELECT *, CASE WHEN bad_id THEN 'invalid_video_id' WHEN bad_date THEN 'invalid_date'
+                           WHEN bad_number THEN 'invalid_numeric' WHEN negative THEN 'negative_metric'
+                           WHEN views <= 0 THEN 'zero_views' END AS reason FROM judged),
+n AS (SELECT (SELECT count(*) FROM raw) AS rows_read, count(*) FILTER (reason IS NULL) AS rows_loaded,
+             (SELECT count(*) FROM raw WHERE NOT malformed) - count(*) AS duplicate_video_ids_removed,
+             (SELECT count(*) FROM raw WHERE malformed) AS malformed_rows, count(*) FILTER (bad_id) AS invalid_video_ids,
+             count(*) FILTER (bad_date) AS invalid_dates, count(*) FILTER (bad_number) AS invalid_numeric_rows,
+             count(*) FILTER (negative) AS negative_metric_rows, count(*) FILTER (views <= 0) AS zero_view_rows FROM reasons)
+SELECT * FROM (UNPIVOT n ON COLUMNS(*) INTO NAME measure VALUE n)
+UNION ALL SELECT 'reason:' || reason, count(*) FROM reasons WHERE reason IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'reason:malformed_row', count(*) FROM raw WHERE malformed HAVING count(*) > 0
+UNION ALL SELECT 'loaded_views', coalesce(sum(views), 0)::BIGINT FROM reasons WHERE reason IS NULL
+UNION ALL SELECT 'loaded_days', coalesce(sum(datediff('day', DATE '1970-01-01', day)), 0)::BIGINT FROM reasons WHERE reason IS NULL""")
+def q_dirty_upload(spark, d):
+    """S1, V1-V10 over unreadable and invalid rows: the audit report, the rows set aside by reason, sums of the loaded ones."""
+    path = scratch_path(spark, "dirty-upload")
+    write_dirty_csv(spark, d, path)
+    v = Q.validate(read_raw_csv(spark, path), "dirty-upload", mode="quarantine")
+    good, bad = Q.split_quarantine(v.rows)
+    report = v.report_df.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("n")) for m in _MEASURES])).alias("r")).select("r.*")
+    reasons = bad.groupBy(F.concat(F.lit("reason:"), "reject_reason").alias("measure")).agg(F.count(F.lit(1)).alias("n"))
+    sums = good.agg(F.coalesce(F.sum("views"), F.lit(0)).cast("bigint").alias("loaded_views"),
+                    F.coalesce(F.sum(F.unix_date(F.to_date("publish_date"))), F.lit(0)).cast("bigint").alias("loaded_days"))
+    sums = sums.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).alias("n")) for c in sums.columns])).alias("r")).select("r.*")
+    return report.unionByName(reasons).unionByName(sums)
+
+
+_ROUNDED = ["engagement_rate_pct", "avg_watch_time_seconds", "like_rate", "views_per_day"]
+
+
+@register("record_rounding", with_content(
+    "SELECT video_id, views, " + ", ".join(f"{RE(c, 4)} AS {c}" for c in _ROUNDED) + " FROM enriched"))
+def q_record_rounding(spark, d):
+    """Records with their floats rounded half-even to four digits."""
+    return round_records(content(spark, d).select("video_id", "views", *_ROUNDED))
+
+
+def _page(name: str):
+    def run(spark, d):
+        return RP.report_page(content(spark, d), name, SLICE)
+    run.__doc__ = f"K2: the {name} page of the slice's report."
+    return run
+
+
+_PAGE_OF = {"title": "report_overview", "overview": "kpi_totals", "category_views": "by_category",
+            "thumbnail_engagement": "by_thumbnail_style", "monthly": "monthly", "weekday": "weekday_calendar",
+            "correlations": "correlations_to_views", "top_videos": "report_top10", "recommendations": "recommendations"}
+for _name, _key in _PAGE_OF.items():
+    register(f"report_page_{_name}", on_slice(REGISTRY[_key].sql, SLICE))(_page(_name))
+register("report_page_token_lift", on_slice(REGISTRY["title_token_lift"].sql.replace("LIMIT 12", "LIMIT 10"), SLICE))(
+    _page("token_lift"))
+register("report_page_clusters")(_page("clusters"))
+register("report_page_anomalies")(_page("anomalies"))

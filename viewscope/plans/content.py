@@ -10,7 +10,6 @@ in date order and date filters skip row groups.
 from __future__ import annotations
 
 import hashlib
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +17,10 @@ from pyspark.sql import functions as F
 
 from viewscope.operators import enrich as E
 from viewscope.operators import quality as Q
-from viewscope.session import checkpoint_dir
+from viewscope.session import checkpoint_dir, path_version, release
 from viewscope.sources.tables import content_from_tables
 
-_CACHE: dict[tuple[str, str], "ContentTable"] = {}
+_CACHE: dict[tuple[str, str, str], "ContentTable"] = {}
 ROWS_PER_RANGE_PARTITION = 1_000_000
 
 
@@ -41,12 +40,16 @@ def _n_days(report: dict) -> int | None:
 
 def load_content(raw: DataFrame, source_name: str, out_path: str, mode: str = "fail",
                  null_text: str | None = None, partitions: int | None = None) -> tuple[ContentTable, DataFrame | None]:
-    """Validate, enrich and write one raw table; returns the table and rejected rows (quarantine mode)."""
+    """Validate, enrich and write one raw table; returns the table and rejected rows (quarantine mode).
+
+    Written intermediates are released once the table stands; quarantine mode leaves the typed rows, which the
+    rejected rows are read from.
+    """
     v = Q.validate(raw, source_name, mode=mode, null_text=null_text)
     good, bad = Q.split_quarantine(v.rows)
     typed = Q.finalize_types(good.select(*Q.RAW_COLUMNS), v.date_only, v.fractional)
     latest = v.report["date_max"] if v.date_only else v.report["_latest"]
-    keep: list = []
+    keep: list[str] = []
     if partitions is None:
         # range partitions sized from the audited row count: ~1M rows each,
         # never fewer than the cluster's default parallelism
@@ -54,22 +57,24 @@ def load_content(raw: DataFrame, source_name: str, out_path: str, mode: str = "f
         partitions = max(sc.defaultParallelism, -(-int(v.report["rows_loaded"] or 0) // ROWS_PER_RANGE_PARTITION))
     enriched = E.enrich(typed, latest, n_days_bound=_n_days(v.report), partitions=partitions, keep=keep)
     enriched.write.mode("overwrite").parquet(out_path)
-    for frame in keep:
-        frame.unpersist()
-    v.rows.unpersist()
     spark = raw.sparkSession
+    release(spark, keep if mode == "quarantine" else keep + v.written)
     table = ContentTable(frame=spark.read.parquet(out_path), report=v.report, report_df=v.report_df, path=out_path)
     return table, (bad if mode == "quarantine" else None)
 
 
 def content_table(spark: SparkSession, sf_dir: str) -> ContentTable:
-    """The enriched content derived from the star-schema tables under ``sf_dir`` (built once per session)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    """The enriched content derived from the star-schema tables under ``sf_dir``.
+
+    Built once per session and state of the input files: a changed input is built anew.
+    """
+    sf_dir = sf_dir.rstrip("/")
+    version = path_version(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part", "orders", "customer")])
+    key = (spark.sparkContext.applicationId, sf_dir, version)
     hit = _CACHE.get(key)
     if hit is not None:
         return hit
-    tag = hashlib.sha1(f"{key[0]}|{key[1]}".encode()).hexdigest()[:16]
-    out_path = os.path.join(checkpoint_dir(spark), f"content-{tag}")
+    out_path = f"{checkpoint_dir(spark).rstrip('/')}/content-{hashlib.sha1('|'.join(key).encode()).hexdigest()[:16]}"
     raw = content_from_tables(spark, sf_dir).withColumn("ingest_seq", F.col("video_id"))
     table, _ = load_content(raw, f"tables:{sf_dir}", out_path)
     _CACHE[key] = table

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
 # Fixed values that define the data contract (must not change).
 RAW_COLUMNS = [
     "video_id",
@@ -55,6 +53,13 @@ EXPORT_COLUMNS = [
     "views_per_day", "publish_weekday",
 ]
 
+# Date spellings read besides ISO text, in order; month before day.
+DATE_FORMATS = ("yyyy/M/d", "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy",
+                "MMMM d, yyyy", "yyyyMMdd")
+# Largest upload accepted, in bytes, and its file name ending.
+UPLOAD_MAX_BYTES = 50 * 1024 * 1024
+UPLOAD_SUFFIX = ".csv"
+
 DEFAULT_CONTAMINATION = 0.04
 CLUSTER_K_RANGE = [2, 3, 4, 5, 6]
 CONTAMINATION_SWEEP = [0.02, 0.04, 0.06, 0.08, 0.10]
@@ -62,11 +67,6 @@ SEED = 42
 ROLLING_WINDOWS = {"rolling_views_7d": ("views", 7), "rolling_views_30d": ("views", 30),
                    "rolling_engagement_30d": ("engagement_rate_pct", 30)}
 
-# Every raw column is read as text and coerced explicitly, so that bad values
-# are counted instead of silently becoming null at parse time.
-RAW_STRING_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
-
-
 @dataclass(frozen=True)
 class Filters:
     """Optional slice of the content table: category and inclusive date bounds."""
