@@ -107,22 +107,24 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int =
 def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Place pieces (length <= window) into sequences; adds sequence_id and offset.
 
-    A sequence id is (shard << 32) + the window's number in its shard. Offsets
-    in a sequence run from 0 without a gap. Ties are broken by doc_id and
-    start, so a rerun of a lost task places every piece as before.
+    ``pieces`` must be a written table, for it is read twice and its rows are numbered where they lie: shards are dealt
+    by that number, so the pieces of one id, or of one null id on a third of all rows, spread over all shards.
+    A sequence id is (shard << 32) + the window's number in its shard. Offsets in a sequence run from 0 without a gap. Ties
+    are broken by doc_id, start, checksum and number, so a rerun of a lost task places every piece as before.
     """
     shards = max(1, -(-pieces.count() // shard_items))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["length", "doc_id", "start", "ids_crc32", "_number"],
+                                  ascending=[False, True, True, True, True], kind="stable")
         at, offset = best_fit_decreasing(group["length"].tolist(), window)
         first = int(group["_shard"].iloc[0]) << 32
         group["sequence_id"] = np.array(at, "int64") + first
         group["offset"] = offset
-        return group.drop(columns="_shard")
+        return group.drop(columns=["_shard", "_number"])
 
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards))
-    out = pieces.withColumn("_shard", shard)
+    out = (pieces.withColumn("_number", F.monotonically_increasing_id())
+           .withColumn("_shard", F.pmod(F.xxhash64("_number"), F.lit(shards))))
     return out.groupBy("_shard").applyInPandas(pack, PLACED)
 
 

@@ -1,7 +1,7 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
-A file holds the ids of a range of documents in ascending doc_id order. Ids
-are cut into blocks of 1,024; a block stores its minimum, the differences
+A file holds the ids of a range of documents in ascending doc_id order (a
+range ends after a number of documents, within one id if need be). Ids are cut into blocks of 1,024; a block stores its minimum, the differences
 packed at the bit width of their 90th percentile, and an exception list
 (position, difference) for the rest. An index gives the start of every block,
 and a table gives doc_id and token count of every document, so a range of ids
@@ -189,8 +189,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
         yield pd.DataFrame({"file_no": [context.partitionId()], "file": [f"{place}/{name}"], "n_docs": [n],
                             "n_ids": [sum(map(len, ids)) // 4]})
 
-    ordered = (with_id(docs, "doc_id", "text").repartitionByRange(files, "doc_id")
-               .sortWithinPartitions("doc_id", F.xxhash64("text")))
+    # the row number only cuts runs of equal rows, so one id, or one id and text, may fill many files
+    keyed = with_id(docs, "doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = (keyed.repartitionByRange(files, "doc_id", "_hash", "_row")
+               .sortWithinPartitions("doc_id", "_hash", "_row").select("doc_id", "text"))
     return materialize(ordered.mapInPandas(trimmed(write), "file_no long, file string, n_docs long, n_ids long"),
                        "token-files")
 
