@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from viewscope.functions.quantile import exact_quantiles
-from viewscope.functions.tdist import t_quantile, t_two_sided_p_value
+from viewscope.functions.tdist import t_quantile, t_two_sided_p
 
 
 def test_quartile_fixture(spark):
@@ -60,7 +60,41 @@ def test_quantiles_of_many_groups_by_salted_brackets(spark, monkeypatch):
     assert len(out) == 50 and all(abs(out[k] - np.quantile(x[g == k], 0.3)) < 1e-12 for k in out)
 
 
-def test_student_t_pins():
-    assert t_two_sided_p_value(-2.0, 10.5) == pytest.approx(0.07203380, abs=1e-8)
-    assert t_quantile(0.975, 10.5) == pytest.approx(2.21384029, abs=1e-8)
-    assert t_quantile(0.975, 1.0) == pytest.approx(12.7062047, abs=1e-6)
+def _numeric_p(t, df):
+    """Two-sided p by integrating the density, with t = sqrt(df) tan(theta)."""
+    import math
+
+    theta = np.linspace(math.atan(abs(t) / math.sqrt(df)), math.pi / 2, 200_001)
+    y = np.cos(theta) ** (df - 1)
+    area = (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) * (theta[1] - theta[0]) / 3
+    return 2 * area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+
+
+def test_student_t_columns(spark):
+    cases = [(t, df) for t in (0.001, 0.5, -2.0, 3.7, 12.0, -40.0) for df in (1.0, 2.0, 10.5, 97.0, 1500.0)]
+    df = spark.createDataFrame(cases, "t double, df double")
+    for r in df.select("t", "df", t_two_sided_p(df["t"], df["df"]).alias("p")).collect():
+        assert r.p == pytest.approx(_numeric_p(r.t, r.df), rel=1e-8, abs=1e-15), (r.t, r.df)
+    q = spark.createDataFrame([(x,) for x in (1.0, 2.0, 10.5, 30.0, 147_000.0, 1e9, 1e13)], "df double")
+    got = {r.df: r.q for r in q.select("df", t_quantile(0.975, q["df"]).alias("q")).collect()}
+    pins = {1.0: 12.706204736, 2.0: 4.302652730, 10.5: 2.21384029, 30.0: 2.042272456, 147_000.0: 1.959980124,
+            1e9: 1.959963987, 1e13: 1.959963985}
+    assert all(got[k] == pytest.approx(v, abs=1e-8) for k, v in pins.items()), got
+    assert q.where("df = 10.5").select(t_quantile(0.025, q["df"])).first()[0] == pytest.approx(-2.21384029, abs=1e-8)
+
+
+def test_student_t_of_large_samples_and_odd_arguments(spark):
+    """Beyond any number of rows the p-value is the normal one; impossible arguments give null."""
+    import math
+
+    cases = [(t, n) for t in (0.01, 1.0, 1.96, 3.0, 5.0, 7.5) for n in (1.9e5, 2.1e5, 1e8, 1e12)]
+    df = spark.createDataFrame(cases, "t double, df double")
+    for r in df.select("t", "df", t_two_sided_p(df["t"], df["df"]).alias("p")).collect():
+        z = r.t * (1 - 1 / (4 * r.df)) / math.sqrt(1 + r.t * r.t / (2 * r.df))
+        assert r.p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-4, abs=1e-10), (r.t, r.df)
+    odd = spark.createDataFrame([(None, 3.0), (1.0, None), (float("nan"), 3.0), (1.0, -1.0), (float("inf"), 3.0),
+                                 (0.0, 3.0), (50.0, 1e9)], "t double, df double")
+    got = [r.p for r in odd.select(t_two_sided_p(odd["t"], odd["df"]).alias("p")).collect()]
+    assert got == [None, None, None, None, 0.0, 1.0, 0.0]
+    with pytest.raises(ValueError):
+        t_quantile(1.0, odd["df"])

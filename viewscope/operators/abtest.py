@@ -1,9 +1,8 @@
 """Welch A/B comparisons.
 
 Both groups are summarised in one aggregation pass (count, mean, sample sd)
-plus the exact medians; the test statistics are column arithmetic on the
-resulting single row. Only the Student-t p-value and quantile are Python
-(pandas UDFs over that one row).
+plus the exact medians; the test statistics, the Student-t p-value and
+quantile included, are column arithmetic on the resulting single row.
 
 Keyword groups may overlap, so each row is exploded into the variants it
 belongs to (zero, one or two) instead of grouping by a single key.
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
-from viewscope.functions.tdist import t_quantile_udf, t_two_sided_p_udf
+from viewscope.functions.tdist import t_quantile, t_two_sided_p
 from viewscope.operators.filters import keyword_mask
 from viewscope.schema import AB_DIMENSIONS, AB_METRICS
 
@@ -103,9 +102,9 @@ def compare(variants: DataFrame, label_a: str, label_b: str, metric: str, with_p
     ).withColumn("effect_size", effect)
     if with_p:
         t_crit = F.when(F.col("degrees_of_freedom") > 0,
-                        t_quantile_udf(F.lit(0.975), F.col("degrees_of_freedom"))).otherwise(1.96)
+                        t_quantile(0.975, F.col("degrees_of_freedom"))).otherwise(1.96)
         p = F.col("p_value")
-        out = (out.withColumn("p_value", t_two_sided_p_udf(F.col("t_statistic"), F.col("degrees_of_freedom")))
+        out = (out.withColumn("p_value", t_two_sided_p(F.col("t_statistic"), F.col("degrees_of_freedom")))
                .withColumn("_tcrit", t_crit)
                .withColumn("ci_95_lower", F.col("_diff") - F.col("_tcrit") * F.col("_se"))
                .withColumn("ci_95_upper", F.col("_diff") + F.col("_tcrit") * F.col("_se"))
