@@ -20,10 +20,9 @@ from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
 from viewscope.functions.tdist import t_quantile, t_two_sided_p
 from viewscope.operators.filters import keyword_mask
-from viewscope.schema import AB_DIMENSIONS, AB_METRICS
-
-METHOD = "Welch's t-test (unequal variance)"
-
+from viewscope.schema import (
+    AB_DIMENSIONS, AB_METRICS, FEW_OBSERVATIONS, FEW_VIDEOS, METHOD, NO_ROWS, VERDICT_NOT_SIGNIFICANT, VERDICT_SIGNIFICANT,
+)
 
 def _check_metric(metric: str) -> None:
     if metric not in AB_METRICS:
@@ -59,11 +58,6 @@ def group_stats(variants: DataFrame) -> DataFrame:
     return moments.join(medians.withColumnRenamed("median0", "median"), "variant")
 
 
-NO_ROWS = "No videos match the selected filters."
-FEW_OBSERVATIONS = "Each variant needs at least 2 observations for a test."
-FEW_VIDEOS = "Each keyword group needs at least 2 matching videos."
-
-
 def compare(variants: DataFrame, label_a: str, label_b: str, metric: str, with_p: bool = True,
             too_few: str = FEW_OBSERVATIONS, rows: DataFrame | None = None) -> DataFrame:
     """B4-B10 on the two summarised groups: one row. ``rows`` is the slice, whose emptiness is reported first."""
@@ -132,8 +126,8 @@ def _rounded(out: DataFrame, with_p: bool) -> DataFrame:
 
 def _recommendation() -> Column:
     p = F.col("p_value")
-    tail = F.when(p < 0.05, F.lit("The result is statistically significant — consider scaling the winner.")) \
-        .otherwise(F.lit("The result is not statistically significant — gather more data before acting."))
+    tail = F.when(p < 0.05, F.lit(VERDICT_SIGNIFICANT)) \
+        .otherwise(F.lit(VERDICT_NOT_SIGNIFICANT))
     return F.concat(
         F.col("winner"), F.lit(" outperforms on "), F.col("metric"), F.lit(" ("), F.col("effect_size"),
         F.lit(" effect, p="), fixed(p, 4).cast("string"), F.lit(", difference "),

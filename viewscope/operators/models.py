@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewscope import schema as C
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
 from viewscope.session import materialize
@@ -126,9 +127,8 @@ def segment_labels(summary: DataFrame) -> DataFrame:
     hv = F.col("avg_views") >= med("avg_views")
     he = F.col("avg_engagement_rate_pct") >= med("avg_engagement_rate_pct")
     hs = F.col("avg_share_rate") >= med("avg_share_rate")
-    label = (F.when(hv & he, "High reach, high engagement").when(~hv & he, "Niche but sticky")
-             .when(hv & ~he, "Broad reach, lighter interaction").when(hs, "Share friendly")
-             .otherwise("Balanced performers"))
+    label = (F.when(hv & he, C.SEGMENT_HIGH_REACH_HIGH_ENGAGEMENT).when(~hv & he, C.SEGMENT_NICHE)
+             .when(hv & ~he, C.SEGMENT_BROAD_REACH).when(hs, C.SEGMENT_SHARED).otherwise(C.SEGMENT_BALANCED))
     return summary.withColumn("label", label)
 
 

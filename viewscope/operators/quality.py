@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewscope import schema as C
 from viewscope.schema import DATE_FORMATS, NUMERIC_COLUMNS, RAW_COLUMNS, TEXT_COLUMNS
 from viewscope.session import materialize
 
@@ -38,8 +39,7 @@ def check_schema(df: DataFrame) -> None:
     missing = [c for c in RAW_COLUMNS if c not in present]
     extra = [c for c in present if c not in RAW_COLUMNS]
     if missing or extra:
-        raise DataValidationError(
-            f"Dataset schema mismatch. Missing={missing or '[]'}, Extra={extra or '[]'}")
+        raise DataValidationError(C.INVALID_SCHEMA.format(missing or "[]", extra or "[]"))
 
 
 _FIXED_WIDTH = (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
@@ -213,15 +213,15 @@ def raise_first_failure(report: dict) -> None:
     if report["malformed_rows"]:
         raise DataValidationError(f"Found {report['malformed_rows']} rows with a wrong number of fields")
     if report["invalid_video_ids"]:
-        raise DataValidationError(f"Found {report['invalid_video_ids']} invalid video_id values")
+        raise DataValidationError(C.INVALID_IDS.format(report["invalid_video_ids"]))
     if report["invalid_dates"]:
-        raise DataValidationError(f"Found {report['invalid_dates']} invalid publish_date values")
+        raise DataValidationError(C.INVALID_DATES.format(report["invalid_dates"]))
     if report["invalid_numeric_rows"]:
-        raise DataValidationError(f"Found {report['invalid_numeric_rows']} rows with invalid numeric values")
+        raise DataValidationError(C.INVALID_NUMBERS.format(report["invalid_numeric_rows"]))
     if report["negative_metric_rows"]:
-        raise DataValidationError(f"Found {report['negative_metric_rows']} rows with negative metrics")
+        raise DataValidationError(C.INVALID_NEGATIVE.format(report["negative_metric_rows"]))
     if report["zero_view_rows"]:
-        raise DataValidationError("views must be strictly positive for all rows")
+        raise DataValidationError(C.INVALID_VIEWS)
 
 
 @dataclass

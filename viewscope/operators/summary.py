@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewscope import schema as C
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
 
@@ -124,20 +125,12 @@ def recommendations(df: DataFrame) -> DataFrame:
     """Four recommendation lines built from A13 and A14 (line_no, text)."""
     seg = best_segments(df)
     thumb = seg.where(F.col("dimension") == "thumbnail_style").select(
-        F.lit(1).alias("line_no"),
-        F.format_string("Use %s thumbnails as a test priority because they currently lead engagement in this "
-                        "slice.", F.col("value")).alias("text"))
+        F.lit(1).alias("line_no"), F.format_string(C.RECOMMEND_THUMBNAIL, F.col("value")).alias("text"))
     cat = seg.where(F.col("dimension") == "category").select(
         F.lit(2).alias("line_no"),
-        F.format_string("%s videos are the strongest engagement segment right now, so they are a good place to "
-                        "double down.", _title_case_expr(F.lower(F.col("value")))).alias("text"))
-    watch = top_by(df, "avg_watch_time_seconds")
-    line3 = watch.select(
-        F.lit(3).alias("line_no"),
-        F.format_string("Investigate videos similar to '%s' because exceptionally high watch time often signals "
-                        "repeatable content pacing.", F.col("title")).alias("text"))
-    line4 = watch.select(
-        F.lit(4).alias("line_no"),
-        F.lit("Track more features next, especially video duration, upload time, and audience source, because "
-              "current metadata explains only a small share of view variance.").alias("text"))
-    return thumb.unionByName(cat).unionByName(line3).unionByName(line4)
+        F.format_string(C.RECOMMEND_CATEGORY, _title_case_expr(F.lower(F.col("value")))).alias("text"))
+    # one read serves both lines: the last names no value, but an empty slice has neither
+    rest = top_by(df, "avg_watch_time_seconds").select(F.explode(F.array(
+        F.struct(F.lit(3).alias("line_no"), F.format_string(C.RECOMMEND_WATCH_TIME, F.col("title")).alias("text")),
+        F.struct(F.lit(4).alias("line_no"), F.lit(C.RECOMMEND_FEATURES).alias("text")))).alias("r")).select("r.*")
+    return thumb.unionByName(cat).unionByName(rest)
