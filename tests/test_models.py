@@ -162,6 +162,34 @@ def test_silhouette_of_label_columns_equals_brute_force(spark):
     assert M.silhouette(df, "a", ["p", "q"]).first().silhouette == pytest.approx(brute(a))
 
 
+def test_euclidean_silhouette_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x, a, b = rng.normal(size=(90, 2)), rng.integers(0, 3, 90), np.r_[5, rng.integers(1, 4, 89)]
+    x[40:45] = x[40]
+    df = spark.createDataFrame([(k, float(p), float(q), int(i), int(j)) for k, ((p, q), i, j) in enumerate(zip(x, a, b))],
+                               "video_id long, p double, q double, a int, b int").repartition(4)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+
+    def brute(label, rows):
+        out = []
+        for i in rows:
+            own = label == label[i]
+            near = min(d[i, label == c].mean() for c in set(label) if c != label[i])
+            mine = d[i, own].sum() / max(own.sum() - 1, 1)
+            out.append(0.0 if own.sum() == 1 else (near - mine) / max(near, mine))
+        return np.mean(out)
+
+    got = M.euclidean_silhouettes(df, ["a", "b"], ["p", "q"])
+    assert got["a"] == pytest.approx(brute(a, range(90))) and got["b"] == pytest.approx(brute(b, range(90)))
+    drawn = [r.video_id for r in df.orderBy(F.xxhash64("video_id", F.lit(SEED))).limit(20).collect()]
+    assert M.euclidean_silhouettes(df, ["a"], ["p", "q"], sample=20)["a"] == pytest.approx(brute(a, drawn))
+    assert M.euclidean_silhouettes(df.limit(0), ["a"], ["p", "q"]) == {"a": None}
+    blobs = M.cluster_sweep_runs(blob_frame(spark), [2, 3, 4], metric="euclidean")[0]
+    assert max(blobs, key=lambda r: r["silhouette_score"])["k"] == 3
+    with pytest.raises(ValueError):
+        M.cluster_sweep_runs(df, metric="cosine")
+
+
 def test_anomalies_and_sweep(content_small):
     n = content_small.count()
     flagged = M.anomalies(content_small, 0.04, top=30).collect()

@@ -5,9 +5,10 @@
 * M2/M5/M7 mini-batch k-means: hashed batches, five starts of each k advanced
   together, all k measured in shared passes over the written features.
 * M3 silhouette: the all-pairs Euclidean silhouette needs every pair of rows,
-  which does not scale; we use the squared-Euclidean silhouette whose mean
+  which does not scale; the default is the squared-Euclidean silhouette whose mean
   distances have a closed form from per-cluster sums (the definition Spark's
-  ClusteringEvaluator uses). Cluster statistics are k rows.
+  ClusteringEvaluator uses). Cluster statistics are k rows. The Euclidean form is an
+  option: a bounded sample of rows, each measured against all rows.
 * M4 inertia: within-cluster sum of squares from the same per-cluster sums.
 * M6 labels: comparisons against medians over the <= 6 cluster rows.
 * M8-M10 isolation forest: 100 trees of <= 256 sampled rows each, built by
@@ -104,6 +105,60 @@ def silhouette(zdf: DataFrame, label: str, zcols: list[str]) -> DataFrame:
     return _silhouettes(zdf, stats, [label], zcols).withColumnRenamed(label, "silhouette")
 
 
+SILHOUETTE_SAMPLE = 2000
+
+
+def euclidean_silhouettes(zdf: DataFrame, labels: list[str], zcols: list[str], sample: int = SILHOUETTE_SAMPLE,
+                          id_col: str = "video_id") -> dict[str, float]:
+    """M3 (Euclidean): mean silhouette of every label column over ``sample`` rows, each measured against all rows.
+
+    Plain distances have no closed form, and all pairs don't scale, so the ``sample`` rows of least hash stand for the mean;
+    with no more rows than that it is exact. One pass adds up, per task, the distances of its rows to the
+    sample by cluster, so ``sample`` x clusters numbers leave a task and reach the driver. Labels must not be null.
+    """
+    drawn = (zdf.select(id_col, *labels, *zcols).orderBy(F.xxhash64(id_col, F.lit(SEED)), id_col).limit(sample).toPandas())
+    points = drawn[zcols].to_numpy("float64")
+    if not len(points):
+        return dict.fromkeys(labels)
+
+    def measure(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for part in range(0, len(batch), 512):
+                rows = batch.iloc[part:part + 512]
+                x = rows[zcols].to_numpy("float64")
+                gap = np.sqrt(((x[:, None, :] - points[None]) ** 2).sum(axis=2))
+                for i, label in enumerate(labels):
+                    own = rows[label].to_numpy()
+                    for c in np.unique(own):
+                        found = gap[own == c]
+                        key = (i, int(c))
+                        total[key] = total.get(key, 0.0) + np.append(found.sum(axis=0), len(found))
+        if total:
+            yield pd.DataFrame({"label": [i for i, _ in total], "c": [c for _, c in total],
+                                "sums": [v.tolist() for v in total.values()]})
+
+    parts = zdf.select(*labels, *zcols).mapInPandas(measure, "label int, c int, sums array<double>")
+    summed = (parts.select("label", "c", F.posexplode("sums").alias("at", "v")).groupBy("label", "c", "at")
+              .agg(F.sum("v").alias("v")).toPandas())
+    out = {}
+    for i, label in enumerate(labels):
+        table = summed[summed["label"] == i].pivot(index="c", columns="at", values="v").sort_index()
+        size, sums = table[len(points)].to_numpy(), table.drop(columns=len(points)).to_numpy()
+        own = np.searchsorted(table.index.to_numpy(), drawn[label].to_numpy())
+        rows = np.arange(len(points))
+        mine = sums[own, rows] / np.maximum(size[own] - 1, 1)
+        others = sums / size[:, None]
+        others[own, rows] = np.inf
+        near = others.min(axis=0)
+        top = np.maximum(mine, near)
+        usable = (size[own] > 1) & np.isfinite(near) & (top > 0)
+        scores = np.zeros(len(points))
+        scores[usable] = (near - mine)[usable] / top[usable]
+        out[label] = float(scores.mean())
+    return out
+
+
 def inertia(zdf: DataFrame, label: str, zcols: list[str]) -> DataFrame:
     """M4: within-cluster sum of squared distances to the cluster mean."""
     stats = _cluster_stats(zdf, label, zcols)
@@ -215,13 +270,18 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, gap[np.arange(len(x)), own]
 
 
-def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None) -> tuple[list[dict], dict, DataFrame]:
+def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None, metric: str = "squared",
+                       sample: int = SILHOUETTE_SAMPLE) -> tuple[list[dict], dict, DataFrame]:
     """Fit k-means for every k (rows > k), measure silhouette and inertia.
 
+    ``metric`` is "squared" (closed form over all rows) or "euclidean" (``sample`` rows against all rows).
+
     Returns (runs, assignments by k, features). Only per-k scalars and centroids reach the driver. Callers that need several
     results of one sweep pass the returned value on; nothing is kept between calls. Five passes over the features serve
     all k: batches, inertia, assignment (written), cluster sums and silhouettes.
     """
+    if metric not in ("squared", "euclidean"):
+        raise ValueError("metric must be squared or euclidean")
     feats, zcols = _features(df)
     n = feats.count()
     ks = [k for k in (k_range or CLUSTER_K_RANGE) if n > k]
@@ -239,7 +299,8 @@ def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None) -> tuple
         {label: F.col("_own")[i] for i, label in enumerate(labels)}).drop("_own")
     assigned = materialize(assigned, "clusters")
     stats = materialize(_label_stats(assigned, labels, zcols), "cluster-stats")
-    score = _silhouettes(assigned, stats, labels, zcols).first()
+    score = (_silhouettes(assigned, stats, labels, zcols).first() if metric == "squared"
+             else euclidean_silhouettes(assigned, labels, zcols, sample))
     sizes = {(r["label"], r["c"]): r["_n"] for r in stats.select("label", "c", "_n").collect()}   # sum(ks) rows
     runs, assignments = [], {}
     for k, label in zip(ks, labels):
