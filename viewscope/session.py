@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +64,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Adds to ``paths`` the folder of every table that ``materialize`` writes meanwhile."""
+    _RECORDS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDS.remove(paths)
+
+
 def materialize(df, name: str, keep: list[str] | None = None):
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -70,8 +84,8 @@ def materialize(df, name: str, keep: list[str] | None = None):
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    if keep is not None:
-        keep.append(path)
+    for paths in [*_RECORDS, *([keep] if keep is not None else [])]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
