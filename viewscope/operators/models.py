@@ -531,5 +531,7 @@ def r2_group_mean(df: DataFrame, key: str = "category") -> DataFrame:
                                       F.sum(F.col("y") * F.col("y")).alias("_q"))
     total_q, total_s, total_n = F.sum("_q"), F.sum("_s"), F.sum("_n")
     within = total_q - F.sum(F.col("_s") * F.col("_s") / F.col("_n"))
+    spread = total_q - total_s * total_s / total_n
+    # what rounding leaves of a constant target is no spread
     return groups.where(F.col("_n") > 0).agg(
-        (1 - F.try_divide(within, total_q - total_s * total_s / total_n)).alias("_r2")).select(fixed("_r2", 6).alias("r2"))
+        F.when(spread > 1e-12 * total_q, 1 - F.try_divide(within, spread)).alias("_r2")).select(fixed("_r2", 6).alias("r2"))
