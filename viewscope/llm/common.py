@@ -23,10 +23,19 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name``, lengthened if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release_memory() -> None:
     """Return freed memory of this Python worker to the system.
 
-    Spark reuses workers, and their allocators keep the peak of every task they have run.
+    Spark reuses workers, and their allocators keep the peak of every task they have run. Giving it back is
+    optional: where the C library has no such call the worker only stays larger.
     """
     import ctypes
 

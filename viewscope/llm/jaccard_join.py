@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import null_ids, trimmed, with_id
+from viewscope.llm.common import null_ids, trimmed, unused, with_id
 from viewscope.session import materialize, ship_package
 
 WORDS = 5
@@ -437,7 +437,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that share that id the first written one stays.
     """
     # written once: every later read must see the same numbers
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    judged = judged_rows(with_id(rows, "doc_id", "text", F.col("_row").alias("row")))
-    keep = judged.where(F.col("doc_id") == F.col("group_id")).groupBy("root").agg(F.min("row").alias("_row"))
-    return rows.join(keep.select("_row"), "_row", "left_semi").select(*docs.columns)
+    row = unused(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    judged = judged_rows(with_id(rows, "doc_id", "text", F.col(row).alias("row")))
+    keep = judged.where(F.col("doc_id") == F.col("group_id")).groupBy("root").agg(F.min("row").alias(row))
+    return rows.join(keep.select(row), row, "left_semi").select(*docs.columns)

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,11 +189,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(batches):   # Arrow batches, as pandas would turn ids with nulls among them into floats
         for batch in batches:
-            yield batch[[not shared.value.predict(t)[2] for t in batch["text"]]]
+            yield batch.filter(pa.array([not shared.value.predict(t)[2] for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(trimmed(run), docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import null_ids, trimmed, with_id
+from viewscope.llm.common import null_ids, trimmed, unused, with_id
 from viewscope.session import materialize, ship_package
 
 SAMPLE = 6_000          # labelled documents used to fit, about
@@ -220,7 +220,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Each row is judged by itself, so ids may repeat or be missing.
     """
     # written once: every later read must see the same numbers
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    numbered = rows.drop("doc_id").withColumnRenamed("_row", "doc_id")
+    row = unused(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    numbered = rows.drop("doc_id").withColumnRenamed(row, "doc_id")
     rejected = _judged(numbered, fit_documents(rows, labels), "source", "lang").where(~F.col("keep"))
-    return rows.join(rejected.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    return rows.join(rejected.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)

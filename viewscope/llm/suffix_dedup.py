@@ -12,11 +12,15 @@ together instead:
    so a frequent passage sends at most one row a task.
 3. Where a minimizer has different contents, their bytes come together and
    their windows are ordered by bucket-pointer refinement: initial buckets by
-   q-gram, refined by sorting on the bucket identifiers at later offsets. Windows in one
+   q-gram, refined by sorting on the bucket identifiers at later offsets, which are
+   written back and read again by the next round. Windows in one
    bucket at full depth are equal; all but the earliest are repeats.
 4. A minimizer with very many different contents (the edge of a passage that
    a share of all documents has) is not gathered: its windows are hashed and
    grouped by an aggregate that combines before the shuffle.
+
+So whole spans (2) and the windows of hot minimizers (4) are settled by 64-bit
+hashes, the rest by refinement of q-gram hashes; bytes are not compared again.
 """
 
 from __future__ import annotations
@@ -29,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import trimmed
+from viewscope.llm.common import trimmed, unused
 from viewscope.session import materialize, ship_package
 
 LENGTH = 100
 Q = 25
 MAX_HOT = 1_000_000       # rows of the list of hot minimizers at most
 HOT_SPANS = 5_000         # different contents of a minimizer, about, beyond which it counts as hot
+_HELD_ROWS = 1_000_000    # rows of one minimizer that a task holds before it decides
 _SAMPLE = 100             # one of so many spans is looked at to find hot minimizers
-_PREFIX = 256             # characters of a text by which rows of one id are ordered
 _BATCH_BYTES = 3 << 20    # text handled by one numpy pass
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,27 +83,44 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
 def bucket_pointer_refine(data: np.ndarray, starts: np.ndarray, depth: int, q: int = Q) -> np.ndarray:
     """Bucket of each start: equal for starts whose next ``depth`` bytes are equal, -1 for a start alone in its own.
 
-    Initial buckets are the q-grams; each round sorts the starts that still
-    share a bucket by (bucket, bucket identifier q bytes on), so a start that
-    has become unique is never looked at again.
+    Every position that matters begins in the bucket of its q-gram. A round sorts the positions of shared buckets by
+    (bucket, bucket of the position ``step`` bytes on) and writes the refined identifiers back, so the next round
+    reads pointers that are already refined and the depth doubles: 25, 50, 100 bytes. A position alone in its bucket
+    is never sorted again, and whatever points at it is told apart by it.
     """
-    grams = rolling_hash(data, q)   # bucket identifiers of the first q bytes at every position
-    bucket = np.full(len(starts), -1, np.int64)
-    active, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    offsets = list(range(0, depth - q + 1, q))
-    if offsets[-1] != depth - q:
-        offsets.append(depth - q)
-    for offset in offsets:
-        pointer = grams[starts[active] + offset]
-        order = np.lexsort((pointer, group)) if offset else np.argsort(pointer, kind="stable")
+    # positions whose identifier a round reads: the starts, and those that later rounds point at
+    steps, have = [], q
+    while have < depth:
+        steps.append(min(have, depth - have))
+        have += steps[-1]
+    wanted = [starts]
+    for step in reversed(steps):
+        wanted.append(np.unique(np.concatenate([wanted[-1], wanted[-1] + step])))
+    places = wanted.pop()                                    # all positions read at all, in order
+    _, first = np.unique(rolling_hash(data, q)[places], return_inverse=True)
+    bucket = np.zeros(len(data) + 1, np.int64)
+    bucket[places] = first
+    shared = np.bincount(first) > 1 if len(first) else np.zeros(0, bool)
+    free = len(shared)                                       # identifiers from here on are unused
+    single = np.ones(free, bool)
+    single[:len(shared)] = ~shared
+    for step in steps:
+        active = wanted.pop()
+        active = active[~single[bucket[active]]]
+        group, pointer = bucket[active], bucket[active + step]
+        order = np.lexsort((pointer, group))
         g, p = group[order], pointer[order]
         new = np.ones(len(order), bool)
         new[1:] = (g[1:] != g[:-1]) | (p[1:] != p[:-1])
         ids = np.cumsum(new) - 1
-        shared = np.bincount(ids)[ids] > 1 if len(ids) else np.zeros(0, bool)
-        active, group = active[order[shared]], ids[shared]
-    bucket[active] = group
-    return bucket
+        bucket[active[order]] = free + ids
+        counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        single = np.concatenate([single, counts == 1])
+        free += len(counts)
+    out = bucket[starts]
+    # copies of one start count as sharing, so starts are counted, not positions
+    _, which, n = np.unique(out, return_inverse=True, return_counts=True)
+    return np.where(n[which] > 1, out, -1)
 
 
 def spans_of(grams: np.ndarray, ends: np.ndarray, length: int = LENGTH, q: int = Q):
@@ -228,6 +249,7 @@ def resolve(spans: DataFrame, hot: DataFrame, partitions: int) -> DataFrame:
     are dealt by content.
     """
     out = "doc_id long, start int, n int, mini long, hot boolean, repeated boolean"
+    most = _HELD_ROWS
 
     def decide(rows: pd.DataFrame, before, after) -> pd.DataFrame:
         """before, after: (minimizer, content) of the neighbouring rows, or None."""
@@ -253,10 +275,13 @@ def resolve(spans: DataFrame, hot: DataFrame, partitions: int) -> DataFrame:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             m = rows["mini"].to_numpy()
             cut = int(np.searchsorted(m, m[-1]))   # the last minimizer may go on in the next batch
-            if len(rows) - cut > 1_000_000:        # a run too long to hold surely has several contents or copies
+            long_run = len(rows) - cut > most
+            if long_run:
                 cut = len(rows) - 1
             if cut:
-                after = (m[cut], rows["content"].iloc[cut])
+                # a run too long to hold counts as one of several contents, whatever follows: its first copies are
+                # compared, which costs a row a run if nothing else comes
+                after = (m[cut], None if long_run else rows["content"].iloc[cut])
                 done, before = decide(rows.iloc[:cut], before, after)
                 yield done
             held = rows.iloc[cut:].reset_index(drop=True)
@@ -361,25 +386,24 @@ def repeated_windows(cut: DataFrame, partitions: int, length: int = LENGTH, q: i
             .mapInPandas(trimmed(run), "doc_id long, start int, n int"))
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """Documents with one id each: doc_id * copies + copy; (frame, copies, id of a null).
+def _with_number(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with a distinct number a row in ``column``, in the order of doc_id (null first), then of the text's hashes.
 
-    Rows that share a doc_id count one after another in text order; rows without one come first.
+    Distinct ids are the numbers themselves. Otherwise the rows are sorted over all tasks and written with their place.
+    Rows that agree in id and text are dealt by their row number, so neither an id nor one of its texts gathers in a task.
     """
     facts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.max("n").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-        F.max(F.col("doc_id").isNull()).alias("nulls")).first()
-    copies, none = facts["n"] or 1, (facts["low"] or 0) - 1
-    if max(abs(none), abs(facts["high"] or 0)) * copies >= 1 << 62:
-        raise ValueError("doc_id is too large to number repeated rows")
-    one = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"),
-                      F.coalesce("text", F.lit("")).alias("text"))
-    if copies > 1:
-        from pyspark.sql import Window
-
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-        one = one.select((F.col("doc_id") * copies + nth).alias("doc_id"), "text")
-    return one, copies, none
+        F.max("n").alias("n"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
+    below = (facts["low"] or 0) - 1                       # the number of a row without an id
+    if (facts["n"] or 1) == 1 and not (facts["nulls"] and below < -(1 << 63)):
+        return docs.withColumn(column, F.coalesce(F.col("doc_id").cast("long"), F.lit(max(below, -(1 << 63)))))
+    text = F.coalesce("text", F.lit(""))
+    keys = {unused(docs, f"_k{i}"): c for i, c in enumerate(
+        (F.xxhash64(text), F.xxhash64(F.lit(1), text), F.monotonically_increasing_id()))}
+    order = [F.col("doc_id").asc_nulls_first(), *[F.col(k) for k in keys]]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.withColumns(keys).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(*keys)
+    return materialize(placed.withColumn(column, F.monotonically_increasing_id()), "numbered-rows")
 
 
 def repeated_ranges(one: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
@@ -412,46 +436,36 @@ def _kept(raw: bytes, ranges, length: int) -> tuple[bytes, int, int]:
     return kept, len(raw) - len(kept), spans
 
 
+def _with_ranges(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """(rows of ``docs`` with the ranges to remove in a column of that name)."""
+    number, found = unused(docs, "_number"), unused(docs, "_ranges")
+    rows = _with_number(docs, number)
+    ranges = repeated_ranges(rows.select(F.col(number).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), length)
+    ranges = ranges.select(F.col("doc_id").alias(number), F.col("ranges").alias(found))
+    return rows.join(ranges, number, "left").select(*docs.columns, found), found
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text is empty; texts under ``length`` bytes lose nothing. Rows that
-    share a doc_id are separate documents, one after another in text order.
+    share a doc_id, or have none, are separate documents, one after another in the order of their texts' hashes.
     """
     ship_package(docs.sparkSession)
-    one, copies, none = _numbered(docs.select("doc_id", "text"))
+    rows, column = _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
 
-    def run(batches):
+    def run(batches):   # Arrow batches, as pandas would turn ids with nulls among them into floats
         for batch in batches:
-            rows = []
-            for doc_id, text, ranges in zip(batch["doc_id"], batch["text"], batch["ranges"]):
-                raw = text.encode()
+            out = []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist()):
+                raw = (text or "").encode()
                 kept, gone, spans = _kept(raw, ranges if ranges is not None else (), length)
-                rows.append((doc_id, len(raw), gone, spans, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    out = one.join(repeated_ranges(one, length), "doc_id", "left").select("doc_id", "text", "ranges").mapInPandas(
-        trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    own = F.floor(F.col("doc_id") / copies) if copies > 1 else F.col("doc_id")
-    return out.withColumn("doc_id", F.nullif(own.cast("long"), F.lit(none)))
-
+                out.append((len(raw), gone, spans, hashlib.sha256(kept).hexdigest()))
+            counts = [pa.array(x, pa.int64()) for x in zip(*[r[:3] for r in out])] if out else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array([r[3] for r in out], pa.string())],
+                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-def _with_number(docs: DataFrame) -> DataFrame:
-    """``docs`` with a distinct _number a row, in the order of doc_id (null first), then text.
-
-    Distinct ids are the numbers themselves. Otherwise the rows are sorted over all tasks and written with their place,
-    so the rows of one id are never gathered; a text counts by its first _PREFIX characters there, then by its hash.
-    """
-    facts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.max("n").alias("n"), F.min("doc_id").alias("low")).first()
-    if (facts["n"] or 1) == 1:
-        return docs.withColumn("_number", F.coalesce(F.col("doc_id").cast("long"), F.lit((facts["low"] or 0) - 1)))
-    text = F.coalesce("text", F.lit(""))
-    keys = {"_k1": F.substring(text, 1, _PREFIX), "_k2": F.xxhash64(text)}
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_k1"), F.col("_k2")]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.withColumns(keys).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(*keys)
-    return materialize(placed.withColumn("_number", F.monotonically_increasing_id()), "numbered-rows")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -459,20 +473,18 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Bytes of a character cut in two are dropped with it. A text that loses
     everything becomes empty, and its row stays. Rows that share a doc_id, or
-    have none, are separate documents, one after another in text order.
+    have none, are separate documents, in the order that ``remove_repeats`` takes.
     """
     ship_package(docs.sparkSession)
-    rows = _with_number(docs)
-    ranges = repeated_ranges(rows.select(F.col("_number").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")),
-                             length)
+    rows, found = _with_ranges(docs, length)
     columns, schema = docs.columns, docs.schema
 
     def run(batches):   # Arrow batches, as pandas would turn ids with nulls among them into floats
         for batch in batches:
             texts = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()):
-                if found is not None and text:
-                    text = _kept(text.encode(), found, length)[0].decode(errors="ignore")
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column(found).to_pylist()):
+                if ranges is not None and text:
+                    text = _kept(text.encode(), ranges, length)[0].decode(errors="ignore")
                 texts.append(text)
             out = {c: batch.column(c) for c in columns}
             out["text"] = pa.array(texts, out["text"].type)
@@ -480,5 +492,4 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
 
-    found = ranges.select(F.col("doc_id").alias("_number"), F.col("ranges").alias("_ranges"))
-    return rows.join(found, "_number", "left").select(*columns, "_ranges").mapInArrow(trimmed(run), schema)
+    return rows.mapInArrow(trimmed(run), schema)
