@@ -78,6 +78,33 @@ def test_word_encoder_equals_library():
         assert model.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist(), repr(text)
 
 
+def test_word_encoder_equals_library_with_composing_marks():
+    """Every ASCII letter before every mark U+0300..U+036F, alone and in words: letters compose before they are lower-cased."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(wordbpe.default_path())
+    texts = [f"{c}{chr(m)}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ=<" for m in range(0x300, 0x370)]
+    texts += [f"The {a}x{b}, {c}'S É{b}" for a, b, c in zip(texts[::7], texts[3::7], texts[5::7])] + ["K\u212b \u0340a", "\u00c5\u0301."]
+    for text, ids in zip(texts, wordbpe.WordEncoder(wordbpe.default_path()).encode(texts)):
+        assert model.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist(), ascii(text)
+
+
+def test_word_encoder_generations_and_other_vocabularies(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(wordbpe, "_CACHE_CHUNKS", 50)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        model, enc = Tokenizer.from_file(path), wordbpe.WordEncoder(path)
+        assert enc._by_chunk == (name == "word_bpe_49k.json")
+        for _ in range(2):
+            texts = random_texts(300, seed=8) + ["Éa ÀÖ ßÿ Þ", "don't WE'LL", "x" * 80]
+            for text, ids in zip(texts, enc.encode(texts)):
+                assert model.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist(), ascii(text)
+        assert len(enc._known) <= 50
+
+
 def expected_ids(rows):
     from tokenizers import Tokenizer
 
@@ -134,6 +161,26 @@ def test_token_files(spark, docs):
     assert [r.doc_id for r in sorted(tokenfiles.token_files(none).collect(), key=lambda r: r.start)] == [None, 4, 4]
 
 
+def test_packing_and_files_of_null_and_repeated_ids(spark):
+    """More than half of all rows share a null id, others repeat id and text; every piece is placed once."""
+    rows = [(None, f"null {i % 40} " * (i % 90)) for i in range(900)] + [(7, "same text"), (7, "same text"), (7, "other"), (8, None)] * 20
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want, distinct = collections.Counter(), sorted({t or "" for _, t in rows})
+    encoded = dict(zip(distinct, expected_ids(list(enumerate(distinct))).values()))
+    for doc_id, text in rows:
+        ids = encoded[text or ""]
+        want.update((doc_id, s, zlib.crc32(ids[s:s + 2048].tobytes())) for s in range(0, len(ids), 2048))
+    pieces = packing.materialize(packing.cut_pieces(table), "pieces")
+    placed = packing.null_ids(packing.pack_pieces(pieces, shard_items=100)).collect()
+    assert collections.Counter((r.doc_id, r.start, r.ids_crc32) for r in placed) == want
+    assert len({r.sequence_id >> 32 for r in placed if r.doc_id is None}) > 5      # dealt over the shards
+    files = tokenfiles.write_token_files(table, packing.materialize.__globals__["scratch_path"](spark, "t"), file_text_bytes=2000)
+    assert files.count() > 5 and max(r.n_docs for r in files.collect()) < 400
+    back = sorted(tokenfiles.read_token_files(files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in back] == [None] * 900 + [7] * 60 + [8] * 20
+    assert [r.start for r in back] == np.cumsum([0] + [r.n_tokens for r in back])[:-1].tolist()
+
+
 # ---------------------------------------------------------------- 4 SentencePiece
 
 
@@ -199,32 +246,57 @@ def test_refine_orders_equal_strings():
 def test_repeats_against_brute_force(docs, monkeypatch):
     rows = [(r[0], r[1]) for r in sorted(odd_documents(), key=lambda r: r[0])]
     want = brute_repeats(rows)
-    for hot in (False, True):   # also with every minimizer treated as hot
-        if hot:
+    for switch in ("plain", "hot", "long runs"):
+        if switch == "hot":           # every minimizer is treated as hot
             monkeypatch.setattr(suffix_dedup, "_SAMPLE", 1)
             monkeypatch.setattr(suffix_dedup, "HOT_SPANS", 1)
+        if switch == "long runs":     # runs of a minimizer are cut wherever they can be
+            monkeypatch.undo()
+            monkeypatch.setattr(suffix_dedup, "_HELD_ROWS", 0)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
                for r in suffix_dedup.remove_repeats(docs).collect()}
         assert got == want
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
-def test_repeats_with_shared_and_missing_ids(spark):
+def in_order(frame):
+    """(doc_id, text) in the order in which rows count: id, null first, then the hashes of the text."""
+    from pyspark.sql import functions as F
+
+    text = F.coalesce("text", F.lit(""))
+    return [(r.doc_id, r.text) for r in frame.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64(text),
+                                                      F.xxhash64(F.lit(1), text)).collect()]
+
+
+@pytest.mark.parametrize("low", [3, -(1 << 63)])
+def test_repeats_with_shared_missing_and_extreme_ids(spark, low):
     rnd = random.Random(6)
-    a, b = (" ".join(rnd.choices(WORDS, k=60)) for _ in range(2))
-    rows = [(None, a), (1, b + a), (1, b), (2, None), (3, a)]
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(
-        spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    # texts of id 1 follow one another in text order: b, then b + a
-    assert (None, len(a), 0) in got and (1, len(b), 0) in got and (3, len(a), len(a)) in got
-    assert [r for r in got if r[0] == 1 and r[1] == len(a + b)][0][2] >= len(b)
+    texts = ["".join(rnd.choices("abcdefgh ", k=rnd.randint(90, 400))) for _ in range(12)]
+    texts += [texts[0][50:] + texts[1], texts[2], texts[3][:150] + "é" * 60 + texts[3][150:], None, ""]
+    ids = [low, None, (1 << 62) + 5, (1 << 63) - 1, 7]
+    rows = [(rnd.choice(ids), rnd.choice(texts)) for _ in range(60)] + [(None, texts[0])] * 40
+    frame = spark.createDataFrame([r + (5, 6) for r in rows], "doc_id long, text string, _number int, _ranges int").repartition(4)
+    ordered = in_order(frame)
+    want = brute_repeats([(i, t) for i, (_, t) in enumerate(ordered)])
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+                              for r in suffix_dedup.remove_repeats(frame).collect())
+    assert got == collections.Counter((i, *want[n]) for n, (i, _) in enumerate(ordered))
+    # the stage cuts the same bytes, and keeps columns named like its own
+    cut = suffix_dedup.dedup_texts(frame)
+    assert cut.columns == frame.columns and cut.agg({"_number": "min", "_ranges": "max"}).first()[:] == (6, 5)[::-1]
+    whole = [len((r.text or "").encode()) for r in cut.collect()]
+    assert sum(whole) <= sum(n - gone for n, gone, _, _ in want.values())
+    # no id is shared: ids are the numbers
+    one = spark.createDataFrame(list({i: (i, t) for i, t in rows if i is not None}.values()), "doc_id long, text string")
+    want = brute_repeats(in_order(one))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(one).collect()} == want
 
 
 def test_texts_cut_with_shared_and_missing_ids(spark):
     rnd = random.Random(7)
     a, b, c = ("".join(rnd.choices("abcdefgh ", k=300)) for _ in range(3))
     big = (1 << 60) + 1
-    rows = [(None, a), (None, c), (1, b), (1, b), (1, "z" + a + b), (2, None), (3, c), (big, a + "é")]
+    rows = [(None, a), (None, c), (1, b), (1, b), (1, "z" + a), (2, None), (3, c), (big, a + "é")]
     frame = spark.createDataFrame([r + (None,) for r in rows], "doc_id long, text string, n_chars int")
     got = [(r.doc_id, r.text, r.n_chars) for r in suffix_dedup.dedup_texts(frame).collect()]
     want = [(None, a), (None, c), (1, b), (1, ""), (1, "z"), (2, None), (3, ""), (big, "é")]
@@ -494,7 +566,7 @@ def test_mined_rules_against_brute_force(spark):
     data = [(sorted(rnd.sample("abcdef", rnd.randint(1, 4))), rnd.choice(["allow", "block", "block"])) for _ in range(200)]
     frame = spark.createDataFrame(data, "tokens array<string>, label string")
     got = {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), r.support)
-           for r in url_rules.mine_rules(frame, 0.05, 0.6, 3).collect()}
+           for r in url_rules.mine_rules(frame, 0.05, 0.6, 3)[0].collect()}
     total, joint = collections.Counter(), collections.Counter()
     for tokens, label in data:
         for k in (1, 2, 3):
@@ -513,10 +585,69 @@ def test_rules_of_four_tokens(spark):
     # all four tokens mean block, any three of them as often allow
     data = [(list("abcd"), "block")] * 20
     data += [(list(c), "allow") for c in combinations("abcd", 3) for _ in range(20)]
-    rules = url_rules.mine_rules(spark.createDataFrame(data, "tokens array<string>, label string"), 0.05, 0.8).collect()
+    rules = url_rules.mine_rules(spark.createDataFrame(data, "tokens array<string>, label string"), 0.05, 0.8)[0].collect()
     assert [(r.tokens, r.confidence, r.support) for r in rules if r.verdict == "block"] == [(list("abcd"), 1.0, 20)]
 
 
+def brute_rules(data, least, sure):
+    """Minimal rules of every size over token sets, with the tokens of a class replaced by the least of them."""
+    from itertools import combinations
+
+    where = collections.defaultdict(list)
+    for i, (tokens, _) in enumerate(data):
+        for t in set(tokens):
+            where[t].append(i)
+    rep = {t: min(u for u in where if where[u] == where[t]) for t in where if len(where[t]) >= least}
+    total, joint = collections.Counter(), collections.Counter()
+    for tokens, label in data:
+        own = sorted({rep[t] for t in tokens if t in rep})
+        for k in range(1, len(own) + 1):
+            for c in combinations(own, k):
+                total[c] += 1
+                joint[c, label] += 1
+    rules = {k: joint[k] / total[k[0]] for k in joint if joint[k] >= least and joint[k] / total[k[0]] >= sure}
+    return {k: (round(c, 9), joint[k]) for k, c in rules.items()
+            if not any(rules.get((tuple(t for t in k[0] if t != x), k[1]), 0) >= c for x in k[0])}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_minimal_rules_with_classes_and_sure_tokens(spark, seed):
+    rnd = random.Random(seed)
+    data = []
+    for _ in range(160):
+        tokens = set(rnd.sample("abcdefg", rnd.randint(1, 5)))
+        if "a" in tokens:
+            tokens |= {"aa", "aaa"}                     # always together
+        label = "block" if "g" in tokens else rnd.choice(["allow", "allow", "block"])     # one token is sure
+        data.append((sorted(tokens), label))
+    frame = spark.createDataFrame(data, "tokens array<string>, label string").repartition(3)
+    got = {(tuple(sorted(r.tokens)), r.verdict): (round(r.confidence, 9), r.support)
+           for r in url_rules.mine_rules(frame, 0.04, 0.7)[0].collect()}
+    assert got == brute_rules(data, 7, 0.7)
+
+
+def test_long_paths_shared_by_many_pages_do_not_explode(spark):
+    """Forty segments on twelve pages of either label: one token for the miner; any of the segments meets a rule."""
+    import time
+
+    path = "/".join(f"seg{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(40))
+    rows = [(i, f"http://a.{'com' if i % 2 else 'net'}/{'de' if i % 2 else 'q'}/{path}/{'u' * i}") for i in range(12)]
+    rows += [(100 + i, f"http://b.com/{'fr' if i % 3 else 'de'}/{path}") for i in range(12)]
+    rows += [(200, f"http://c.org.uk/{path}"), (201, "http://c.uk/x/sega"), (202, "http://d.uk/none"), (203, "http://long.uk/" + "y/" * 5000)]
+    started = time.time()
+    got = {r.page_id: r for r in url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert time.time() - started < 120 and len(got) == len(rows)
+    assert got[202].verdict == got[203].verdict == "allow" and got[202].rule_tokens is None
+    tokens = lambda u: url_rules.url_tokens(*map(lambda c: c, (u, url_rules.host_of(u), url_rules.path_of(u))))
+    from pyspark.sql import functions as F
+    parsed = spark.createDataFrame(rows, "page_id long, url string").select("page_id", tokens(F.col("url")).alias("t"), *[
+        c.alias(n) for c, n in zip(url_rules.stated_rule(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))), ("rule", "label"))])
+    data = [(r.t, r.label) for r in parsed.collect() if r.label is not None]
+    want = {k[0] for k in brute_rules(data, url_rules.MIN_COUNT, url_rules.MIN_CONFIDENCE)}
+    used = {tuple(sorted(r.rule_tokens)) for r in got.values() if r.rule_tokens}
+    assert used <= {tuple(sorted(w)) for w in want}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -534,3 +665,16 @@ def test_pipeline_stages(spark):
     kept = {r.doc_id for r in docs.collect()}
     packed = cp.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == kept
+    # a stage's own tables go when the next stage begins
+    left = [p for paths in cp._LEFT.values() for p in paths]
+    assert left and all("pieces" in p for p in left)
+
+
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline as cp
+
+    read = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = read.limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0

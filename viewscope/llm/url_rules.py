@@ -4,12 +4,15 @@ URLs become token sets (host suffixes, path segments with digits folded, query
 keys). Spark's FP-growth mines token combinations together with the label of
 URLs whose label is known; rules `tokens -> label` are pruned by support and
 confidence, and dropped when a subset of their tokens already says the same at
-least as surely. An inverted index keeps each rule under its rarest token, so
-a URL meets only rules that share that token with it.
+least as surely. Combinations that this would drop anyway are not generated: tokens of one
+label are rules already, and tokens that always occur together are mined as one. An inverted
+index keeps each rule under its rarest token, so a URL meets only rules that share that token with it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,19 +71,57 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
         F.array_distinct(F.concat(suffixes, segments, keys)))
 
 
+def _token_roles(rows: DataFrame, least: int) -> DataFrame:
+    """(t, rep, n, verdict) of every token in ``least`` of ``rows`` (tokens, label) or more.
+
+    ``rep`` is the least of the tokens that lie in exactly the same rows: a rule says the same with any of them, and two
+    of them in one rule say no more than one, so only ``rep`` is mined. ``verdict`` is set when all rows of the token have that label: no
+    combination with such a token can be surer than the token alone. Tokens share rows when the counts and sums of
+    the hashes of their token sets agree; the tokens of a class lie in one URL, so a class is no longer than a URL.
+    """
+    sets = rows.groupBy("tokens", "label").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64("tokens", "label"))
+    low = F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF))
+    per_token = (sets.select(F.explode("tokens").alias("t"), "label", "_n", "_h", low.alias("_l"),
+                             F.shiftrightunsigned("_h", 32).alias("_u"))
+                 .groupBy("t").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("_sets"), F.sum("_l").alias("_l"),
+                                   F.sum("_u").alias("_u"), F.bit_xor("_h").alias("_x"), F.min("label").alias("_lo"),
+                                   F.max("label").alias("_hi")).where(F.col("n") >= least))
+    classes = per_token.groupBy("n", "_sets", "_l", "_u", "_x").agg(
+        F.min("t").alias("rep"), F.collect_list("t").alias("_members"),
+        F.first(F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))).alias("verdict"))
+    return materialize(classes.select(F.explode("_members").alias("t"), "rep", "n", "verdict"), "url-token-roles")
+
+
+def class_tokens(sets: DataFrame, roles: DataFrame) -> DataFrame:
+    """(tokens, classes) of each distinct token set: the tokens that rules can hold, by their ``rep``."""
+    met = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("t")).join(
+        roles.select("t", "rep"), "t")
+    return met.groupBy("tokens").agg(F.collect_set("rep").alias("classes"))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               max_tokens: int | None = None) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support) mined from ``labelled`` (tokens, label).
+               max_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rules, roles): rules are (tokens, verdict, confidence, support) mined from ``labelled`` (tokens, label).
 
     Rows without tokens or label take no part; an empty table gives no rules.
     A rule needs ``min_support`` of the rows and ``MIN_COUNT`` rows at least; its tokens are any number, or
-    ``max_tokens`` at most where given.
+    ``max_tokens`` at most where given, each standing for its class (see ``_token_roles``). Tokens of one
+    label are rules by themselves and leave the baskets before FP-growth sees them, as do rare tokens and all but one of
+    a class, so a long path that many URLs share is one token there, not every subset of its segments.
     """
-    rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0))
-    n = rows.count()
-    min_support = min(1.0, max(min_support, MIN_COUNT / max(n, 1)))
-    baskets = rows.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).select("tokens", "label")
+    least = max(math.ceil(min_support * rows.count() - 1e-9), MIN_COUNT)
+    roles = _token_roles(rows, least)
+    alone = roles.where(F.col("verdict").isNotNull() & (F.col("t") == F.col("rep"))).select(
+        F.array("rep").alias("tokens"), "verdict", F.lit(1.0).alias("confidence"), F.col("n").alias("support"))
+    mixed = class_tokens(rows, roles.where("verdict IS NULL"))
+    baskets = materialize(rows.join(mixed, "tokens").select(
+        F.concat("classes", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items")), "url-baskets")
+    n = baskets.count()
+    if not n:
+        return materialize(alone, "url-rules"), roles
+    # half a row below the count, so that rounding can't raise it
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(baskets)
     sets = materialize(model.freqItemsets, "itemsets")
     is_label = lambda t: t.startswith(_LABEL)
     if max_tokens is not None:
@@ -100,7 +141,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     same = rules.select(F.col("tokens").alias("_less"), "verdict", F.col("confidence").alias("_sure"))
     idle = shorter.join(same, ["_less", "verdict"]).where(F.col("_sure") >= F.col("confidence")).select(
         "tokens", "verdict").distinct()
-    return materialize(rules.join(idle, ["tokens", "verdict"], "left_anti"), "url-rules")
+    return materialize(rules.join(idle, ["tokens", "verdict"], "left_anti").unionByName(alone), "url-rules"), roles
 
 
 def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
@@ -134,9 +175,12 @@ def judge_urls(pages: DataFrame, rules=None, default: str = DEFAULT_VERDICT) ->
     parsed = materialize(parsed.select(
         "page_id", "host", "path", text.alias("rule"), verdict.alias("_stated"),
         url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
-    mined = mine_rules(parsed.select("tokens", F.col("_stated").alias("label")))
-    open_sets = parsed.where(F.col("rule").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
-    found = match_rules(materialize(open_sets, "url-tokens"), mined).select(
+    mined, roles = mine_rules(parsed.select("tokens", F.col("_stated").alias("label")))
+    open_sets = parsed.where(F.col("rule").isNull() & (F.size("tokens") > 0)).select("tokens")
+    by_class = materialize(class_tokens(open_sets, roles), "url-tokens")
+    best = match_rules(by_class.select(F.array_sort("classes").alias("tokens")).distinct(), mined)
+    found = by_class.withColumn("_key", F.array_sort("classes")).join(
+        best.withColumnRenamed("tokens", "_key"), "_key").select(
         "tokens", F.col("verdict").alias("_mined"), "confidence", "rule_tokens")
     free, ruled = parsed.where(F.col("rule").isNull()), parsed.where(F.col("rule").isNotNull())
     judged = free.join(found, "tokens", "left").select(
