@@ -491,10 +491,37 @@ def test_quality_on_labelled_documents(spark):
     assert np.mean([r.keep == (r.label == 1) for r in judged]) > 0.9
 
 
+def test_quality_held_out_accuracy(spark):
+    """Labels of a third of the documents are kept from the fit, the evidence and the site weight."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null")
+    out = langid.held_out(labels["doc_id"])
+    kept_out = labels.where(out).selectExpr("doc_id", "quality AS label")
+    judged = quality.judge_quality(d, labels.where(~out)).join(kept_out, "doc_id").collect()
+    assert len(judged) > 100 and np.mean([r.keep == (r.label == 1) for r in judged]) > 0.9
+
+
+def test_own_evidence_stays_out_of_the_site_rate(spark):
+    rows = [(i, "good words here", "a", "x") for i in range(30)] + [(100, "good words here", "lone", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for label in (0, 1):
+        labels = spark.createDataFrame([(100, label)] + [(i, i % 2) for i in range(30)], "doc_id long, quality int")
+        lone = quality.judge_quality(docs, labels).where("doc_id = 100").first()
+        total = (15 + label) / 31
+        assert abs(lone.host_rate - total) < 1e-9 and abs(lone.path_rate - total) < 1e-9
+
+
+def test_site_weight_is_the_likeliest(spark):
+    rows = [(float(i % 2), 0.5, 1.0 if i % 2 else -1.0) for i in range(40)]
+    fit = lambda r: quality.site_weight(spark.createDataFrame(r, "label double, p double, shift double"))
+    assert fit(rows) == quality.WEIGHTS[-1] and fit([(1 - y, p, s) for y, p, s in rows]) == 0.0
+    assert fit([(None, 0.5, 1.0)]) == quality.SITE_WEIGHT
+
+
 def test_site_posteriors_shrink_sparse_sites(spark):
     rows = [(i, "big", "a", 0.9) for i in range(400)] + [(500 + i, "bad", "a", 0.1) for i in range(400)]
     rows += [(1000, "tiny", "a", 0.1)]
-    sites, prior = quality.site_posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, p double"))
+    sites, prior = quality.site_posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double"))
     rate = {r.host: r.path_rate for r in sites.collect()}
     assert rate["bad"] < rate["tiny"] < rate["big"] and abs(rate["bad"] - 0.1) < 0.05
     assert abs(rate["tiny"] - prior) < abs(0.1 - prior)

@@ -4,12 +4,15 @@
    (shares of character classes, word lengths, repetition, line structure),
    fitted on a bounded sample of labelled documents.
 2. Site evidence: documents are grouped by host and by path below it; each
-   group's count and sum of document probabilities come from one grouped
-   aggregation over all documents. A path's rate is shrunk toward its host's,
-   a host's toward the global rate, with strengths from the method of moments,
-   so sparse sites stay near their prior.
-3. The posterior log-odds add the site's shift against the global rate to the
-   document's evidence. Documents below 0.5 are rejected.
+   group's count and sum of evidence come from one grouped aggregation over
+   all documents. A labelled document counts with its label, any other with
+   its probability. A path's rate is shrunk toward its host's, a host's toward
+   the global rate, with strengths from the method of moments, so sparse sites
+   stay near their prior.
+3. A document's own evidence is left out of its site's rates. The posterior
+   log-odds add the site's shift against the global rate, times a weight, to
+   the document's evidence; the weight is the one of WEIGHTS under which all
+   labelled documents are likeliest. Documents below 0.5 are rejected.
 
 In ``documents`` the host is ``source`` and the path below it ``lang``.
 """
@@ -24,11 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewscope.llm.common import null_ids, trimmed, unused, with_id
+from viewscope.llm.common import NULL_ID, null_ids, trimmed, unused
 from viewscope.session import materialize, ship_package
 
 SAMPLE = 6_000          # labelled documents used to fit, about
-SITE_WEIGHT = 0.5       # share of a site's log-odds shift that reaches the document
+WEIGHTS = [w / 20 for w in range(31)]   # of a site's log-odds shift, to choose from
+SITE_WEIGHT = 0.5       # the weight where no document is labelled
 THRESHOLD = 0.5
 FEATURES = 16
 
@@ -116,21 +120,24 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DocumentModel | None:
     """Logistic model of quality = 1, from about ``sample`` labelled documents drawn by a hash of their id.
 
-    Null labels take no part; contradicting labels of a document all count.
-    None when the sample holds one class only.
+    Null labels take no part; contradicting labels of a document all count, rows of equal shape and label once.
+    At most twice ``sample`` rows reach the driver. None when they hold one class only.
     """
     ship_package(docs.sparkSession)
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "doc_id", (F.col("quality") > 0).cast("double").alias("quality")).distinct()
     n = known.count()
     unit = F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.where(unit < min(1.0, sample / max(n, 1)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")   # bounded by ``sample``
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")   # bounded by ``sample``, as ids are distinct
 
     def run(batches):
         for batch in batches:
             yield pd.DataFrame({"x": [text_features(t) for t in batch["text"]], "y": batch["quality"].astype(float)})
 
-    got = texts.mapInPandas(trimmed(run), "x array<double>, y double").toPandas()
+    # an id may stand on any number of rows: equal rows go, then the hash order bounds their number
+    got = (texts.mapInPandas(trimmed(run), "x array<double>, y double").distinct()
+           .orderBy(F.xxhash64("x", "y"), "y", "x").limit(2 * sample).toPandas())
     if got.empty or got["y"].nunique() < 2:
         return None
     # rows arrive in any order; a fixed order makes the fit repeatable
@@ -139,8 +146,12 @@ def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return _fit_logistic(x[order], y[order].astype(float))
 
 
-def document_probability(docs: DataFrame, model: DocumentModel | None, host: str, path: str) -> DataFrame:
-    """doc_id, host, path, p of every document; an empty text has p 0, and without a model p is 1."""
+def document_probability(docs: DataFrame, model: DocumentModel | None, host: str, path: str,
+                         row: str = "doc_id") -> DataFrame:
+    """doc_id (from the column ``row``), known_id (doc_id itself), host, path, p of every document.
+
+    An empty text has p 0, and without a model p is 1.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -149,11 +160,25 @@ def document_probability(docs: DataFrame, model: DocumentModel | None, host: str
             x = np.array([text_features(t) for t in batch["text"]]).reshape(-1, FEATURES)
             p = shared.value.probability(x) if shared.value else np.ones(len(x))
             p = np.where(batch["text"].fillna("").str.strip() == "", 0.0, p)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "host": batch["host"], "path": batch["path"], "p": p})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "known_id": batch["known_id"], "host": batch["host"],
+                                "path": batch["path"], "p": p})
 
-    part = with_id(docs, "doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
+    part = docs.select(F.coalesce(F.col(row).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("known_id"), "text",
+                       F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
                    F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
-    return part.mapInPandas(trimmed(run), "doc_id long, host string, path string, p double")
+    return null_ids(part.mapInPandas(trimmed(run), "doc_id long, known_id long, host string, path string, p double"),
+                    "known_id")
+
+
+def with_evidence(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds label (mean of the document's labels, 0 to 1, or null) and evidence (the label, else p)."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
+        F.col("doc_id").cast("long").alias("known_id")).agg(F.avg((F.col("quality") > 0).cast("double")).alias("label"))
+    # rows without id stay out of the join, where they would meet in one task
+    out = scored.where(F.col("known_id").isNotNull()).join(known, "known_id", "left").select(*scored.columns, "label")
+    out = out.unionByName(scored.where(F.col("known_id").isNull()).withColumn("label", F.lit(None).cast("double")))
+    return out.withColumn("evidence", F.coalesce("label", "p"))
 
 
 def _strength(groups: DataFrame, prior: Column) -> float:
@@ -167,23 +192,36 @@ def _strength(groups: DataFrame, prior: Column) -> float:
     return float(min(max(r["total"] / r["n"] / between - 1.0, 1.0), 1e6))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """Rate of good documents of every (host, path), shrunk to its host's and that to the global rate.
+def site_rates(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(host, path, n, good, host_n, host_good of every site; global rate; strengths of a host's and a path's prior).
 
     One grouped aggregation over all documents, combined before the shuffle;
     what follows works on its result, one row a site.
     """
-    paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")),
+    paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("good")),
                         "quality-sites")
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     prior = min(max((total["good"] or 0.0) / (total["n"] or 1), 1e-3), 1 - 1e-3)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     k_host = _strength(hosts, F.lit(prior))
-    rate = ((F.col("good") + k_host * prior) / (F.col("n") + k_host)).alias("host_rate")
-    joined = paths.join(hosts.select("host", rate), "host")
-    k_path = _strength(joined, F.col("host_rate"))
-    return joined.select("host", "path", "n", "host_rate",
-                         ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate")), prior
+    sites = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host")
+    k_path = _strength(sites, _shrunk("host_good", "host_n", k_host, F.lit(prior)))
+    return sites, prior, k_host, k_path
+
+
+def _shrunk(good: str, n: str, strength: float, prior: Column, own: Column | None = None) -> Column:
+    """Posterior rate of a group; ``own`` is the evidence of one of its documents, to be left out."""
+    if own is None:
+        return (F.col(good) + strength * prior) / (F.col(n) + strength)
+    return (F.greatest(F.col(good) - own, F.lit(0.0)) + strength * prior) / (F.col(n) - 1 + strength)
+
+
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
+    """(host, path, n, host_rate, path_rate of every site, from all its documents; the global rate)."""
+    sites, prior, k_host, k_path = site_rates(scored)
+    host_rate = _shrunk("host_good", "host_n", k_host, F.lit(prior))
+    return sites.select("host", "path", "n", host_rate.alias("host_rate"),
+                        _shrunk("good", "n", k_path, host_rate).alias("path_rate")), prior
 
 
 def _logit(c: Column) -> Column:
@@ -191,14 +229,30 @@ def _logit(c: Column) -> Column:
     return F.log(x / (1 - x))
 
 
-def _judged(docs: DataFrame, model: DocumentModel | None, host: str, path: str) -> DataFrame:
-    """The rows of ``judge_quality``, null ids as NULL_ID."""
-    scored = materialize(document_probability(docs, model, host, path), "quality-documents")
-    sites, prior = site_posteriors(scored)
+def site_weight(judged: DataFrame) -> float:
+    """The weight of least mean log loss over all labelled documents that have text; SITE_WEIGHT without any."""
+    sign = 2 * F.col("label") - 1
+    known = judged.where(F.col("label").isNotNull() & (F.col("p") > 0) & F.col("label").isin(0.0, 1.0))
+    loss = known.agg(*[F.avg(F.log1p(F.exp(-sign * (_logit(F.col("p")) + w * F.col("shift"))))).alias(f"w{i}")
+                       for i, w in enumerate(WEIGHTS)]).first()
+    if loss["w0"] is None:
+        return SITE_WEIGHT
+    # rounded, so that the order of sums doesn't choose between equals
+    return WEIGHTS[min(range(len(WEIGHTS)), key=lambda i: (round(loss[f"w{i}"], 9), i))]
+
+
+def _judged(docs: DataFrame, labels: DataFrame, model: DocumentModel | None, host: str, path: str,
+            row: str = "doc_id") -> DataFrame:
+    """The rows of ``judge_quality``; doc_id is the column ``row``, nulls as NULL_ID."""
+    scored = materialize(with_evidence(document_probability(docs, model, host, path, row), labels), "quality-documents")
+    sites, prior, k_host, k_path = site_rates(scored)
     # sites are aggregates of the documents: small here, of no fixed bound, so the planner chooses the join
-    out = scored.join(sites.select("host", "path", "host_rate", "path_rate"), ["host", "path"])
-    shift = _logit(F.col("path_rate")) - _logit(F.lit(prior))
-    z = _logit(F.col("p")) + SITE_WEIGHT * shift
+    own = F.col("evidence")
+    out = scored.join(sites, ["host", "path"])
+    out = out.withColumn("host_rate", _shrunk("host_good", "host_n", k_host, F.lit(prior), own))
+    out = out.withColumn("path_rate", _shrunk("good", "n", k_path, F.col("host_rate"), own))
+    out = out.withColumn("shift", _logit(F.col("path_rate")) - _logit(F.lit(prior)))
+    z = _logit(F.col("p")) + site_weight(out) * F.col("shift")
     quality = F.when(F.col("p") == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-z)))
     return out.select("doc_id", F.col("p").alias("p_document"), "host_rate", "path_rate",
                       quality.alias("quality"), (quality >= THRESHOLD).alias("keep"))
@@ -211,7 +265,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     their own; repeated rows repeat; with no usable labels every document
     that has text is kept.
     """
-    return null_ids(_judged(docs, fit_documents(docs, labels), host, path))
+    return null_ids(_judged(docs, labels, fit_documents(docs, labels), host, path))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,6 +276,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # written once: every later read must see the same numbers
     row = unused(docs, "_row")
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    numbered = rows.drop("doc_id").withColumnRenamed(row, "doc_id")
-    rejected = _judged(numbered, fit_documents(rows, labels), "source", "lang").where(~F.col("keep"))
-    return rows.join(rejected.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
+    judged = _judged(rows, labels, fit_documents(rows, labels), "source", "lang", row)
+    rejected = judged.where(~F.col("keep")).select(F.col("doc_id").alias(row))
+    return rows.join(rejected, row, "left_anti").select(*docs.columns)
