@@ -244,7 +244,9 @@ def site_weight(judged: DataFrame) -> float:
 def _judged(docs: DataFrame, labels: DataFrame, model: DocumentModel | None, host: str, path: str,
             row: str = "doc_id") -> DataFrame:
     """The rows of ``judge_quality``; doc_id is the column ``row``, nulls as NULL_ID."""
-    scored = materialize(with_evidence(document_probability(docs, model, host, path, row), labels), "quality-documents")
+    # written first: the features of a text are computed once, however often its probability is read
+    scored = materialize(document_probability(docs, model, host, path, row), "quality-probabilities")
+    scored = materialize(with_evidence(scored, labels), "quality-documents")
     sites, prior, k_host, k_path = site_rates(scored)
     # sites are aggregates of the documents: small here, of no fixed bound, so the planner chooses the join
     own = F.col("evidence")
