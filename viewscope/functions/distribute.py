@@ -1,8 +1,8 @@
-"""Two building blocks that keep single tasks small: row numbers and joins with hot keys."""
+"""Building blocks that keep single tasks small: task counts, row numbers and joins with hot keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viewscope.session import materialize
@@ -11,6 +11,11 @@ HOT_SHARE = 1_000   # a key is hot when it has more than this fraction of all ro
 _ROW_BITS = 33      # row number within a partition, in monotonically_increasing_id
 
 
+def tasks_for(spark: SparkSession, size: int, per_task: int) -> int:
+    """Tasks that hold about ``per_task`` of ``size`` each, never fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // per_task))
+
+
 def numbered(df: DataFrame, column: str) -> DataFrame:
     """``df`` with row numbers 0..n-1 in ``column``, without a global sort.
 

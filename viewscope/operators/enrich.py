@@ -150,7 +150,7 @@ def segmented_running_sums(frame: DataFrame, order_cols: list[str], value_cols:
                           + [T.StructField("_cum_n", T.LongType())]
                           + [T.StructField(f"_cum_{c}", T.DoubleType()) for c in value_cols])
     scanned = materialize(ranged.sortWithinPartitions("_day", *order_cols)
-                          .mapInArrow(_running_sums_fn(value_cols), schema), "running-sums", keep)
+                          .mapInArrow(_running_sums_fn(value_cols), schema), "running-sums", keep, "zstd")
     # last row of each (partition, day) piece holds the piece totals
     pieces = scanned.groupBy("_pid", "_day").agg(
         F.max("_cum_n").alias("_t_n"),
@@ -258,6 +258,12 @@ def _with_instants(rows: DataFrame, base: DataFrame, days: set[int], value_cols:
 
 def enrich(df: DataFrame, latest, n_days_bound: int | None = None, partitions: int | None = None,
            keep: list[str] | None = None) -> DataFrame:
-    """P1-P10 and W1-W3 over the whole validated table."""
-    out = add_recency(add_calendar(add_rates(df)), latest)
-    return rolling_means(out, partitions=partitions, n_days_bound=n_days_bound, keep=keep)
+    """P1-P10 and W1-W3 over the whole validated table.
+
+    The rolling means come first, so that only the columns of ``df`` and what they average are shuffled and written for them.
+    """
+    averaged = [c for c in sorted({src for src, _ in ROLLING_WINDOWS.values()}) if c not in df.columns]
+    rolled = rolling_means(add_rates(df).select(*df.columns, *averaged), partitions=partitions,
+                           n_days_bound=n_days_bound, keep=keep)
+    out = add_recency(add_calendar(add_rates(rolled.drop(*averaged))), latest)
+    return out.select(*[c for c in out.columns if c not in ROLLING_WINDOWS], *ROLLING_WINDOWS)

@@ -42,6 +42,8 @@ def check_schema(df: DataFrame) -> None:
         raise DataValidationError(C.INVALID_SCHEMA.format(missing or "[]", extra or "[]"))
 
 
+MAX_BROADCAST_KEYS = 100_000
+
 _FIXED_WIDTH = (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
 
 
@@ -69,7 +71,7 @@ def _packed_order(df: DataFrame, order: list[str]) -> Column | None:
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order: list[str], count_col: str | None = None,
-                     unique_order: bool = False) -> DataFrame:
+                     unique_order: bool = False, keep: list[str] | None = None) -> DataFrame:
     """V2: one row per key, the first by ``order`` (nulls first); nulls in keys compare equal.
 
     Two phases: a hash aggregate over keys and order alone finds the least order value of each key, reduced in
@@ -77,7 +79,9 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order: list[str], count_col
     hot key differ in that value, so they spread over all tasks; no task holds a whole key group.
     Several integral or date columns are packed into one number by their measured ranges. Orders that
     don't fit are reduced as structs by a sort aggregate instead. Of rows that tie in all of ``order`` any one stays;
-    ``unique_order`` promises that there are none, which saves a pass. ``df`` is read twice and must give the same rows.
+    ``unique_order`` promises that there are none, which saves a pass. Then repeated keys are looked up first: up to
+    ``MAX_BROADCAST_KEYS`` of them are broadcast and no row moves. ``df`` is read twice, a third time with more such keys, and
+    must give the same rows.
     """
     if len(order) == 1 and _is_fixed_width(df, order[0]):
         seq = F.col(order[0])
@@ -92,9 +96,17 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order: list[str], count_col
         F.count(F.lit(1)).alias("_n"))
     firsts = firsts.select(*[f"_on_{k}" for k in keys], "_n",
                            F.when(~F.col("_has_null"), F.col("_first")).alias("_first"))
-    same = F.col("_seq").eqNullSafe(F.col("_first"))
+    same = same_seq = F.col("_seq").eqNullSafe(F.col("_first"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    if unique_order:
+        repeated = materialize(firsts.where(F.col("_n") > 1).limit(MAX_BROADCAST_KEYS + 1), "repeated-keys", keep)
+        if repeated.count() <= MAX_BROADCAST_KEYS:
+            same_key = F.lit(True)
+            for k in keys:
+                same_key = same_key & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+            out = rows.join(F.broadcast(repeated), same_key, "left").where(F.col("_n").isNull() | same_seq)
+            return out.select(*df.columns, *([F.coalesce("_n", F.lit(1)).alias(count_col)] if count_col else []))
     out = rows.join(firsts, same)
     if not unique_order:
         w = Window.partitionBy(*keys).orderBy("_seq")     # rows tied for first place only
@@ -249,14 +261,14 @@ def validate(raw: DataFrame, source_name: str, mode: str = "fail", null_text: st
     keep = [c for c in raw.columns if c in RAW_COLUMNS or c in ("ingest_seq", "_corrupt_record")]
     src = raw.select(*keep)
     if "ingest_seq" not in src.columns:
-        src = materialize(src.withColumn("ingest_seq", F.monotonically_increasing_id()), "raw", written)
+        src = materialize(src.withColumn("ingest_seq", F.monotonically_increasing_id()), "raw", written, "zstd")
     if "_corrupt_record" in keep:
         malformed = src.where(F.col("_corrupt_record").isNotNull()).withColumn("_copies", F.lit(1).cast("long"))
         src = src.where(F.col("_corrupt_record").isNull())
-    deduped = dedup_keep_first(src, ["video_id"], ["ingest_seq"], count_col="_copies", unique_order=True)
+    deduped = dedup_keep_first(src, ["video_id"], ["ingest_seq"], count_col="_copies", unique_order=True, keep=written)
     if "_corrupt_record" in keep:
         deduped = deduped.unionByName(malformed)
-    typed = materialize(coerce(deduped, null_text, date_formats), "typed", written)
+    typed = materialize(coerce(deduped, null_text, date_formats), "typed", written, "zstd")
     report_row = report_aggregate(typed, source_name).collect()[0].asDict()
     if mode == "fail":
         raise_first_failure(report_row)

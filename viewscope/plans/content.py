@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from viewscope.operators import enrich as E
 from viewscope.operators import quality as Q
-from viewscope.session import checkpoint_dir, path_version, release
+from viewscope.session import checkpoint_dir, materialize, path_version, release
 from viewscope.sources.tables import content_from_tables
 
 _CACHE: dict[tuple[str, str, str], "ContentTable"] = {}
@@ -56,7 +56,7 @@ def load_content(raw: DataFrame, source_name: str, out_path: str, mode: str = "f
         sc = raw.sparkSession.sparkContext
         partitions = max(sc.defaultParallelism, -(-int(v.report["rows_loaded"] or 0) // ROWS_PER_RANGE_PARTITION))
     enriched = E.enrich(typed, latest, n_days_bound=_n_days(v.report), partitions=partitions, keep=keep)
-    enriched.write.mode("overwrite").parquet(out_path)
+    enriched.write.mode("overwrite").parquet(out_path, compression="zstd")
     spark = raw.sparkSession
     release(spark, keep if mode == "quarantine" else keep + v.written)
     table = ContentTable(frame=spark.read.parquet(out_path), report=v.report, report_df=v.report_df, path=out_path)
@@ -75,8 +75,11 @@ def content_table(spark: SparkSession, sf_dir: str) -> ContentTable:
     if hit is not None:
         return hit
     out_path = f"{checkpoint_dir(spark).rstrip('/')}/content-{hashlib.sha1('|'.join(key).encode()).hexdigest()[:16]}"
-    raw = content_from_tables(spark, sf_dir).withColumn("ingest_seq", F.col("video_id"))
+    # written once: validation reads it twice, and the joins behind it should run once
+    written: list[str] = []
+    raw = materialize(content_from_tables(spark, sf_dir).withColumn("ingest_seq", F.col("video_id")), "raw", written, "zstd")
     table, _ = load_content(raw, f"tables:{sf_dir}", out_path)
+    release(spark, written)
     _CACHE[key] = table
     return table
 

@@ -77,13 +77,14 @@ def recorded(paths: list[str]):
         _RECORDS.remove(paths)
 
 
-def materialize(df, name: str, keep: list[str] | None = None):
+def materialize(df, name: str, keep: list[str] | None = None, compression: str | None = None):
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The folder is added to ``keep``, for a caller that releases it once its last reader is done.
+    The folder is added to ``keep``, for a caller that releases it once its last reader is done. Wide tables
+    can be written with a denser ``compression`` than the session's.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     for paths in [*_RECORDS, *([keep] if keep is not None else [])]:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
