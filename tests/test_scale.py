@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 
 from viewscope.operators import enrich as E
 from viewscope.operators import quality as Q
+from viewscope.operators import text as X
 from viewscope.schema import ROLLING_WINDOWS
 from viewscope.sources import tables
 
@@ -70,3 +72,21 @@ def test_rolling_means_carry_no_derived_columns(spark):
     assert "publish_month" not in moved and "like_rate" not in moved
     assert out.columns[:10] == df.columns and out.columns[-len(ROLLING_WINDOWS):] == list(ROLLING_WINDOWS)
     assert all(r.engagement_rate_pct == 6 / r.views * 100 for r in out.collect())
+
+
+@pytest.mark.parametrize("share", [100_000, 3])
+def test_tfidf_moves_texts_not_postings(spark, monkeypatch, share):
+    docs = [(1, "red gear blue gear"), (2, "blue gear"), (1, "red hat"), (None, "green hat"), (3, None)]
+    df = spark.createDataFrame(docs, "video_id long, title string")
+    expected = {(r.video_id, r.term): (r.tf, round(r.weight, 9)) for r in X.tfidf(df).collect()}
+    assert expected[1, "red"][0] == 2 and (3, "red") not in expected
+    for i in (1, 2, None):
+        assert sum(w * w for (d, _), (_, w) in expected.items() if d == i) == pytest.approx(1.0)
+    monkeypatch.setattr(X, "TERM_SHARE", share, raising=False)
+    monkeypatch.setattr(X, "TEXT_CHARS_PER_TASK", 4, raising=False)
+    out = X.tfidf(df)
+    plan = _plan(out)
+    # 44 characters, four a task; the weights need no further exchange by id
+    assert re.search(r"hashpartitioning\(video_id#\d+L, 11\), REPARTITION_BY_NUM", plan)
+    assert not re.search(r"hashpartitioning\(video_id#[^)]*\), ENSURE_REQUIREMENTS", plan)
+    assert {(r.video_id, r.term): (r.tf, round(r.weight, 9)) for r in out.collect()} == expected

@@ -7,8 +7,7 @@ Everything is sparse: a postings table (doc, term, weight). Similarity of
 one anchor against all documents joins the anchor's few postings (broadcast,
 bounded by the anchor's own length) to the postings on the term and sums per
 document; no n x n matrix exists anywhere. Document frequencies and lifts are
-partial aggregates per term; a very common term is handled by AQE skew
-splitting on the postings side of the join.
+partial aggregates per term; the weights of common terms are broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewscope.functions.distribute import join_counted
+from viewscope.functions.distribute import tasks_for
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
 from viewscope.functions.textfn import with_terms
@@ -30,22 +29,34 @@ def title_terms(df: DataFrame, id_col: str = "video_id", text_col: str = "title"
             .select(id_col, F.posexplode("_t").alias("position", "term")))
 
 
+TEXT_CHARS_PER_TASK = 4_000_000
+TERM_SHARE = 100_000        # terms with more than this fraction of all postings are broadcast, fewer than this many
+
+
 def tfidf(df: DataFrame, id_col: str = "video_id", text_col: str = "title",
           stop_words: tuple[str, ...] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Postings (id, term, tf, idf, weight) with unit-length document vectors.
 
-    ``carry`` names further columns of a document that its postings keep. The postings are
-    written once, for they are read for the document frequencies and again for the weights.
+    ``carry`` names further columns of a document that its postings keep. Texts, which are far smaller than their postings,
+    are dealt by id into tasks of a bounded length, once for the document frequencies and again for the weights.
+    Postings then stay with their document: only those of rare terms leave it to fetch their weight.
     """
-    n_docs = df.count()
-    tf = materialize(
-        with_terms(df.select(id_col, *carry, text_col), text_col, "_t", stop_words)
-        .select(id_col, *carry, F.explode("_t").alias("term"))
-        .groupBy(id_col, *carry, "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n_docs, chars = df.agg(F.count(F.lit(1)), F.sum(F.length(text_col))).first()
+    parts = tasks_for(df.sparkSession, chars or 0, TEXT_CHARS_PER_TASK)
+    tf = (with_terms(df.select(id_col, *carry, text_col).repartition(parts, id_col), text_col, "_t", stop_words)
+          # an inner explode would have Spark test the terms before the shuffle as well, so split every text twice
+          .select(id_col, *carry, F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull())
+          .groupBy(id_col, *carry, "term").agg(F.count(F.lit(1)).alias("tf")))
     freq = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                        .withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1), "document-frequencies")
-    total = freq.agg(F.sum("df")).first()[0] or 0
-    raw = join_counted(tf, freq, ["term"], "df", total).withColumn("_w", F.col("tf") * F.col("idf"))
+    terms, total = freq.agg(F.count(F.lit(1)), F.sum("df")).first()
+    least = 0 if terms <= TERM_SHARE else total // TERM_SHARE
+    found = tf.join(F.broadcast(freq.where(F.col("df") > least).drop("df")), "term")    # at most TERM_SHARE terms
+    if least:
+        rare = (tf.join(F.broadcast(freq.where(F.col("df") > least).select("term")), "term", "left_anti")
+                .join(freq.where(F.col("df") <= least).drop("df"), "term"))
+        found = found.unionByName(rare.repartition(parts, id_col))
+    raw = found.withColumn("_w", F.col("tf") * F.col("idf"))
     # one document's terms per window group: bounded by that document's length
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, *carry, "term", "tf", "idf", (F.col("_w") / norm).alias("weight"))
