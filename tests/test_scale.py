@@ -6,8 +6,11 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from viewscope import session
 from viewscope.operators import enrich as E
+from viewscope.operators import models as M
 from viewscope.operators import quality as Q
 from viewscope.operators import text as X
 from viewscope.schema import ROLLING_WINDOWS
@@ -90,3 +93,15 @@ def test_tfidf_moves_texts_not_postings(spark, monkeypatch, share):
     assert re.search(r"hashpartitioning\(video_id#\d+L, 11\), REPARTITION_BY_NUM", plan)
     assert not re.search(r"hashpartitioning\(video_id#[^)]*\), ENSURE_REQUIREMENTS", plan)
     assert {(r.video_id, r.term): (r.tf, round(r.weight, 9)) for r in out.collect()} == expected
+
+
+def test_clusters_write_no_titles(spark):
+    cols = ["views", "engagement_rate_pct", "avg_watch_time_seconds", "share_rate"]
+    extra = [c for c in M.FEATURE_COLUMNS if c not in cols]
+    df = spark.range(60).select(F.col("id").alias("video_id"), F.lit("t").alias("title"), F.lit("c").alias("category"),
+                                *[(F.col("id") % 7 + F.lit(float(i))).alias(c) for i, c in enumerate(cols + extra)])
+    paths: list[str] = []
+    with session.recorded(paths):
+        got = M.clusters(df).collect()
+    assert sum(r.videos for r in got) == 60
+    assert not any({"title", "category"} & set(spark.read.parquet(p).columns) for p in paths)

@@ -344,7 +344,7 @@ def best_clustering(df: DataFrame, sweep: tuple | None = None) -> tuple[int, flo
 
 def clusters(df: DataFrame) -> DataFrame:
     """Summary of the selected clustering with labels, largest first."""
-    k, score, labelled = best_clustering(df)
+    k, score, labelled = best_clustering(df.drop("title", "category"))     # texts that the summary doesn't show
     summary = segment_labels(segment_summary(labelled, "cluster_id"))
     return summary.select(
         F.lit(k).alias("best_k"), F.lit(round(score, 4)).alias("silhouette_score"), "cluster_id", "videos",
