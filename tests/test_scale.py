@@ -13,6 +13,7 @@ from viewscope.operators import enrich as E
 from viewscope.operators import models as M
 from viewscope.operators import quality as Q
 from viewscope.operators import text as X
+from viewscope.plans import catalog
 from viewscope.schema import ROLLING_WINDOWS
 from viewscope.sources import tables
 
@@ -105,3 +106,24 @@ def test_clusters_write_no_titles(spark):
         got = M.clusters(df).collect()
     assert sum(r.videos for r in got) == 60
     assert not any({"title", "category"} & set(spark.read.parquet(p).columns) for p in paths)
+
+
+def test_dirty_files_hold_a_bounded_number_of_rows(spark, star, monkeypatch, tmp_path):
+    monkeypatch.setattr(catalog, "DIRTY_ROWS_PER_FILE", 10, raising=False)
+    catalog.write_dirty_csv(spark, star, str(tmp_path / "dirty"))
+    assert len(list((tmp_path / "dirty").glob("*.csv"))) == 2 * ORDERS // 10
+
+
+def test_uploads_stay_under_their_limit(spark, star, monkeypatch):
+    monkeypatch.setattr(catalog, "UPLOAD_MAX_BYTES", 1000, raising=False)
+    run, seen = catalog.RF.run_refresh, {}
+
+    def limited(*args):
+        seen["files"] = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                         .option("pathGlobFilter", "*.csv").load(args[1]).select("length").collect()]
+        return run(*args)
+
+    monkeypatch.setattr(catalog.RF, "run_refresh", limited)
+    log = catalog.q_upload_refresh(spark, star).collect()
+    assert len(log) == len(seen["files"]) > 4 and max(seen["files"]) <= 1000
+    assert sum(r.rows_loaded for r in log if r.status == "ok") == ORDERS

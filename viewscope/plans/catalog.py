@@ -706,20 +706,30 @@ def q_metadata_top_features(spark, d):
 import os as _os  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
-from viewscope.session import checkpoint_dir  # noqa: E402
+from viewscope.schema import UPLOAD_MAX_BYTES  # noqa: E402
+from viewscope.session import checkpoint_dir, materialize, release  # noqa: E402
 from viewscope.sources.tables import content_from_tables  # noqa: E402
 from viewscope.streaming import refresh as RF  # noqa: E402
 
 
 @register("upload_refresh")
 def q_upload_refresh(spark, d):
-    """ST1: land valid uploads and uploads with an extra column; return the refresh log."""
+    """ST1: land valid uploads and uploads with an extra column; return the refresh log.
+
+    There are two uploads of each kind, and more once two would be longer than an upload may be.
+    """
     root = _os.path.join(checkpoint_dir(spark), f"refresh-{_uuid.uuid4().hex[:12]}")
     landing = _os.path.join(root, "landing")
-    raw = content_from_tables(spark, d).withColumn("publish_date", F.date_format("publish_date", "yyyy-MM-dd"))
-    raw.repartition(2).write.option("header", True).csv(_os.path.join(landing, "a_valid"))
-    raw.withColumn("extra", F.lit("x")).repartition(2).write.option("header", True).csv(
+    written: list[str] = []
+    raw = materialize(content_from_tables(spark, d).withColumn("publish_date", F.date_format("publish_date", "yyyy-MM-dd")),
+                      "uploads", written)
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in raw.columns], F.lit("x"))
+    length = raw.agg(F.sum(F.octet_length(line) + 1)).first()[0] or 0
+    uploads = max(2, -(-int(length * 1.25) // UPLOAD_MAX_BYTES))       # with room for quotes and uneven shares
+    raw.repartition(uploads).write.option("header", True).csv(_os.path.join(landing, "a_valid"))
+    raw.withColumn("extra", F.lit("x")).repartition(uploads).write.option("header", True).csv(
         _os.path.join(landing, "b_extra_column"))
+    release(spark, written)
     q = RF.run_refresh(spark, _os.path.join(landing, "*"), _os.path.join(root, "snapshots"),
                        _os.path.join(root, "log"), _os.path.join(root, "stream-checkpoint"))
     q.awaitTermination()
@@ -784,6 +794,9 @@ def q_event_rolling_7d(spark, d):
 _ORDERED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax"]
 
 
+DIRTY_ROWS_PER_FILE = 500_000
+
+
 def write_dirty_csv(spark, d, path: str) -> None:
     """CSV files of lineitem rows, some made unreadable or invalid by rule, in the order of ``_ORDERED``."""
     line, order = F.col("l_linenumber"), F.col("l_orderkey")
@@ -799,7 +812,9 @@ def write_dirty_csv(spark, d, path: str) -> None:
         # surplus and missing fields
         F.when(F.col("l_partkey") % 11 == 0, F.lit("A,surplus")).when(F.col("l_partkey") % 13 != 0, F.lit("A")),
     ]
-    rows = table(spark, d, "lineitem").repartitionByRange(4, *_ORDERED).sortWithinPartitions(*_ORDERED)
+    rows = table(spark, d, "lineitem")
+    files = max(4, -(-rows.count() // DIRTY_ROWS_PER_FILE))      # each is sorted by one task
+    rows = rows.repartitionByRange(files, *_ORDERED).sortWithinPartitions(*_ORDERED)
     # one column named like the header line: the writer adds it to every file and leaves the lines as they are
     rows.select(F.concat_ws(",", *fields).alias(",".join(RAW_COLUMNS))).write.option("header", True).option(
         "sep", "\t").csv(path)
