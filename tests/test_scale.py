@@ -96,6 +96,46 @@ def test_tfidf_moves_texts_not_postings(spark, monkeypatch, share):
     assert {(r.video_id, r.term): (r.tf, round(r.weight, 9)) for r in out.collect()} == expected
 
 
+def long_texts(spark, n=40):
+    """Texts of about 1,500 letters whose terms are mostly rare, some ids repeated or null, one text empty."""
+    word = lambda i: "".join(chr(97 + i // 26 ** p % 26) for p in range(4))
+    rows = [(None if i % 13 == 0 else i % 30, " ".join(["red gear the", *("hat" for _ in range(i % 7)),
+             *(word(i * i * 97 + j * 31) for j in range(300))]), i) for i in range(n)]
+    return spark.createDataFrame([*rows, (77, "", 5), (78, None, 6)], "video_id long, title string, views long").repartition(3)
+
+
+def test_long_texts_move_no_postings(spark, monkeypatch):
+    df = long_texts(spark).withColumn("odd", F.col("views") % 2 == 1)
+    monkeypatch.setattr(X, "TERM_SHARE", 3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = X.tfidf(df, carry=("odd",))
+        assert "hashpartitioning(term#" not in _plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+    def rows(found):
+        return {(r.video_id, r.odd, r.term): (r.tf, round(r.idf, 9), round(r.weight, 9)) for r in found.collect()}
+
+    got, few = rows(out), rows(X.tfidf(df, carry=("odd",), least_df=2))
+    monkeypatch.setattr(X, "LONG_TEXT", 10**9)
+    assert got == rows(X.tfidf(df, carry=("odd",))) and few == rows(X.tfidf(df, carry=("odd",), least_df=2))
+    assert 0 < len(few) < len(got) / 2 and all(found == got[k] for k, found in few.items())
+
+
+def test_lift_of_long_texts_misses_no_rare_term(spark, monkeypatch):
+    """A bound that hides terms of the best is lowered: one that no term reaches, and one that common terms do."""
+    df = long_texts(spark)
+    got = []
+    for floor in (1, 3):
+        monkeypatch.setattr(X, "LIFT_FLOOR", floor, raising=False)
+        got.append(X.token_lift(df, "views", 30).collect())
+    monkeypatch.setattr(X, "LONG_TEXT", 10**9, raising=False)
+    want = X.token_lift(df, "views", 30).collect()
+    assert got == [want, want] and len(want) == 30
+
+
 def test_clusters_write_no_titles(spark):
     cols = ["views", "engagement_rate_pct", "avg_watch_time_seconds", "share_rate"]
     extra = [c for c in M.FEATURE_COLUMNS if c not in cols]

@@ -7,15 +7,19 @@ Everything is sparse: a postings table (doc, term, weight). Similarity of
 one anchor against all documents joins the anchor's few postings (broadcast,
 bounded by the anchor's own length) to the postings on the term and sums per
 document; no n x n matrix exists anywhere. Document frequencies and lifts are
-partial aggregates per term; the weights of common terms are broadcast.
+partial aggregates per term; the weights of common terms are broadcast. Long
+texts, most of whose terms are rare, go by ``functions.longtext``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewscope.functions.distribute import tasks_for
+from viewscope.functions.longtext import long_text_postings
 from viewscope.functions.numeric import fixed
 from viewscope.functions.quantile import exact_quantiles
 from viewscope.functions.textfn import with_terms
@@ -31,18 +35,31 @@ def title_terms(df: DataFrame, id_col: str = "video_id", text_col: str = "title"
 
 TEXT_CHARS_PER_TASK = 4_000_000
 TERM_SHARE = 100_000        # terms with more than this fraction of all postings are broadcast, fewer than this many
+LONG_TEXT = 1_000           # characters; texts longer than this on average have mostly rare terms
+LIFT_FLOOR = 500            # of long texts, lifts that can't exceed one in so many are left for a second pass
+
+
+def _extent(df: DataFrame, text_col: str) -> tuple[int, int, bool]:
+    """(number of texts, characters of all, whether they are long)."""
+    n_docs, chars = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()
+    return n_docs, chars, chars > LONG_TEXT * n_docs
 
 
 def tfidf(df: DataFrame, id_col: str = "video_id", text_col: str = "title",
-          stop_words: tuple[str, ...] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+          stop_words: tuple[str, ...] | None = None, carry: tuple[str, ...] = (), least_df: int = 0,
+          extent: tuple[int, int, bool] | None = None) -> DataFrame:
     """Postings (id, term, tf, idf, weight) with unit-length document vectors.
 
     ``carry`` names further columns of a document that its postings keep. Texts, which are far smaller than their postings,
     are dealt by id into tasks of a bounded length, once for the document frequencies and again for the weights.
-    Postings then stay with their document: only those of rare terms leave it to fetch their weight.
+    Postings then stay with their document: only those of rare terms leave it to fetch their weight. Of long texts none do.
+    Only postings of terms that more than ``least_df`` documents have come out; weights take all terms into account.
+    ``extent`` is a result of ``_extent`` to share.
     """
-    n_docs, chars = df.agg(F.count(F.lit(1)), F.sum(F.length(text_col))).first()
-    parts = tasks_for(df.sparkSession, chars or 0, TEXT_CHARS_PER_TASK)
+    n_docs, chars, long_texts = extent or _extent(df, text_col)
+    parts = tasks_for(df.sparkSession, chars, TEXT_CHARS_PER_TASK)
+    if long_texts:
+        return long_text_postings(df, id_col, text_col, stop_words, carry, n_docs, chars, parts, least_df)
     tf = (with_terms(df.select(id_col, *carry, text_col).repartition(parts, id_col), text_col, "_t", stop_words)
           # an inner explode would have Spark test the terms before the shuffle as well, so split every text twice
           .select(id_col, *carry, F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull())
@@ -51,15 +68,16 @@ def tfidf(df: DataFrame, id_col: str = "video_id", text_col: str = "title",
                        .withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1), "document-frequencies")
     terms, total = freq.agg(F.count(F.lit(1)), F.sum("df")).first()
     least = 0 if terms <= TERM_SHARE else total // TERM_SHARE
-    found = tf.join(F.broadcast(freq.where(F.col("df") > least).drop("df")), "term")    # at most TERM_SHARE terms
+    found = tf.join(F.broadcast(freq.where(F.col("df") > least)), "term")    # at most TERM_SHARE terms
     if least:
         rare = (tf.join(F.broadcast(freq.where(F.col("df") > least).select("term")), "term", "left_anti")
-                .join(freq.where(F.col("df") <= least).drop("df"), "term"))
+                .join(freq.where(F.col("df") <= least), "term"))
         found = found.unionByName(rare.repartition(parts, id_col))
     raw = found.withColumn("_w", F.col("tf") * F.col("idf"))
     # one document's terms per window group: bounded by that document's length
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, *carry, "term", "tf", "idf", (F.col("_w") / norm).alias("weight"))
+    found = raw.select(id_col, *carry, "term", "tf", "idf", (F.col("_w") / norm).alias("weight"), "df")
+    return (found.where(F.col("df") > least_df) if least_df else found).drop("df")
 
 
 def similar_titles(df: DataFrame, video_id: int, top_n: int = 5, postings: DataFrame | None = None) -> DataFrame:
@@ -121,12 +139,36 @@ def token_lift(df: DataFrame, target: str = "views", top_n: int = 12,
                .select(id_col, text_col, (F.col(target) >= F.col("thr0")).alias("_high")))
     sizes = flagged.agg(F.count_if("_high").alias("_nh"), F.count_if(~F.col("_high")).alias("_nr")) \
                    .withColumn("_k", F.lit(0))
-    post = tfidf(flagged, id_col=id_col, text_col=text_col, stop_words=stop_words, carry=("_high",))
-    per_term = (post.groupBy("term").agg(F.sum(F.when(F.col("_high"), F.col("weight")).otherwise(0.0)).alias("_sh"),
-                                         F.sum(F.when(~F.col("_high"), F.col("weight")).otherwise(0.0)).alias("_sr"))
-                .withColumn("_k", F.lit(0))
-                .join(F.broadcast(sizes), "_k")    # one-row side
-                .where(F.col("_nr") > 0)
-                .withColumn("_lift", F.col("_sh") / F.col("_nh") - F.col("_sr") / F.col("_nr")))
-    top = per_term.orderBy(fixed("_lift", 10).desc(), F.col("term").asc()).limit(top_n)
+    extent = _extent(flagged, text_col)
+
+    def best(least_df: int) -> DataFrame:
+        post = tfidf(flagged, id_col=id_col, text_col=text_col, stop_words=stop_words, carry=("_high",),
+                     least_df=least_df, extent=extent)
+        per_term = (post.groupBy("term").agg(F.sum(F.when(F.col("_high"), F.col("weight")).otherwise(0.0)).alias("_sh"),
+                                             F.sum(F.when(~F.col("_high"), F.col("weight")).otherwise(0.0)).alias("_sr"))
+                    .withColumn("_k", F.lit(0))
+                    .join(F.broadcast(sizes), "_k")    # one-row side
+                    .where(F.col("_nr") > 0)
+                    .withColumn("_lift", F.col("_sh") / F.col("_nh") - F.col("_sr") / F.col("_nr")))
+        return per_term.orderBy(fixed("_lift", 10).desc(), F.col("term").asc()).limit(top_n).select("term", "_lift")
+
+    top = _best_of_long_texts(best, sizes.first()["_nh"], top_n) if extent[2] else best(0)
     return top.where(F.col("_lift") > 0).select("term", fixed("_lift", 4).alias("lift"))
+
+
+def _best_of_long_texts(best, n_high: int, top_n: int) -> DataFrame:
+    """``best(0)``, without adding up the weights of terms too rare to be among it.
+
+    No weight exceeds 1, so a term of ``df`` documents has a lift of ``df`` / ``n_high`` at most. The terms above a first bound
+    are ranked; when the last of the ``top_n`` does not exceed what the others can reach, the bound is lowered to that
+    lift and all terms above it are ranked.
+    """
+    bound = n_high // LIFT_FLOOR
+    frame = best(bound)
+    rows = frame.collect()                            # top_n rows
+    if bound:
+        last = rows[-1]["_lift"] - 1e-9 if len(rows) == top_n else 0.0     # ranks are snapped to ten decimals
+        if last * n_high <= bound:
+            frame = best(max(0, math.floor(last * n_high) - 1))
+            rows = frame.collect()
+    return frame.sparkSession.createDataFrame([tuple(r) for r in rows], frame.schema)
