@@ -1,4 +1,4 @@
-"""Metadata signal against NumPy, mini-batch k-means, forest sweep, report with models."""
+"""Metadata signal against NumPy, k-means, forest sweep, report with models."""
 
 import numpy as np
 import pytest
@@ -125,6 +125,20 @@ def test_best_of_five_starts_by_inertia_of_all_rows(spark):
     assert np.allclose(again[3][0], five[3][0])
 
 
+def test_centres_are_means_of_all_rows(spark):
+    """Every row moves its centre, and a single row far from 3,000 others, some of one id, gets one."""
+    feats, zcols = M._features(blob_frame(spark, per=300, seed=9))
+    x = feats.select(*zcols).toPandas().to_numpy()
+    centres, _ = M.fit_kmeans(feats, zcols, [3])[3]
+    own = M._nearest(x, centres)[0]
+    assert np.allclose(centres, [x[own == c].mean(axis=0) for c in range(3)], atol=1e-9)
+    far = spark.range(3001).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("video_id"), *[
+        F.when(F.col("id") == 1234, 1e4).otherwise(F.sin(F.col("id") * (i + 1))).alias(c) for i, c in enumerate(zcols)])
+    for rows in (far, far.repartition(5)):
+        centres, inertia = M.fit_kmeans(rows, zcols, [2, 3])[2]
+        assert sorted(centres[:, 0].round()) == [0, 10_000] and inertia < 3000 * 6
+
+
 def test_sweep_sizes_and_too_few_rows(spark):
     sweep = {r.k: r for r in M.cluster_sweep(blob_frame(spark)).collect()}
     assert sorted(sweep) == [2, 3, 4, 5, 6] and sorted(sweep[3].cluster_sizes) == [60, 60, 60]

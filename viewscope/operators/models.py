@@ -2,8 +2,8 @@
 
 * M1 standardisation: one aggregate pass (mean, population sd), then column
   arithmetic; a constant column becomes 0.
-* M2/M5/M7 mini-batch k-means: hashed batches, five starts of each k advanced
-  together, all k measured in shared passes over the written features.
+* M2/M5/M7 k-means over all rows: every pass over the written features serves the
+  five starts of all k; centres are seeded, moved and measured by all rows.
 * M3 silhouette: the all-pairs Euclidean silhouette needs every pair of rows,
   which does not scale; the default is the squared-Euclidean silhouette whose mean
   distances have a closed form from per-cluster sums (the definition Spark's
@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,6 +192,9 @@ def segment_labels(summary: DataFrame) -> DataFrame:
 
 
 STARTS = 5
+MAX_PASSES = 100
+TOLERANCE = 1e-4    # centres have settled when their squared moves add up to no more, in standard deviations
+_ROWS_AT_ONCE = 4096
 _SEGMENT_COLUMNS = ["video_id", "title", "category", "views", "engagement_rate_pct", "avg_watch_time_seconds",
                     "share_rate"]
 
@@ -202,65 +206,106 @@ def _features(df: DataFrame) -> tuple[DataFrame, list[str]]:
             [f"z_{c}" for c in FEATURE_COLUMNS])
 
 
-def _seeded(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: each further centre is drawn with a chance that grows with the squared distance to the nearest."""
-    centres = [x[rng.integers(len(x))]]
-    for _ in range(1, k):
-        gap = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        total = gap.sum()
-        centres.append(x[rng.choice(len(x), p=gap / total) if total > 0 else rng.integers(len(x))])
-    return np.array(centres)
-
-
-def _train_starts(zcols: list[str], starts: int, seed: int):
-    """Trains the starts of one k together: every batch advances all of them."""
-    def train(sample: pd.DataFrame) -> pd.DataFrame:
-        k = int(sample["k"].iloc[0])
-        sample = sample.sort_values(["tree", "video_id"])
-        x, batch = sample[zcols].to_numpy("float64"), sample["tree"].to_numpy()
-        batches = np.split(x, np.flatnonzero(np.diff(batch)) + 1)
-        first = np.concatenate(batches[:3])
-        centres = np.stack([_seeded(first, k, np.random.default_rng([seed, k, s])) for s in range(starts)])
-        seen = np.zeros((starts, k))
-        for points in batches:
-            gap = ((points[None, :, None, :] - centres[:, None, :, :]) ** 2).sum(axis=3)
-            own = np.eye(k)[gap.argmin(axis=2)]                       # start, row, centre
-            got = own.sum(axis=1)
-            seen += got
-            # a centre moves towards the mean of its rows by their share of all rows it has seen
-            step = np.einsum("srk,rd->skd", own, points) - got[:, :, None] * centres
-            centres += step / np.maximum(seen, 1.0)[:, :, None]
-        return pd.DataFrame([(k, s, c, centres[s, c].tolist()) for s in range(starts) for c in range(k)],
-                            columns=["k", "start", "centre", "at"])
-
-    return train
+def _uniform(hashes: np.ndarray, start: int, step: int) -> np.ndarray:
+    """A number in (0, 1) per row hash, another one for every start and step (splitmix64)."""
+    z = hashes.view("uint64") + np.uint64((start * 1024 + step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype("float64") / (1 << 53) + 2.0 ** -54
 
 
-def fit_kmeans(features: DataFrame, zcols: list[str], ks: list[int], seed: int = SEED, starts: int = STARTS) -> dict:
-    """M2: mini-batch k-means for every k, the best of ``starts`` by inertia over all rows.
+def _matrix(batch: pa.RecordBatch, cols: list[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
+
 
-    100 batches of 256 rows are drawn by hash (all rows, if fewer), so training costs the same at any size and doesn't depend
-    on partitioning. One task trains the starts of one k; one pass over all rows then measures the inertia of
-    every k and start. Returns {k: (centres, inertia)}.
+def _seeds(features: DataFrame, zcols: list[str], k: int, starts: int, seed: int) -> list[np.ndarray]:
+    """k-means++ over all rows, ``starts`` times: each further centre is a row drawn with a chance in proportion to
+    its squared distance to the nearest one.
+
+    The least -ln(u) / distance belongs to every row with just that chance, so one pass draws a centre of every
+    start. u is a hash of the id: the draw doesn't depend on partitioning. The first k centres serve a smaller k.
     """
-    sample = _tree_sample(features, zcols, seed)
-    models = (sample.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).groupBy("k")
-              .applyInPandas(_train_starts(zcols, starts, seed), "k int, start int, centre int, at array<double>")
-              .toPandas())                    # sum(ks) x starts rows
-    centres = {key: np.stack(m.sort_values("centre")["at"].tolist()) for key, m in models.groupby(["k", "start"])}
-    keys = sorted(centres)
+    rows = features.select(F.xxhash64("video_id", F.lit(seed)).alias("_h"), *zcols)
+    centres: list[list[list[float]]] = [[] for _ in range(starts)]
+    for step in range(k):
+        def draw(batches):
+            best: list[tuple | None] = [None] * starts
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, hashes = _matrix(batch, zcols), batch.column("_h").to_numpy()
+                for s in range(starts):
+                    gap = _nearest(x, np.array(centres[s]))[1] if step else np.ones(len(x))
+                    with np.errstate(divide="ignore"):
+                        key = -np.log(_uniform(hashes, s, step)) / gap
+                    least = key.min()
+                    if np.isfinite(least):
+                        like = x[key == least]      # rows of one id
+                        found = (float(least), like[np.lexsort(like.T[::-1])[0]].tolist())
+                        best[s] = found if best[s] is None else min(best[s], found)
+            yield pa.RecordBatch.from_pylist([{"start": s, "key": b[0], "at": b[1]} for s, b in enumerate(best) if b], pa.schema(
+                [("start", pa.int32()), ("key", pa.float64()), ("at", pa.list_(pa.float64()))]))
+
+        found = {r["start"]: list(r["best"]["at"]) for r in rows.mapInArrow(draw, "start int, key double, at array<double>")
+                 .groupBy("start").agg(F.min(F.struct("key", "at")).alias("best")).collect()}       # ``starts`` rows
+        for s in range(starts):
+            centres[s].append(found.get(s) or centres[s][-1])       # all rows coincide with a centre
+    return [np.array(c) for c in centres]
+
+
+def _cluster_pass(features: DataFrame, zcols: list[str], models: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """One pass over all rows: (means of the rows nearest to each centre, inertia) of every model."""
+    table, ends = np.concatenate(models), np.cumsum([len(m) for m in models])
+    half, d = (table * table).sum(axis=1, keepdims=True) / 2, len(zcols)
+    bounds = list(zip([0, *ends[:-1]], ends))
 
     def measure(batches):
-        total = np.zeros(len(keys))
+        total = np.zeros((len(table), d + 2))
         for batch in batches:
-            x = batch[zcols].to_numpy("float64")
-            total += [_nearest(x, centres[key])[1].sum() for key in keys]
-        yield pd.DataFrame({"k": [k for k, _ in keys], "start": [s for _, s in keys], "inertia": total})
+            whole = _matrix(batch, zcols)
+            for i in range(0, len(whole), _ROWS_AT_ONCE):
+                x = whole[i:i + _ROWS_AT_ONCE]
+                far, own = half - table @ x.T, np.empty((len(table), len(x)))       # half the squares, less the rows' own
+                square = (x * x).sum()
+                for a, b in bounds:
+                    near = far[a:b].min(axis=0)
+                    hit = far[a:b] == near
+                    if np.count_nonzero(hit) != len(x):         # as near to two centres: the first has it
+                        hit = far[a:b].argmin(axis=0) == np.arange(b - a)[:, None]
+                    own[a:b] = hit
+                    total[a, d + 1] += square + 2 * near.sum()
+                total[:, :d + 1] += own @ np.column_stack([x, np.ones(len(x))])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(table)), pa.int32()), *map(pa.array, total.T)],
+                                         names=["centre", *(f"s{c}" for c in range(d + 2))])
+
+    sums = [f"s{c}" for c in range(d + 2)]
+    found = (features.select(*zcols).mapInArrow(measure, ", ".join(["centre int", *(f"{c} double" for c in sums)]))
+             .groupBy("centre").agg(*[F.sum(c).alias(c) for c in sums]).toPandas())         # a row per centre
+    total = found.sort_values("centre")[sums].to_numpy()
+    n = total[:, d:d + 1]
+    means = np.where(n > 0, total[:, :d] / np.maximum(n, 1.0), table)       # a centre without rows stays
+    return [(means[a:b], max(float(total[a, d + 1]), 0.0)) for a, b in bounds]
+
 
-    found = (features.select(*zcols).mapInPandas(measure, "k int, start int, inertia double")
-             .groupBy("k", "start").agg(F.sum("inertia").alias("inertia")).toPandas())
-    best = found.sort_values(["k", "inertia", "start"]).drop_duplicates("k")
-    return {int(r.k): (centres[(r.k, r.start)], float(r.inertia)) for r in best.itertuples()}
+def fit_kmeans(features: DataFrame, zcols: list[str], ks: list[int], seed: int = SEED, starts: int = STARTS) -> dict:
+    """M2: k-means over all rows for every k, the best of ``starts`` by inertia.
+
+    Each pass assigns all rows and moves every centre to the mean of its rows, until the centres settle or after
+    ``MAX_PASSES``; it serves all k and starts that haven't settled, and returns a row per centre. Returns {k: (centres, inertia)}.
+    """
+    seeds = _seeds(features, zcols, max(ks), starts, seed)
+    models = {(k, s): seeds[s][:k] for k in ks for s in range(starts)}
+    inertias: dict[tuple[int, int], float] = {}
+    moving = list(models)
+    for left in range(MAX_PASSES - 1, -1, -1):
+        moved = dict(zip(moving, _cluster_pass(features, zcols, [models[key] for key in moving])))
+        inertias |= {key: inertia for key, (_, inertia) in moved.items()}
+        moving = [key for key, (means, _) in moved.items() if ((means - models[key]) ** 2).sum() > TOLERANCE]
+        if not (moving and left):
+            break
+        models |= {key: moved[key][0] for key in moving}
+    return {k: (models[best], inertias[best]) for k in ks for best in [min(
+        ((k, s) for s in range(starts)), key=lambda key: (inertias[key], key))]}
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,8 +322,8 @@ def cluster_sweep_runs(df: DataFrame, k_range: list[int] | None = None, metric:
     ``metric`` is "squared" (closed form over all rows) or "euclidean" (``sample`` rows against all rows).
 
     Returns (runs, assignments by k, features). Only per-k scalars and centroids reach the driver. Callers that need several
-    results of one sweep pass the returned value on; nothing is kept between calls. Five passes over the features serve
-    all k: batches, inertia, assignment (written), cluster sums and silhouettes.
+    results of one sweep pass the returned value on; nothing is kept between calls. All passes over the features serve
+    all k: seeds, moves of the centres, assignment (written), cluster sums and silhouettes.
     """
     if metric not in ("squared", "euclidean"):
         raise ValueError("metric must be squared or euclidean")
